@@ -51,3 +51,11 @@ def all_of(conditions: list[Column]) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
+
+
+def safe_corr(a, b) -> Column:
+    """Pearson correlation over rows where both are present; NULL when either is constant."""
+    x, y = col(a).cast("double"), col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y),
+                        F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))

@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from tarnwatch import constants as K
 from tarnwatch.functions.columns import cases, col, lookup
@@ -18,7 +19,7 @@ _LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 DOMAIN_PATTERN = f"^(?:{_LABEL}\\.)*{_LABEL}$"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _is_ipv6(values: pd.Series) -> pd.Series:
     def check(text) -> bool:
         try:
@@ -28,7 +29,7 @@ def _is_ipv6(values: pd.Series) -> pd.Series:
     return values.map(check)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _ipv6_in_network(values: pd.Series, networks: pd.Series) -> pd.Series:
     def check(text, net) -> bool:
         try:

@@ -269,6 +269,10 @@ def detection_alerts(detected: DataFrame) -> DataFrame:
         F.col("detection_action").alias("recommended_action"))
 
 
+def _of_family(family: str):
+    return lambda m: m["family"] == family
+
+
 def detection_stats(detected: DataFrame, rules: list[SignatureRule], indicator_count: int = 0) -> DataFrame:
     """(section, item, n): detections by source, matches by family, rule and indicator counts."""
     has_rules = F.size("rule_matches") > 0
@@ -277,8 +281,7 @@ def detection_stats(detected: DataFrame, rules: list[SignatureRule], indicator_c
         ("detections", "ml"): count_if(F.col("is_malicious")),
         ("detections", "signature"): count_if(has_rules),
         ("detections", "hybrid"): count_if(has_rules & F.col("is_malicious").isNotNull()),
-        **{("matches", f): F.sum(F.size(F.filter("rule_matches", lambda m, f=f: m["family"] == f)))
-           for f in FAMILIES},
+        **{("matches", f): F.sum(F.size(F.filter("rule_matches", _of_family(f)))) for f in FAMILIES},
     }
     totals = detected.agg(*[agg.cast("long").alias(f"{a}:{b}") for (a, b), agg in named.items()])
     fixed = {("rules", f): sum(r.rule_type == f for r in rules) for f in FAMILIES}

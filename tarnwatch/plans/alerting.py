@@ -51,7 +51,7 @@ add("alert_text",
     duck("alerts", f"""WITH imp AS (SELECT record_id, unnest(['packet_size','duration','port','bias']) AS f,
         unnest([packet_size / 1000.0, -duration, destination_port / 100.0, 0.5]::DOUBLE[]) AS v FROM alerts),
       rk AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY abs(v) DESC, f) AS r FROM imp),
-      top AS (SELECT record_id, string_agg(f || ': ' || printf('%.3f', v), ', ' ORDER BY r) AS t
+      top AS (SELECT record_id, string_agg(f || ': ' || printf('%.3f', round(CAST(CAST(v AS VARCHAR) AS DECIMAL(30,18)), 3)), ', ' ORDER BY r) AS t
               FROM rk WHERE r <= 3 GROUP BY 1)
       SELECT a.record_id, {_DESC} || ' Key indicators: ' || t || '.' AS description
       FROM alerts a JOIN top ON top.record_id = a.record_id"""))

@@ -88,7 +88,7 @@ add("ip_reputation",
     duck("indicators geo_ranges", f"""WITH a AS ({_ALL_IPS}), k AS (SELECT indicator, avg(confidence) AS c,
         string_agg(DISTINCT threat_type, ',' ORDER BY threat_type) AS tt, string_agg(DISTINCT source, ',' ORDER BY source) AS ss
         FROM indicators GROUP BY 1)
-      SELECT ip, round(coalesce(least(c, 1.0), 0.0), 6) AS reputation_score, coalesce(tt, '') AS threat_types, coalesce(ss, '') AS sources,
+      SELECT ip, round(CASE WHEN c IS NULL THEN 0.0 WHEN c > 1 THEN 1.0 ELSE c END, 6) AS reputation_score, coalesce(tt, '') AS threat_types, coalesce(ss, '') AS sources,
         coalesce(contains(tt, 'tor'), FALSE) AS is_tor, g.country
       FROM a LEFT JOIN k ON k.indicator = a.ip LEFT JOIN geo_ranges g ON {_LONG} BETWEEN g.range_start AND g.range_end"""))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["traffic", "alerting", "signature", "intel"]
+MODULES = ["traffic", "alerting", "signature", "intel", "preparation", "reporting", "behaviour", "correlation"]
 
 
 def _collect(attribute: str) -> dict:
