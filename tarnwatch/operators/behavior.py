@@ -125,36 +125,59 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _path_lengths(x: np.ndarray, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Depth at which each row is isolated by one random tree grown on ``sample``."""
-    depth = np.zeros(len(x))
-    limit = int(np.ceil(np.log2(max(len(sample), 2))))
-    stack = [(np.arange(len(x)), sample, 0)]
-    while stack:
-        rows, grown, level = stack.pop()
-        spread = grown.max(axis=0) - grown.min(axis=0) if len(grown) else np.zeros(x.shape[1])
-        usable = np.flatnonzero(spread > 0)
-        if level >= limit or len(grown) <= 1 or not len(usable):
-            depth[rows] = level + _average_path(np.array([len(grown)]))[0]
-            continue
-        feature = rng.choice(usable)
-        cut = rng.uniform(grown[:, feature].min(), grown[:, feature].max())
-        left, grown_left = x[rows, feature] < cut, grown[:, feature] < cut
-        stack.append((rows[left], grown[grown_left], level + 1))
-        stack.append((rows[~left], grown[~grown_left], level + 1))
-    return depth
-
-
-def isolation_scores(x: np.ndarray, seed: int) -> np.ndarray:
+def _grow(samples: np.ndarray, height: int, rng: np.random.Generator):
+    """Random trees over (tree, row, feature) samples, all trees level by level.
+
+    Nodes are numbered as in a heap. Returns per (tree, node): split flag,
+    feature, cut and number of sample rows.
+    """
+    trees, rows, features = samples.shape
+    slots = 2 ** (height + 1)
+    flat = samples.reshape(-1, features)
+    tree = np.repeat(np.arange(trees), rows)
+    node = np.ones(trees * rows, dtype=np.int64)
+    split = np.zeros((trees, slots), dtype=bool)
+    feature = np.zeros((trees, slots), dtype=np.int64)
+    cut = np.zeros((trees, slots))
+    for _ in range(height):
+        key = tree * slots + node
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
+        lows = np.minimum.reduceat(flat[order], starts, axis=0)
+        spread = np.maximum.reduceat(flat[order], starts, axis=0) - lows
+        pick = np.argmax(rng.random(spread.shape) * (spread > 0), axis=1)
+        at = np.arange(len(starts))
+        value = lows[at, pick] + rng.random(len(starts)) * spread[at, pick]
+        t, n = np.divmod(key[order][starts], slots)
+        split[t, n], feature[t, n], cut[t, n] = spread[at, pick] > 0, pick, value
+        right = flat[np.arange(len(flat)), feature[tree, node]] >= cut[tree, node]
+        node = np.where(split[tree, node], 2 * node + right, node)
+    size = np.bincount(tree * slots + node, minlength=trees * slots).reshape(trees, slots)
+    return split, feature, cut, size
+
+
+def isolation_scores(x: np.ndarray, seed: int, chunk: int = 2_000) -> np.ndarray:
     """Anomaly score in (0, 1) of every row; above about one half is suspicious."""
     std = x.std(axis=0)
     x = (x - x.mean(axis=0)) / np.where(std > 0, std, 1.0)
     rng = np.random.default_rng(seed)
     size = min(SUBSAMPLE, len(x))
-    total = np.zeros(len(x))
-    for _ in range(TREES):
-        total += _path_lengths(x, x[rng.choice(len(x), size, replace=False)], rng)
-    return 2.0 ** (-(total / TREES) / max(_average_path(np.array([size]))[0], 1e-9))
+    height = int(np.ceil(np.log2(max(size, 2))))
+    drawn = np.stack([rng.choice(len(x), size, replace=False) for _ in range(TREES)])
+    split, feature, cut, members = _grow(x[drawn], height, rng)
+    extra = _average_path(members)
+    tree = np.arange(TREES)[:, None]
+    scores = []
+    for lo in range(0, len(x), chunk):
+        part = x[lo:lo + chunk]
+        row = np.arange(len(part))[None, :]
+        node = np.ones((TREES, len(part)), dtype=np.int64)
+        for _ in range(height):
+            right = part[row, feature[tree, node]] >= cut[tree, node]
+            node = np.where(split[tree, node], 2 * node + right, node)
+        depth = np.floor(np.log2(node)) + extra[tree, node]
+        scores.append(2.0 ** (-depth.mean(axis=0) / max(_average_path(np.array([size]))[0], 1e-9)))
+    return np.concatenate(scores)
 
 
 def isolation_forest_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, entity: str = "source_ip",
@@ -189,7 +212,7 @@ def isolation_forest_anomalies(traffic: DataFrame, now: datetime, hours: float =
         return pd.concat(out)
 
     found = map_sorted_groups(placed.drop("_n"), ["entity_id", "_share"], ["record_id"], detect,
-                              "entity_id string, ts timestamp, record_id long, anomaly_score double")
+                              "entity_id string, ts timestamp, record_id long, anomaly_score double", spread=True)
     severity = ml_severity(F.col("anomaly_score"))
     return found.select(
         "entity_id", "ts", "record_id", F.lit("ml_anomaly").alias("anomaly_type"), severity.alias("severity"),

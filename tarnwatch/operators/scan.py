@@ -115,9 +115,12 @@ def with_lookback(df: DataFrame, ts: str, width_seconds: int, lookback_seconds:
 
 def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str],
                       fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame],
-                      schema: str) -> DataFrame:
+                      schema: str, spread: bool = False) -> DataFrame:
     """Run ``fn(rows, group)`` over whole groups, several groups per call.
 
+    ``spread`` keeps all shuffle partitions (no coalescing of small ones), for
+    functions that are expensive per row.
+
     Rows are hash-partitioned on ``keys`` and sorted by ``keys + order``. ``fn``
     receives complete groups as one frame plus an increasing group number per
     row, so it can work on flat arrays instead of once per group.
@@ -153,10 +156,19 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str],
             ready = [*pending, head] if cutoff or pending else []
             pending = [batch.iloc[cutoff:]]
             if ready:
-                yield flush(pd.concat(ready))
+                out = flush(pd.concat(ready))
+                if len(out):
+                    yield out
         if pending:
-            yield flush(pd.concat(pending))
+            out = flush(pd.concat(pending))
+            if len(out):
+                yield out
 
-    return (df.repartition(*[F.col(k) for k in keys])
+    columns = [F.col(k) for k in keys]
+    if spread:
+        placed = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    else:
+        placed = df.repartition(*columns)
+    return (placed
             .sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema=schema))

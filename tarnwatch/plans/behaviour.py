@@ -24,15 +24,15 @@ _STATE = """st AS (SELECT entity_id, feature, count(*) AS n, sum(value) AS s, mi
    avg(value) FILTER (WHERE ts >= TIMESTAMP '2024-01-29 00:00:00') AS obs FROM ob GROUP BY 1, 2)"""
 
 add("behavior_profiles",
-    lambda s, d: rounded(B.behavior_profiles(traffic_slow(s, d)).drop("sum_squares"), 4),
-    duck("traffic_slow", f"""WITH {_OBS}, {_STATE} SELECT entity_id, feature, n AS count, round(s, 4) AS sum, round(lo, 4) AS min, round(hi, 4) AS max,
-      round(mean, 4) AS mean, round(std, 4) AS std, last_updated FROM st"""))
+    lambda s, d: rounded(B.behavior_profiles(traffic_slow(s, d)).drop("sum_squares"), 6),
+    duck("traffic_slow", f"""WITH {_OBS}, {_STATE} SELECT entity_id, feature, n AS count, round(s, 6) AS sum, round(lo, 6) AS min, round(hi, 6) AS max,
+      round(mean, 6) AS mean, round(std, 6) AS std, last_updated FROM st"""))
 add("behavior_profiles_merged",
     lambda s, d: rounded(B.finish(B.merge_parts([
         B.profile_parts(B.observations(traffic_slow(s, d).where("record_id % 3 = 0"))),
-        B.profile_parts(B.observations(traffic_slow(s, d).where("record_id % 3 <> 0")))])).drop("sum_squares"), 4),
-    duck("traffic_slow", f"""WITH {_OBS}, {_STATE} SELECT entity_id, feature, n AS count, round(s, 4) AS sum, round(lo, 4) AS min, round(hi, 4) AS max,
-      round(mean, 4) AS mean, round(std, 4) AS std, last_updated FROM st"""))
+        B.profile_parts(B.observations(traffic_slow(s, d).where("record_id % 3 <> 0")))])).drop("sum_squares"), 6),
+    duck("traffic_slow", f"""WITH {_OBS}, {_STATE} SELECT entity_id, feature, n AS count, round(s, 6) AS sum, round(lo, 6) AS min, round(hi, 6) AS max,
+      round(mean, 6) AS mean, round(std, 6) AS std, last_updated FROM st"""))
 add("baselines",
     lambda s, d: rounded(B.baselines(B.behavior_profiles(traffic_slow(s, d)), 100, ["192.168.0.0"])),
     duck("traffic_slow", """SELECT source_ip AS entity_id, count(*) AS observation_count, max(ts) AS last_updated,
@@ -60,10 +60,10 @@ def _zscores(s, d):
 
 
 add("zscore_anomalies",
-    lambda s, d: rounded(_zscores(s, d).drop("description"), 4),
+    lambda s, d: rounded(_zscores(s, d).drop("description"), 6),
     duck("traffic_slow", f"""WITH {_Z} SELECT md5(entity_id || '_' || feature || '_2024-01-30T00:00:00')[:16] AS anomaly_id, entity_id, feature,
-      'statistical_deviation' AS anomaly_type, severity, round(least(z / 5, 1.0), 4) AS anomaly_score, round(mean, 4) AS baseline_value,
-      round(obs, 4) AS observed_value, round(z, 4) AS z_score, {_REC} AS recommended_action FROM an"""))
+      'statistical_deviation' AS anomaly_type, severity, round(least(z / 5, 1.0), 6) AS anomaly_score, round(mean, 6) AS baseline_value,
+      round(obs, 6) AS observed_value, round(z, 6) AS z_score, {_REC} AS recommended_action FROM an"""))
 add("isolation_forest_anomalies",
     lambda s, d: B.isolation_forest_anomalies(traffic_slow(s, d), NOW, 24 * 7).select("entity_id", "record_id", "severity"))
 
@@ -84,13 +84,13 @@ _PAT = """lg AS (SELECT *, lag(m) OVER (PARTITION BY entity_id ORDER BY idx) AS
 for _k, _sql in _KIND.items():
     add(f"{_k}_pattern",
         lambda s, d, k=_k: rounded(B.traffic_patterns(traffic_slow(s, d), k, NOW).withColumns(
-            {"peak": F.col("peak").cast("long"), "low": F.col("low").cast("long")}), 4),
-        duck("traffic_slow", f"""WITH {_SCOPE}, {_sql}, {_PAT} SELECT entity_id, points, round(mean, 4) AS mean, round(std, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max,
-          peak::BIGINT AS peak, low::BIGINT AS low, round(slope, 4) AS slope, seasonality, trend, '{_k}' AS pattern_type FROM pt"""))
+            {"peak": F.col("peak").cast("long"), "low": F.col("low").cast("long")}), 6),
+        duck("traffic_slow", f"""WITH {_SCOPE}, {_sql}, {_PAT} SELECT entity_id, points, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max,
+          peak::BIGINT AS peak, low::BIGINT AS low, round(slope, 6) AS slope, seasonality, trend, '{_k}' AS pattern_type FROM pt"""))
 add("seasonality", lambda s, d: B.traffic_patterns(traffic_slow(s, d), "daily", NOW).select("entity_id", "seasonality"),
     duck("traffic_slow", f"WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, seasonality FROM pt"))
-add("trend", lambda s, d: rounded(B.traffic_patterns(traffic_slow(s, d), "daily", NOW).select("entity_id", "slope", "trend"), 4),
-    duck("traffic_slow", f"WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, round(slope, 4) AS slope, trend FROM pt"))
+add("trend", lambda s, d: rounded(B.traffic_patterns(traffic_slow(s, d), "daily", NOW).select("entity_id", "slope", "trend"), 6),
+    duck("traffic_slow", f"WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, round(slope, 6) AS slope, trend FROM pt"))
 add("pattern_anomalies",
     lambda s, d: B.pattern_anomalies(B.traffic_patterns(traffic_slow(s, d), "daily", NOW)),
     duck("traffic_slow", f"""WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, 'daily' AS pattern_type, 'pattern_deviation' AS anomaly_type, 'medium' AS severity,
