@@ -100,10 +100,10 @@ def _rule_groups(events: DataFrame, rule: CorrelationRule) -> DataFrame:
 class _Window:
     """Positions of a rule window inside a flat array of sorted groups."""
 
-    def __init__(self, rows: pd.DataFrame, group: np.ndarray, rule: CorrelationRule):
+    def __init__(self, rows: pd.DataFrame, group: np.ndarray, rule: CorrelationRule, span: int | None = None):
         width = rule.window_seconds * 4_000_000
         offset = rows["_t"].to_numpy() - (rows["_bucket"].to_numpy() - 1) * width
-        codes = group.astype(np.int64) * (4 * width) + offset
+        codes = group.astype(np.int64) * (span or 4 * width) + offset
         self.n = len(rows)
         self.at = np.arange(self.n)
         first = np.searchsorted(group, group, side="left")
@@ -196,11 +196,12 @@ def match_sequence(events: DataFrame, rule: CorrelationRule) -> DataFrame:
                              "event_id long, matched array<long>")
 
 
-def _apply_rule(events: DataFrame, rule: CorrelationRule) -> DataFrame:
+def rule_matcher(rule: CorrelationRule):
+    """Function (sorted rows, group numbers) -> matches of the rows marked ``_own``."""
     keep = rule.max_events
 
-    def match(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        w = _Window(rows, group, rule)
+    def match(rows: pd.DataFrame, group: np.ndarray, span: int | None = None) -> pd.DataFrame:
+        w = _Window(rows, group, rule, span)
         kinds = rows["attack_type"].to_numpy()
         parts = [w.at[:, None]]
         if rule.sequence:
@@ -230,7 +231,11 @@ def _apply_rule(events: DataFrame, rule: CorrelationRule) -> DataFrame:
         matched = np.split(flat, np.cumsum(size[take])[:-1]) if take.any() else []
         return pd.DataFrame({"event_id": ids[take], "rule_id": rule.rule_id, "matched": matched})
 
-    return map_sorted_groups(_rule_groups(events, rule), ["_key", "_bucket"], ["_t", "event_id"], match,
+    return match
+
+
+def _apply_rule(events: DataFrame, rule: CorrelationRule) -> DataFrame:
+    return map_sorted_groups(_rule_groups(events, rule), ["_key", "_bucket"], ["_t", "event_id"], rule_matcher(rule),
                              "event_id long, rule_id string, matched array<long>", spread=True)
 
 

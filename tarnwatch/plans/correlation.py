@@ -87,11 +87,11 @@ _RULES = f"""{_SEQ}, p6 AS ({_PAIR.format(key='source_ip', w=21600)}), pc AS ({_
 add("apply_rules", lambda s, d: C.apply_rules(events(s, d)).select("event_id", "rule_id", _text("matched")),
     duck("corr_events", f"WITH {_RULES} SELECT anchor AS event_id, rule_id, matched FROM ma"))
 
-# --- component-based membership (checked against brute force in the tests) -------------------
+# --- component-based membership ---------------------------------------------------------------
 
 
-def found_members(s, d):
-    return cut(C.sequence_members(C.apply_rules(events(s, d)), events(s, d)))
+def found_members(s, d, rules=(RECON,)):
+    return cut(C.sequence_members(C.apply_rules(events(s, d), rules), events(s, d)))
 
 
 def found_campaigns(s, d):
@@ -102,13 +102,17 @@ def found_campaigns(s, d):
 
 def _built(s, d):
     m, seq, camp = found_campaigns(s, d)
-    return rounded(C.build_campaigns(camp, seq, m))
+    return rounded(C.build_campaigns(cut(camp), seq, m))
 
 
-add("build_sequences", lambda s, d: C.describe_sequences(found_members(s, d)).select(
-    "sequence_id", "event_count", "start_time", "end_time", "duration_seconds", "severity", "description"))
-add("group_campaigns", lambda s, d: found_campaigns(s, d)[2])
-add("build_campaigns", _built)
+_FOUND = f"""{_SEQ}, mt AS (SELECT * FROM sq), lk AS (SELECT a AS x, b AS y FROM mt UNION SELECT b, c FROM mt UNION SELECT c, anchor FROM mt),
+  bi AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
+  rc(n, r) AS (SELECT DISTINCT x, x FROM bi UNION SELECT bi.y, rc.r FROM rc JOIN bi ON bi.x = rc.n),
+  cm AS (SELECT n, min(r) AS sequence_id FROM rc GROUP BY 1),
+  me AS (SELECT e.*, sequence_id FROM corr_events e JOIN cm ON cm.n = e.event_id)"""
+_SEQ_COLS = ("sequence_id", "event_count", "start_time", "end_time", "duration_seconds", "severity")
+add("build_sequences_all_rules", lambda s, d: C.describe_sequences(found_members(s, d, C.DEFAULT_RULES)).select(
+    *_SEQ_COLS, "description"))
 
 # --- the same scoring over plain groups ---------------------------------------------------------
 
@@ -129,7 +133,8 @@ def campaigns(s, d):
 
 _MEM = """me AS (SELECT *, source_ip || '/' || CAST(epoch(ts)::BIGINT // 10800 AS VARCHAR) AS sequence_id,
     'net' || split_part(source_ip, '.', 3) || '-' || (epoch(ts)::BIGINT // 10800) % 2 AS campaign_id FROM corr_events),
-  fs AS (SELECT sequence_id, stage_idx, stage, min(ts) AS f FROM me GROUP BY 1, 2, 3),
+  """
+_SCORED = """fs AS (SELECT sequence_id, stage_idx, stage, min(ts) AS f FROM me GROUP BY 1, 2, 3),
   so AS (SELECT sequence_id, stage_idx, stage, f, lag(stage_idx) OVER (PARTITION BY sequence_id ORDER BY f) AS pv FROM fs),
   st AS (SELECT sequence_id, count(*) AS ns, count(*) FILTER (WHERE stage_idx >= pv) AS up,
      string_agg(upper(stage[1]) || replace(replace(replace(stage[2:], '_control', ' Control'), '_objectives', ' Objectives'), '_', ' '), ', ' ORDER BY f) AS names FROM so GROUP BY 1),
@@ -140,6 +145,10 @@ _MEM = """me AS (SELECT *, source_ip || '/' || CAST(epoch(ts)::BIGINT // 10800 A
      FROM me m JOIN pg ON pg.sequence_id = m.sequence_id GROUP BY 1),
   sc AS (SELECT *, least(n / 10.0::DOUBLE, 0.3) + least(dur / 3600.0::DOUBLE / 24, 0.2) + prog * 0.2::DOUBLE + conf * 0.15::DOUBLE + least(ns / 7.0::DOUBLE, 0.1) + least(nt / 5.0::DOUBLE, 0.05) AS score FROM sg),
   sv AS (SELECT *, CASE WHEN score >= 0.8::DOUBLE THEN 'critical' WHEN score >= 0.6::DOUBLE THEN 'high' WHEN score >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS severity FROM sc)"""
+_MEM += _SCORED
+_FOUND_SCORED = f"{_FOUND}, " + _SCORED.replace("any_value(campaign_id) AS campaign_id, ", "")
+add("build_sequences", lambda s, d: C.describe_sequences(found_members(s, d)).select(*_SEQ_COLS),
+    duck("corr_events", f"WITH RECURSIVE {_FOUND_SCORED} SELECT sequence_id, n AS event_count, s AS start_time, e AS end_time, dur AS duration_seconds, severity FROM sv"))
 add("progression_score", lambda s, d: rounded(sequences(s, d).select("sequence_id", "progression_score")),
     duck("corr_events", f"WITH {_MEM} SELECT sequence_id, round(prog, 6) AS progression_score FROM sv"))
 add("sequence_severity", lambda s, d: sequences(s, d).select("sequence_id", "event_count", "start_time", "end_time", "severity"),
@@ -155,6 +164,12 @@ _SETS = """se AS (SELECT sequence_id, min(ts) AS s, list_distinct(list(source_ip
      0.3::DOUBLE * len(list_intersect(x.a, y.a)) / len(list_distinct(x.a || y.a)) + 0.2::DOUBLE * len(list_intersect(x.b, y.b)) / len(list_distinct(x.b || y.b))
      + 0.3::DOUBLE * len(list_intersect(x.c, y.c)) / len(list_distinct(x.c || y.c)) + 0.2::DOUBLE * greatest(0, 1 - abs(epoch(x.s) - epoch(y.s)) / 86400) AS sim
      FROM se x JOIN se y ON x.sequence_id < y.sequence_id AND abs(epoch(x.s) - epoch(y.s)) <= 604800)"""
+add("group_campaigns", lambda s, d: found_campaigns(s, d)[2],
+    duck("corr_events", f"""WITH RECURSIVE {_FOUND}, {_SETS}, sl AS (SELECT a AS x, b AS y FROM pr WHERE sim > 0.6::DOUBLE UNION SELECT b, a FROM pr WHERE sim > 0.6::DOUBLE),
+      cr(n, r) AS (SELECT DISTINCT x, x FROM sl UNION SELECT sl.y, cr.r FROM cr JOIN sl ON sl.x = cr.n),
+      cc AS (SELECT n AS sequence_id, min(r) AS campaign_id FROM cr GROUP BY 1)
+      SELECT * FROM (SELECT sequence_id, campaign_id, count(*) OVER (PARTITION BY campaign_id) AS c FROM cc) WHERE c >= 3""").replace("SELECT * FROM (SELECT sequence_id, campaign_id", "SELECT sequence_id, campaign_id FROM (SELECT sequence_id, campaign_id"))
+add("build_campaigns", _built)
 add("sequence_similarity", lambda s, d: rounded(C.sequence_similarity(sequences(s, d), members(s, d))),
     duck("corr_events", f"WITH {_MEM}, {_SETS} SELECT a, b, round(sim, 6) AS similarity FROM pr WHERE sim > 0.6::DOUBLE"))
 

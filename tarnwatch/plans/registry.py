@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["traffic", "alerting", "signature", "intel", "preparation", "reporting", "behaviour", "correlation"]
+MODULES = ["traffic", "alerting", "signature", "intel", "preparation", "reporting", "behaviour", "correlation", "streamed"]
 
 
 def _collect(attribute: str) -> dict:

@@ -20,7 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _traffic(spark: SparkSession, sf_dir: str, slow: bool) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return traffic_of(table(spark, sf_dir, "events"), slow)
+
+
+def traffic_stream(spark: SparkSession, sf_dir: str, slow: bool = False) -> DataFrame:
+    """The same view over ``events`` read as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return traffic_of(spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet"), slow)
+
+
+def traffic_of(ev: DataFrame, slow: bool = False) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     ts = F.col("ts").cast("timestamp") if slow else F.timestamp_seconds(
         F.lit(EPOCH) + F.col("event_id") * 4)
