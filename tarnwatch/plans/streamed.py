@@ -28,7 +28,7 @@ def _events(s, d):
 
 def _parsed(s, d):
     fields = ["record_id", "ts", "source_ip", "destination_ip", "source_port", "destination_port", "protocol",
-              F.col("packet_size").cast("long"), "duration", "flags", "features", F.col("attack_type").alias("label")]
+              F.col("packet_size").cast("long").alias("packet_size"), "duration", "flags", "features", F.col("attack_type").alias("label")]
     messages = traffic_stream(s, d).select(F.to_json(F.struct(*fields)).alias("value"))
     return S.drain(S.parse_messages(messages), "messages").select(
         "record_id", "source_ip", "destination_port", "packet_size", "label", F.array_join("flags", ",").alias("flags"))
