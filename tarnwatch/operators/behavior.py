@@ -96,7 +96,7 @@ def zscore_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, min_o
     state = observations(traffic, entity, extra).groupBy("entity_id", "feature").agg(
         F.count(base).alias("count"), F.sum(base).alias("sum"), F.sum(base * base).alias("sum_squares"),
         F.avg(F.when(recent, v)).alias("observed_value"))
-    z = F.abs(F.col("observed_value") - F.col("mean")) / F.col("std")
+    z = F.try_divide(F.abs(F.col("observed_value") - F.col("mean")), F.col("std"))
     hits = (finish(state).where((F.col("count") >= min_obs) & (F.col("std") > 0) & F.col("observed_value").isNotNull())
             .withColumn("z_score", z).where(F.col("z_score") > Z_LIMIT)
             .withColumn("severity", z_severity(F.col("z_score"))))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark import StorageLevel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.ml import Pipeline
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +32,7 @@ def estimator(algorithm: str, features: int, classes: int, seed: int = 42, **par
         trees = GBTClassifier(seed=seed, **{"maxIter": 20, **params})
         return trees if classes <= 2 else OneVsRest(classifier=trees)
     if algorithm == "svm":
-        svm = LinearSVC(**{"maxIter": 50, **params})
+        svm = LinearSVC(**{"maxIter": 50, "regParam": 0.01, **params})
         return svm if classes <= 2 else OneVsRest(classifier=svm)
     if algorithm == "neural_network":
         return MultilayerPerceptronClassifier(seed=seed, layers=[features, max(8, 2 * features), classes],
@@ -65,9 +65,12 @@ def train_models(df: DataFrame, label: str, columns: list[str], algorithms=None,
     if unknown:
         raise ValueError(f"Unsupported algorithm: {unknown[0]}")
     classes = classes or label_index(df, label)
-    data = indexed(df, label, classes)
-    return {a: model_pipeline(a, columns, len(classes), seed, **(params or {}).get(a, {})).fit(data)
-            for a in algorithms or ALGORITHMS}
+    # every algorithm passes over the rows many times
+    data = indexed(df, label, classes).select("label", *columns).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = {a: model_pipeline(a, columns, len(classes), seed, **(params or {}).get(a, {})).fit(data)
+              for a in algorithms or ALGORITHMS}
+    data.unpersist()
+    return fitted
 
 
 def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algorithm: str, grid: dict[str, list],
@@ -82,6 +85,7 @@ def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algor
     for name, values in grid.items():
         builder = builder.addGrid(classifier.getParam(name), values)
     maps = builder.build()
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     rows, fitted = [], None
     scores = {}
     for metric in ("accuracy", "f1"):
@@ -90,9 +94,10 @@ def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algor
         model = search.fit(data)
         scores[metric] = (model.avgMetrics, model.stdMetrics)
         fitted = model
+    data.unpersist()
     for i, m in enumerate(maps):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name))
-        rows.append((text, scores["accuracy"][0][i], scores["accuracy"][1][i], scores["f1"][0][i], scores["f1"][1][i]))
+        rows.append((text, *[float(scores[m][part][i]) for m in ("accuracy", "f1") for part in (0, 1)]))
     table = df.sparkSession.createDataFrame(
         rows, "params string, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double")
     return fitted, table
@@ -180,24 +185,24 @@ def roc_pr_points(scored: DataFrame, keys: list[str] = [], label: str = "label",
         count_if(pos).alias("p"), count_if(~pos).alias("n")).withColumn("_o", -F.col("threshold"))
     run = running(per, keys, ["_o"], F.floor(F.col("_o") * 256).cast("long"),
                   {"cum_p": ("sum", F.col("p")), "cum_n": ("sum", F.col("n"))})
-    totals = per.groupBy(*keys).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    totals = per.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     if keys:
         joined = run.join(totals, keys)
     else:
         t = totals.first()
-        joined = run.withColumns({"P": F.lit(t["P"] or 0), "N": F.lit(t["N"] or 0)})
-    return joined.select(*keys, "threshold", "p", "n", "cum_p", "cum_n", "P", "N",
-                         ratio(F.col("cum_n"), F.col("N")).alias("fpr"), ratio(F.col("cum_p"), F.col("P")).alias("tpr"),
+        joined = run.withColumns({"positives": F.lit(t["positives"] or 0), "negatives": F.lit(t["negatives"] or 0)})
+    return joined.select(*keys, "threshold", "p", "n", "cum_p", "cum_n", "positives", "negatives",
+                         ratio(F.col("cum_n"), F.col("negatives")).alias("fpr"), ratio(F.col("cum_p"), F.col("positives")).alias("tpr"),
                          ratio(F.col("cum_p"), F.col("cum_p") + F.col("cum_n")).alias("precision"),
-                         ratio(F.col("cum_p"), F.col("P")).alias("recall"))
+                         ratio(F.col("cum_p"), F.col("positives")).alias("recall"))
 
 
 def roc_pr_summary(points: DataFrame, keys: list[str] = []) -> DataFrame:
     """Area under the ROC curve (trapezoid) and average precision per key."""
     strip = F.col("n") * (2.0 * F.col("cum_p") - F.col("p")) / 2
     return points.groupBy(*keys).agg(
-        ratio(F.sum(strip), F.max(F.col("P")) * F.max(F.col("N")).cast("double")).alias("auc"),
-        ratio(F.sum(F.col("p") * F.col("precision")), F.max("P")).alias("average_precision"))
+        ratio(F.sum(strip), F.max("positives") * F.max("negatives").cast("double")).alias("auc"),
+        ratio(F.sum(F.col("p") * F.col("precision")), F.max("positives")).alias("average_precision"))
 
 
 def one_vs_rest(scored: DataFrame, classes: list, label: str = "label", scores: str = "scores") -> DataFrame:

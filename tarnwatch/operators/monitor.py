@@ -69,7 +69,7 @@ def mann_whitney(values: DataFrame, keys: list[str], value: str, side: str) -> D
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     total = n1 + n2
-    sigma = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.col("ties") / (total * (total - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.coalesce(F.try_divide("ties", total * (total - 1)), F.lit(0.0))))
     z = F.greatest((F.abs(u1 - n1 * n2 / 2) - 0.5) / sigma, F.lit(0.0))
     return sums.withColumn("u", u1).withColumn(
         "p_value", F.when(sigma > 0, F.least(2 * normal_cdf_complement(z), F.lit(1.0))).otherwise(1.0)
@@ -86,7 +86,7 @@ def detect_drift(metrics: DataFrame, now: datetime, window_days: float = 7, min_
     means = used.groupBy(*keys).agg(
         F.avg(F.when(F.col("recent"), F.col("metric_value"))).alias("current_value"),
         F.avg(F.when(~F.col("recent"), F.col("metric_value"))).alias("baseline_value"))
-    change = F.abs(F.col("current_value") - F.col("baseline_value")) / F.abs("baseline_value")
+    change = F.try_divide(F.abs(F.col("current_value") - F.col("baseline_value")), F.abs("baseline_value"))
     means = means.where((F.col("baseline_value") != 0) & F.col("current_value").isNotNull()).withColumn(
         "drift_score", change)
     tested = means.where(F.col("drift_score") > threshold).join(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tarnwatch import constants as K
 from tarnwatch.functions import net
-from tarnwatch.functions.columns import count_if, lookup
+from tarnwatch.functions.columns import count_if, lookup, ratio
 from tarnwatch.operators.quantiles import exact_quantiles
 from tarnwatch.operators.scan import running
 
@@ -93,7 +93,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
     fields = df.schema.fields
     counts = df.agg(F.count("*").alias("_n"), *[count_if(is_missing(f)).alias(f.name) for f in fields])
     rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("missing"),
-                              (F.col(f"`{f.name}`") * 100.0 / F.col("_n")).alias("percent")) for f in fields])
+                              ratio(F.col(f"`{f.name}`") * 100.0, F.col("_n")).alias("percent")) for f in fields])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -188,7 +188,7 @@ def load_stats(df: DataFrame) -> DataFrame:
     nulls = sum((F.when(is_missing(f), 1).otherwise(0) for f in df.schema.fields), F.lit(0))
     totals = groups.agg(F.sum("_n").alias("rows"), F.sum(nulls * F.col("_n")).alias("nulls"),
                         F.sum(F.col("_n") - 1).alias("duplicates"))
-    return totals.withColumn("duplicate_pct", F.col("duplicates") * 100.0 / F.col("rows"))
+    return totals.withColumn("duplicate_pct", ratio(F.col("duplicates") * 100.0, F.col("rows")))
 
 
 def quality_report(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def traffic_of(ev: DataFrame, slow: bool = False) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, "rf-1.0.0").otherwise("rf-1.1.0").alias("model_version"),
     ).withColumn("flags", F.split("flags_csv", ","))
      .withColumn("features", F.create_map(
-         F.lit("bytes_per_second"), F.col("packet_size") / F.col("duration"),
+         F.lit("bytes_per_second"), F.try_divide(F.col("packet_size"), F.col("duration")),
          F.lit("k_value"), F.col("k").cast("double"))))
 
 
