@@ -131,6 +131,22 @@ def campaigns(s, d):
     return members(s, d).select("sequence_id", "campaign_id").distinct()
 
 
+def grouped(s, d):
+    """Members with their sequence and campaign tables, each computed once."""
+    mem = members(s, d)
+    return mem, cut(C.describe_sequences(mem)), cut(mem.select("sequence_id", "campaign_id").distinct())
+
+
+def _confidence(s, d):
+    mem, seq, camp = grouped(s, d)
+    return C.campaign_confidence(camp, seq, mem)
+
+
+def _over_groups(s, d):
+    mem, seq, camp = grouped(s, d)
+    return C.build_campaigns(camp, seq, mem)
+
+
 _MEM = """me AS (SELECT *, source_ip || '/' || CAST(epoch(ts)::BIGINT // 10800 AS VARCHAR) AS sequence_id,
     'net' || split_part(source_ip, '.', 3) || '-' || (epoch(ts)::BIGINT // 10800) % 2 AS campaign_id FROM corr_events),
   """
@@ -184,7 +200,7 @@ _CAMP = f"""{_MEM}, {_SETS},
   ca AS (SELECT cf.*, types, n_src, n_dst, tcons, coalesce(j / c, 0.0) AS dcons, least(least(sequence_count / 10.0::DOUBLE, 0.3) + ap * 0.25::DOUBLE + tcons * 0.2::DOUBLE + coalesce(j / c, 0.0) * 0.15::DOUBLE
      + least(len(types) / 5.0::DOUBLE, 1.0) * 0.1::DOUBLE, 1.0) AS conf FROM cf JOIN tc ON tc.campaign_id = cf.campaign_id JOIN ct ON ct.campaign_id = cf.campaign_id LEFT JOIN ts_ ON ts_.campaign_id = cf.campaign_id)"""
 add("campaign_confidence",
-    lambda s, d: rounded(C.campaign_confidence(campaigns(s, d), sequences(s, d), members(s, d)).select(
+    lambda s, d: rounded(_confidence(s, d).select(
         "campaign_id", "sequence_count", "total_events", "max_severity", "avg_progression_score", "time_consistency", "target_consistency", "confidence_score")),
     duck("corr_events", f"""WITH {_CAMP} SELECT campaign_id, sequence_count, total_events, (['low','medium','high','critical'])[ms + 1] AS max_severity, round(ap, 6) AS avg_progression_score,
       round(tcons, 6) AS time_consistency, round(dcons, 6) AS target_consistency, round(conf, 6) AS confidence_score FROM ca"""))
@@ -224,7 +240,7 @@ _IOC = "unnest(['ip:' || source_ip, 'port:' || source_port, 'protocol:' || proto
 add("campaign_iocs", lambda s, d: C.campaign_iocs(campaigns(s, d), members(s, d)),
     duck("corr_events", f"WITH {_MEM} SELECT DISTINCT campaign_id, {_IOC} AS indicator FROM me"))
 add("campaigns_over_groups",
-    lambda s, d: rounded(C.build_campaigns(campaigns(s, d), sequences(s, d), members(s, d)).select(
+    lambda s, d: rounded(_over_groups(s, d).select(
         "campaign_id", "name", "start_time", "end_time", "duration_seconds", "source_count", "target_count", "indicator_count",
         F.array_join("attack_types", ",").alias("attack_types"), "confidence_score")),
     duck("corr_events", f"""WITH {_CAMP}, io AS (SELECT campaign_id, count(DISTINCT i) AS n FROM (SELECT campaign_id, {_IOC} AS i FROM me) GROUP BY 1)
@@ -247,8 +263,7 @@ add("threat_context", lambda s, d: rounded(context(s, d)),
 
 
 def _prioritized(s, d):
-    mem = members(s, d)
-    seq, camp = cut(C.describe_sequences(mem)), cut(mem.select("sequence_id", "campaign_id").distinct())
+    mem, seq, camp = grouped(s, d)
     return C.prioritize_alerts(alerts(s, d), C.threat_context(events(s, d), seq, mem), seq, mem, camp, C.campaign_confidence(camp, seq, mem), NOW, recent_campaigns=3)
 
 
