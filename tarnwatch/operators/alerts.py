@@ -95,7 +95,7 @@ def _codes(group: np.ndarray, ts: np.ndarray, span: int) -> np.ndarray:
 
 
 def keep_spaced(df: DataFrame, keys: list[str], window_seconds: float, ts: str = "ts",
-                id_col: str = "record_id", bucket_windows: int = 64) -> DataFrame:
+                id_col: str = "record_id", bucket_windows: int = 24) -> DataFrame:
     """Keep a row iff it lies at least ``window`` after the last *kept* row of its key.
 
     The greedy chain is sequential per key, so a hot key is cut into time buckets

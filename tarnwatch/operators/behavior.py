@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnwatch import constants as K
 from tarnwatch.functions.columns import cases, count_if, safe_corr
 from tarnwatch.functions.text import md5_id
-from tarnwatch.operators.features import behavior_vector
+from tarnwatch.operators.features import behavior_vector, built_in_features
 from tarnwatch.operators.scan import map_sorted_groups
 
 # fixed values: analysis settings
@@ -39,6 +39,21 @@ def profile_parts(obs: DataFrame) -> DataFrame:
         F.min(v).alias("min"), F.max(v).alias("max"), F.max("ts").alias("last_updated"))
 
 
+def _built_in_parts(traffic: DataFrame, entity: str, keep: Column | None, recent: Column | None) -> DataFrame:
+    """Same state for the built-in features, aggregated side by side: no row is repeated per feature."""
+    aggs, entries = [], []
+    for i, (name, value) in enumerate(built_in_features().items()):
+        v = value if keep is None else F.when(keep, value)
+        named = {"count": F.count(v), "sum": F.sum(v), "sum_squares": F.sum(v * v), "min": F.min(v), "max": F.max(v)}
+        if recent is not None:
+            named["observed_value"] = F.avg(F.when(recent, value))
+        aggs += [agg.alias(f"{stat}{i}") for stat, agg in named.items()]
+        entries.append(F.struct(F.lit(name).alias("feature"), *[F.col(f"{stat}{i}").alias(stat) for stat in named]))
+    wide = traffic.groupBy(F.col(entity).alias("entity_id")).agg(F.max("ts").alias("last_updated"), *aggs)
+    return wide.select("entity_id", "last_updated", F.explode(F.array(*entries)).alias("e")).select(
+        "entity_id", "e.*", "last_updated")
+
+
 def merge_parts(parts: list[DataFrame]) -> DataFrame:
     """Combine partial profiles, e.g. the stored one with the one of a new batch."""
     both = parts[0]
@@ -58,6 +73,8 @@ def finish(parts: DataFrame) -> DataFrame:
 
 
 def behavior_profiles(traffic: DataFrame, entity: str = "source_ip", extra: str | None = None) -> DataFrame:
+    if extra is None:
+        return finish(_built_in_parts(traffic, entity, None, None))
     return finish(profile_parts(observations(traffic, entity, extra)))
 
 
@@ -91,11 +108,14 @@ def zscore_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, min_o
     One aggregation yields the profile and the recent sums side by side.
     """
     recent = F.col("ts") >= F.lit(now - timedelta(hours=hours))
-    v = F.col("value")
-    base = F.when(~recent, v) if exclude_recent else v
-    state = observations(traffic, entity, extra).groupBy("entity_id", "feature").agg(
-        F.count(base).alias("count"), F.sum(base).alias("sum"), F.sum(base * base).alias("sum_squares"),
-        F.avg(F.when(recent, v)).alias("observed_value"))
+    if extra is None:
+        state = _built_in_parts(traffic, entity, ~recent if exclude_recent else None, recent)
+    else:
+        v = F.col("value")
+        base = F.when(~recent, v) if exclude_recent else v
+        state = observations(traffic, entity, extra).groupBy("entity_id", "feature").agg(
+            F.count(base).alias("count"), F.sum(base).alias("sum"), F.sum(base * base).alias("sum_squares"),
+            F.avg(F.when(recent, v)).alias("observed_value"))
     z = F.try_divide(F.abs(F.col("observed_value") - F.col("mean")), F.col("std"))
     hits = (finish(state).where((F.col("count") >= min_obs) & (F.col("std") > 0) & F.col("observed_value").isNotNull())
             .withColumn("z_score", z).where(F.col("z_score") > Z_LIMIT)

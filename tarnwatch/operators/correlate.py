@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -86,6 +87,11 @@ def attack_nodes(events: DataFrame) -> DataFrame:
 
 # --- rules, one pass per rule --------------------------------------------------------
 
+def _slice_seconds(rule: CorrelationRule) -> int:
+    """Slice width: long windows get slices of their own length, so that a busy key is cut finely."""
+    return rule.window_seconds * (4 if rule.window_seconds < 3_600 else 1) + 1
+
+
 def _rule_groups(events: DataFrame, rule: CorrelationRule) -> DataFrame:
     """Events per rule key and time slice, with the rule window copied in front of each slice."""
     key = F.concat_ws("|", *([F.col("source_ip")] if rule.same_source else []),
@@ -93,62 +99,92 @@ def _rule_groups(events: DataFrame, rule: CorrelationRule) -> DataFrame:
     slim = events.select(key.alias("_key"), "ts", "event_id", "attack_type", "source_ip",
                          F.coalesce("stage_idx", F.lit(-1)).alias("stage_idx"),
                          F.coalesce("sev_idx", F.lit(-1)).alias("sev_idx"))
-    return with_lookback(slim, "ts", rule.window_seconds * 4, rule.window_seconds + 1e-6).withColumn(
+    return with_lookback(slim, "ts", _slice_seconds(rule), rule.window_seconds + 1e-6).withColumn(
         "_t", F.unix_micros("ts")).drop("ts")
 
 
 class _Window:
-    """Positions of a rule window inside a flat array of sorted groups."""
+    """Positions of a rule window inside a flat array of sorted groups.
+
+    ``part`` restricts the evaluated rows; what concerns all rows (positions per
+    level, next higher level) is computed once and shared between parts.
+    """
 
     def __init__(self, rows: pd.DataFrame, group: np.ndarray, rule: CorrelationRule, span: int | None = None):
-        width = rule.window_seconds * 4_000_000
+        width = _slice_seconds(rule) * 1_000_000
         offset = rows["_t"].to_numpy() - (rows["_bucket"].to_numpy() - 1) * width
         codes = group.astype(np.int64) * (span or 4 * width) + offset
         self.n = len(rows)
-        self.at = np.arange(self.n)
+        self.at = self.every = np.arange(self.n)
         first = np.searchsorted(group, group, side="left")
         self.start = np.maximum(np.searchsorted(codes, codes - rule.window_seconds * 1_000_000), first)
+        self.known: dict = {}
 
-    def newest(self, positions: np.ndarray, stop: np.ndarray, keep: int, start=None):
+    def part(self, index) -> _Window:
+        w = copy.copy(self)
+        w.at, w.start = self.at[index], self.start[index]
+        return w
+
+    def _positions(self, name: str, values: np.ndarray, wanted) -> np.ndarray:
+        key = (name, wanted)
+        if key not in self.known:
+            self.known[key] = np.flatnonzero(values == wanted)
+        return self.known[key]
+
+    def newest(self, positions: np.ndarray, stop: np.ndarray, keep: int):
         """(count, matrix): the last ``keep`` of ``positions`` inside [start, stop) per row, -1 padded."""
-        start = self.start if start is None else start
-        hi, lo = np.searchsorted(positions, stop), np.searchsorted(positions, start)
+        hi, lo = np.searchsorted(positions, stop), np.searchsorted(positions, self.start)
         idx = hi[:, None] - 1 - np.arange(keep)[None, :]
         safe = positions[np.clip(idx, 0, max(len(positions) - 1, 0))] if len(positions) else np.full(idx.shape, -1)
         return hi - lo, np.where(idx >= lo[:, None], safe, -1)
 
-    def non_decreasing(self, level: np.ndarray, keep: int) -> np.ndarray:
+    def non_decreasing(self, name: str, level: np.ndarray, keep: int) -> np.ndarray:
         """Rows of the window accepted while levels must not fall; rows without a level (-1) are skipped.
 
         A row of level k is accepted iff no higher level came before it in the window.
         """
-        total, parts = np.zeros(self.n, dtype=np.int64), []
-        for k in np.unique(level[level >= 0]):
-            higher = np.where(level > k, self.at, self.n)
-            next_higher = np.minimum.accumulate(higher[::-1])[::-1]
-            stop = np.minimum(self.at + 1, next_higher[self.start])
-            count, found = self.newest(np.flatnonzero(level == k), stop, keep)
+        total, parts = np.zeros(len(self.at), dtype=np.int64), []
+        if name not in self.known:
+            self.known[name] = np.unique(level[level >= 0])
+        for k in self.known[name]:
+            key = (name, "higher", k)
+            if key not in self.known:
+                higher = np.where(level > k, self.every, self.n)
+                self.known[key] = np.minimum.accumulate(higher[::-1])[::-1]
+            stop = np.minimum(self.at + 1, self.known[key][self.start])
+            count, found = self.newest(self._positions(name, level, k), stop, keep)
             total += count
             parts.append(found)
         if not parts:
-            return np.full((self.n, 1), -1)
+            return np.full((len(self.at), 1), -1)
         return np.where((total >= 2)[:, None], np.hstack(parts), -1)
 
     def ordered(self, kinds: np.ndarray, pattern: tuple[str, ...]) -> np.ndarray:
         """Greedy ordered occurrence of the pattern in the window; -1 rows when incomplete."""
         found, after = [], self.start - 1
         for kind in pattern:
-            positions = np.append(np.flatnonzero(kinds == kind), self.n)
+            positions = np.append(self._positions("kind", kinds, kind), self.n)
             after = positions[np.searchsorted(positions, np.minimum(after, self.n - 1), side="right")]
             found.append(after)
         complete = found[-1] <= self.at
         return np.where(complete[:, None], np.column_stack(found), -1)
 
+    def similar(self, groups: np.ndarray, keep: int) -> np.ndarray:
+        """The newest rows of the window in the same similarity group."""
+        found = np.full((len(self.at), keep), -1)
+        mine = groups[self.at]
+        for kind in pd.unique(mine):
+            rows = np.flatnonzero(mine == kind)
+            w = self.part(slice(None)) if len(rows) == len(self.at) else self.part(rows)
+            found[rows] = w.newest(self._positions("similar", groups, kind), w.at, keep)[1]
+        return found
+
     def several(self, values: np.ndarray) -> np.ndarray:
         """Does the window hold a value different from the row's own?"""
-        changed = np.r_[False, values[1:] != values[:-1]]
-        last_other = np.maximum.accumulate(np.where(changed, self.at - 1, -1))
-        return last_other >= self.start
+        if "other" not in self.known:
+            changed = np.r_[False, values[1:] != values[:-1]]
+            self.known["other"] = np.maximum.accumulate(np.where(changed, self.every - 1, -1))
+        return self.known["other"][self.at] >= self.start
 
 
 def similar_group(attack_type) -> Column:
@@ -196,40 +232,50 @@ def match_sequence(events: DataFrame, rule: CorrelationRule) -> DataFrame:
                              "event_id long, matched array<long>")
 
 
+CHUNK_ROWS = 20_000
+
+
 def rule_matcher(rule: CorrelationRule):
-    """Function (sorted rows, group numbers) -> matches of the rows marked ``_own``."""
+    """Function (sorted rows, group numbers) -> matches of the rows marked ``_own``.
+
+    Rows are evaluated in chunks, so the matrix of candidates stays small however
+    large a group is.
+    """
     keep = rule.max_events
 
     def match(rows: pd.DataFrame, group: np.ndarray, span: int | None = None) -> pd.DataFrame:
-        w = _Window(rows, group, rule, span)
-        kinds = rows["attack_type"].to_numpy()
-        parts = [w.at[:, None]]
-        if rule.sequence:
-            parts.append(w.ordered(kinds, rule.sequence))
-        if rule.kill_chain:
-            parts.append(w.non_decreasing(rows["stage_idx"].to_numpy(), keep))
-        if rule.similar_types:
-            similar = _similar(kinds)
-            found = np.full((w.n, keep), -1)
-            for kind in pd.unique(similar):
-                mine = np.flatnonzero(similar == kind)
-                found[mine] = w.newest(mine, mine, keep, w.start[mine])[1]
-            parts.append(found)
-        if rule.escalating:
-            parts.append(w.non_decreasing(rows["sev_idx"].to_numpy(), keep))
-        all_ = -np.sort(-np.hstack(parts), axis=1)
-        fresh = all_ >= 0
-        fresh[:, 1:] &= all_[:, 1:] != all_[:, :-1]
-        fresh &= np.cumsum(fresh, axis=1) <= keep
-        size = fresh.sum(axis=1)
-        take = rows["_own"].to_numpy() & (size >= rule.min_events)
-        if rule.multiple_sources:
-            take &= w.several(rows["source_ip"].to_numpy())
-        ids = rows["event_id"].to_numpy()
-        # oldest first: reverse the newest-first layout
-        flat = ids[all_[take][:, ::-1][fresh[take][:, ::-1]]]
-        matched = np.split(flat, np.cumsum(size[take])[:-1]) if take.any() else []
-        return pd.DataFrame({"event_id": ids[take], "rule_id": rule.rule_id, "matched": matched})
+        whole = _Window(rows, group, rule, span)
+        kinds, sources = rows["attack_type"].to_numpy(), rows["source_ip"].to_numpy()
+        stages, severities = rows["stage_idx"].to_numpy(), rows["sev_idx"].to_numpy()
+        groups = _similar(kinds) if rule.similar_types else None
+        ids, own = rows["event_id"].to_numpy(), np.flatnonzero(rows["_own"].to_numpy())
+        events, lists = [], []
+        for lo in range(0, len(own), CHUNK_ROWS):
+            w = whole.part(own[lo:lo + CHUNK_ROWS])
+            parts = [w.at[:, None]]
+            if rule.sequence:
+                parts.append(w.ordered(kinds, rule.sequence))
+            if rule.kill_chain:
+                parts.append(w.non_decreasing("stage", stages, keep))
+            if rule.similar_types:
+                parts.append(w.similar(groups, keep))
+            if rule.escalating:
+                parts.append(w.non_decreasing("severity", severities, keep))
+            all_ = -np.sort(-np.hstack(parts), axis=1)
+            fresh = all_ >= 0
+            fresh[:, 1:] &= all_[:, 1:] != all_[:, :-1]
+            fresh &= np.cumsum(fresh, axis=1) <= keep
+            size = fresh.sum(axis=1)
+            take = size >= rule.min_events
+            if rule.multiple_sources:
+                take &= w.several(sources)
+            if take.any():
+                # oldest first: reverse the newest-first layout
+                flat = ids[all_[take][:, ::-1][fresh[take][:, ::-1]]]
+                lists += np.split(flat, np.cumsum(size[take])[:-1])
+                events.append(ids[w.at[take]])
+        found = np.concatenate(events) if events else np.empty(0, dtype=np.int64)
+        return pd.DataFrame({"event_id": found, "rule_id": rule.rule_id, "matched": lists})
 
     return match
 

@@ -42,17 +42,23 @@ def length_features(df: DataFrame, ihl: str = "ihl") -> DataFrame:
     return df.withColumns({"header_length": header, "payload_length": F.col("packet_size") - header})
 
 
+def built_in_features() -> dict[str, Column]:
+    """Behaviour features every record has."""
+    return {
+        "packet_size": F.col("packet_size").cast("double"),
+        "duration": F.col("duration").cast("double"),
+        "destination_port": F.col("destination_port").cast("double"),
+        "source_port": F.col("source_port").cast("double"),
+        "protocol_numeric": net.behavior_protocol_number("protocol"),
+        "hour_of_day": F.hour("ts").cast("double"),
+        "day_of_week": F.weekday("ts").cast("double"),
+        "flags_count": F.size("flags").cast("double"),
+    }
+
+
 def behavior_vector(extra: str | None = "features") -> Column:
     """Feature map of a record; entries of the open map win over built-in ones."""
-    built_in = F.create_map(
-        F.lit("packet_size"), F.col("packet_size").cast("double"),
-        F.lit("duration"), F.col("duration").cast("double"),
-        F.lit("destination_port"), F.col("destination_port").cast("double"),
-        F.lit("source_port"), F.col("source_port").cast("double"),
-        F.lit("protocol_numeric"), net.behavior_protocol_number("protocol"),
-        F.lit("hour_of_day"), F.hour("ts").cast("double"),
-        F.lit("day_of_week"), F.weekday("ts").cast("double"),
-        F.lit("flags_count"), F.size("flags").cast("double"))
+    built_in = F.create_map(*[x for name, value in built_in_features().items() for x in (F.lit(name), value)])
     if extra is None:
         return built_in
     given = F.coalesce(F.col(extra), F.expr("map()").cast("map<string,double>"))

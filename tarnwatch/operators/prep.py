@@ -21,6 +21,7 @@ from tarnwatch.operators.quantiles import exact_quantiles
 from tarnwatch.operators.scan import map_sorted_groups
 
 MAX_CATEGORIES = 10_000
+MAX_INLINE = 64
 
 
 class Fitted:
@@ -54,7 +55,7 @@ class Encoder(Fitted):
         return self.transform(df).columns
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = []
+        out, joined = [], df
         for name in df.columns:
             if name not in self.categories:
                 out.append(F.col(f"`{name}`"))
@@ -63,12 +64,17 @@ class Encoder(Fitted):
             if self.handle_unknown == "error":
                 value = F.when(value.isin(*known), value).otherwise(F.raise_error(F.concat(
                     F.lit(f"unknown category in {name}: "), F.coalesce(value, F.lit("NULL")))))
-            if self.strategies[name] == "label":
+            if self.strategies[name] == "label" and len(known) > MAX_INLINE:
+                # the dictionary is bounded by MAX_CATEGORIES rows
+                codes = df.sparkSession.createDataFrame(list(zip(known, range(len(known)))), f"_v_{name} string, _c_{name} int")
+                joined = joined.join(F.broadcast(codes), value == F.col(f"_v_{name}"), "left")
+                out.append(F.coalesce(f"_c_{name}", F.lit(-1)).alias(name))
+            elif self.strategies[name] == "label":
                 out.append(lookup(value, {v: i for i, v in enumerate(known)}, -1).alias(name))
             else:
                 out += [F.coalesce((value == v).cast("int"), F.lit(0)).alias(self._name(name, v))
                         for v in known[1 if self.drop_first else 0:]]
-        return df.select(*out)
+        return joined.select(*out)
 
     def inverse(self, df: DataFrame) -> DataFrame:
         """Original text columns from encoded ones; unknown values come back as NULL."""

@@ -275,10 +275,10 @@ def order_hash(id_col: str, seed: int) -> Column:
 def rank_in_class(df: DataFrame, label: str, id_col: str, seed: int, name: str = "_rank") -> DataFrame:
     """1-based random (but repeatable) rank of every row inside its class.
 
-    The random order is cut into 4096 hash ranges, so no class is ordered in one task.
+    The random order is cut into 65536 hash ranges, so no class is ordered in one task.
     """
     hashed = df.withColumn("_h", order_hash(id_col, seed))
-    ranked = running(hashed, [label], ["_h", id_col], F.shiftright(F.col("_h"), 52), {name: ("count", F.lit(1))})
+    ranked = running(hashed, [label], ["_h", id_col], F.shiftright(F.col("_h"), 48), {name: ("count", F.lit(1))})
     return ranked.drop("_h")
 
 

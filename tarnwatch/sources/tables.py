@@ -60,6 +60,15 @@ def read_generation(spark: SparkSession, path: str) -> tuple[DataFrame | None, i
     return spark.read.parquet(f"{path}/gen={done[-1]:06d}"), done[-1]
 
 
+def prune_generations(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Drop all but the newest ``keep`` complete generations; returns the dropped numbers."""
+    old = _generations(spark, path)[:-keep] if keep else []
+    for number in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/gen={number:06d}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return old
+
+
 def prediction_log_rows(predictions: DataFrame, traffic: DataFrame) -> DataFrame:
     fields = ["record_id", "source_ip", "destination_ip", "source_port", "destination_port", "protocol",
               "packet_size", "duration"]

@@ -170,11 +170,8 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
             fresh = pd.concat([kept, fresh])
         rows = fresh.sort_values(["_t", "event_id"]).reset_index(drop=True)
         newest = int(rows["_t"].iloc[-1])
-        base = int(rows["_t"].iloc[0])
-        # one slice per call: place the rows of the key in consecutive slices of the rule's width
-        width = rule.window_seconds * 4_000_000
-        out = matcher(rows.assign(_bucket=base // width + 1), np.zeros(len(rows), dtype=np.int64),
-                      span=2 * (newest - base + width))
+        # the rows of a key form one group, whatever time they span
+        out = matcher(rows.assign(_bucket=1), np.zeros(len(rows), dtype=np.int64), span=2 * newest + window)
         tail = rows[rows["_t"] >= newest - window]
         state.update(tuple(tail[c].tolist() for c in columns))
         state.setTimeoutTimestamp(max(newest // 1000 + window // 1000, state.getCurrentWatermarkMs() + 1))
