@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
@@ -73,9 +73,19 @@ def train_models(df: DataFrame, label: str, columns: list[str], algorithms=None,
     return fitted
 
 
+class MacroF1(Evaluator):
+    """Macro-averaged F1 from confusion counts."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return float(classification_metrics(dataset).first()["f1_macro"])
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algorithm: str, grid: dict[str, list],
                             id_col: str, folds: int = 5, seed: int = 42) -> tuple[CrossValidatorModel, DataFrame]:
-    """Grid search over repeatable folds; returns the fitted search and (params, accuracy, f1 mean and std)."""
+    """Grid search over repeatable folds; returns the fitted search and (params, accuracy and macro F1 mean and deviation)."""
     classes = label_index(df, label)
     fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).cast("int")
     data = indexed(df, label, classes).withColumn("fold", fold)
@@ -88,18 +98,19 @@ def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algor
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     rows, fitted = [], None
     scores = {}
-    for metric in ("accuracy", "f1"):
+    judges = {"accuracy": MulticlassClassificationEvaluator(metricName="accuracy"), "f1_macro": MacroF1()}
+    for metric, judge in judges.items():
         search = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", seed=seed,
-                                evaluator=MulticlassClassificationEvaluator(metricName=metric), parallelism=2)
+                                evaluator=judge, parallelism=2)
         model = search.fit(data)
         scores[metric] = (model.avgMetrics, model.stdMetrics)
         fitted = model
     data.unpersist()
     for i, m in enumerate(maps):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name))
-        rows.append((text, *[float(scores[m][part][i]) for m in ("accuracy", "f1") for part in (0, 1)]))
+        rows.append((text, *[float(scores[m][part][i]) for m in judges for part in (0, 1)]))
     table = df.sparkSession.createDataFrame(
-        rows, "params string, accuracy_mean double, accuracy_std double, f1_mean double, f1_std double")
+        rows, "params string, accuracy_mean double, accuracy_std double, f1_macro_mean double, f1_macro_std double")
     return fitted, table
 
 

@@ -122,8 +122,29 @@ def _payload(style):
     return run
 
 
-for _style in ("standard", "slack", "teams"):
-    add(f"alert_payload_{_style}", _payload(_style))
+_AID = "md5(record_id || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S'))[:16]"
+_ACT = f"coalesce(x.act, 'Investigate traffic, review logs, consider blocking source IP') || {_SUFFIX}"
+_PCT = f"{_TWO.format(x='confidence_score * 100')} || '%'"
+_STAMP = "strftime(ts, '%Y-%m-%d %H:%M:%S UTC')"
+_FROM = f"(SELECT a.*, {_AID} AS alert_id, {_DESC} AS descr, {_ACT} AS act FROM alerts a LEFT JOIN ({_ACTIONS}) x(t, act) ON x.t = a.attack_type)"
+add("alert_payload_standard", _payload("standard"),
+    duck("alerts", f"""SELECT alert_id, CAST(json_object('alert_id', alert_id, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S'), 'severity', severity, 'attack_type', attack_type,
+      'source_ip', source_ip, 'destination_ip', destination_ip, 'confidence_score', confidence_score, 'description', descr, 'recommended_action', act) AS VARCHAR) AS payload FROM {_FROM}"""))
+add("alert_payload_slack", _payload("slack"),
+    duck("alerts", f"""SELECT alert_id, CAST(json_object('text', 'Intrusion alert - ' || severity, 'attachments', json_array(json_object(
+      'color', CASE severity WHEN 'LOW' THEN 'good' WHEN 'MEDIUM' THEN 'warning' ELSE 'danger' END, 'fields', json_array("""
+         + ", ".join(f"json_object('title', '{t}', 'value', {v}, 'short', {b})" for t, v, b in (
+             ("Attack Type", "attack_type", "TRUE"), ("Severity", "severity", "TRUE"), ("Source IP", "source_ip", "TRUE"),
+             ("Destination IP", "destination_ip", "TRUE"), ("Confidence", _PCT, "TRUE"), ("Timestamp", _STAMP, "TRUE"),
+             ("Description", "descr", "FALSE"), ("Recommended Action", "act", "FALSE")))
+         + f"), 'footer', 'Network security analytics', 'ts', epoch(ts)::BIGINT))) AS VARCHAR) AS payload FROM {_FROM}"))
+add("alert_payload_teams", _payload("teams"),
+    duck("alerts", f"""SELECT alert_id, CAST(json_object('@type', 'MessageCard', '@context', 'http://schema.org/extensions',
+      'themeColor', CASE severity WHEN 'LOW' THEN '28a745' WHEN 'MEDIUM' THEN 'ffc107' WHEN 'HIGH' THEN 'fd7e14' ELSE 'dc3545' END, 'summary', 'Alert - ' || attack_type,
+      'sections', json_array(json_object('activityTitle', 'Intrusion alert - ' || severity, 'activitySubtitle', attack_type || ' detected', 'facts', json_array("""
+         + ", ".join(f"json_object('name', '{t}', 'value', {v})" for t, v in (
+             ("Source IP", "source_ip"), ("Destination IP", "destination_ip"), ("Confidence", _PCT), ("Timestamp", _STAMP)))
+         + f"), 'text', '**Description:** ' || descr || chr(10) || chr(10) || '**Recommended Action:** ' || act))) AS VARCHAR) AS payload FROM {_FROM}"))
 add("alert_payload_text", _payload("text"),
     duck("alerts", f"""SELECT md5(record_id || ':' || strftime(ts, '%Y-%m-%d %H:%M:%S'))[:16] AS alert_id,
       'ALERT [' || severity || '] ' || attack_type || ' - ' || source_ip || ' -> ' || destination_ip || ' (confidence: '

@@ -185,12 +185,10 @@ add("group_campaigns", lambda s, d: found_campaigns(s, d)[2],
       cr(n, r) AS (SELECT DISTINCT x, x FROM sl UNION SELECT sl.y, cr.r FROM cr JOIN sl ON sl.x = cr.n),
       cc AS (SELECT n AS sequence_id, min(r) AS campaign_id FROM cr GROUP BY 1)
       SELECT * FROM (SELECT sequence_id, campaign_id, count(*) OVER (PARTITION BY campaign_id) AS c FROM cc) WHERE c >= 3""").replace("SELECT * FROM (SELECT sequence_id, campaign_id", "SELECT sequence_id, campaign_id FROM (SELECT sequence_id, campaign_id"))
-add("build_campaigns", _built)
 add("sequence_similarity", lambda s, d: rounded(C.sequence_similarity(sequences(s, d), members(s, d))),
     duck("corr_events", f"WITH {_MEM}, {_SETS} SELECT a, b, round(sim, 6) AS similarity FROM pr WHERE sim > 0.6::DOUBLE"))
 
-_CAMP = f"""{_MEM}, {_SETS},
-  gp AS (SELECT *, epoch(s) - epoch(lag(e) OVER (PARTITION BY campaign_id ORDER BY s, sequence_id)) AS gap FROM sv),
+_CAMP_TAIL = """gp AS (SELECT *, epoch(s) - epoch(lag(e) OVER (PARTITION BY campaign_id ORDER BY s, sequence_id)) AS gap FROM sv),
   tc AS (SELECT campaign_id, CASE WHEN count(*) < 2 OR avg(gap) = 0 THEN 1.0 ELSE greatest(0, 1 - stddev_pop(gap) / avg(gap) / 2) END AS tcons FROM gp GROUP BY 1),
   ts_ AS (SELECT x.campaign_id, sum(len(list_intersect(p.b, q.b)) / len(list_distinct(p.b || q.b))::DOUBLE) AS j, count(*) AS c FROM sv x JOIN sv y ON x.campaign_id = y.campaign_id AND x.sequence_id < y.sequence_id
      JOIN se p ON p.sequence_id = x.sequence_id JOIN se q ON q.sequence_id = y.sequence_id GROUP BY 1),
@@ -199,6 +197,7 @@ _CAMP = f"""{_MEM}, {_SETS},
      max(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS ms FROM sv GROUP BY 1),
   ca AS (SELECT cf.*, types, n_src, n_dst, tcons, coalesce(j / c, 0.0) AS dcons, least(least(sequence_count / 10.0::DOUBLE, 0.3) + ap * 0.25::DOUBLE + tcons * 0.2::DOUBLE + coalesce(j / c, 0.0) * 0.15::DOUBLE
      + least(len(types) / 5.0::DOUBLE, 1.0) * 0.1::DOUBLE, 1.0) AS conf FROM cf JOIN tc ON tc.campaign_id = cf.campaign_id JOIN ct ON ct.campaign_id = cf.campaign_id LEFT JOIN ts_ ON ts_.campaign_id = cf.campaign_id)"""
+_CAMP = f"{_MEM}, {_SETS}, {_CAMP_TAIL}"
 add("campaign_confidence",
     lambda s, d: rounded(_confidence(s, d).select(
         "campaign_id", "sequence_count", "total_events", "max_severity", "avg_progression_score", "time_consistency", "target_consistency", "confidence_score")),
@@ -239,6 +238,19 @@ add("mitre_mapping", _mitre,
 _IOC = "unnest(['ip:' || source_ip, 'port:' || source_port, 'protocol:' || protocol, 'attack_type:' || attack_type])"
 add("campaign_iocs", lambda s, d: C.campaign_iocs(campaigns(s, d), members(s, d)),
     duck("corr_events", f"WITH {_MEM} SELECT DISTINCT campaign_id, {_IOC} AS indicator FROM me"))
+_LINKED = f"""{_FOUND.replace("me AS (", "me0 AS (")}, {_SETS.replace("FROM me ", "FROM me0 ")},
+  sl AS (SELECT a AS x, b AS y FROM pr WHERE sim > 0.6::DOUBLE UNION SELECT b, a FROM pr WHERE sim > 0.6::DOUBLE),
+  cr(n, r) AS (SELECT DISTINCT x, x FROM sl UNION SELECT sl.y, cr.r FROM cr JOIN sl ON sl.x = cr.n),
+  cc AS (SELECT n AS sequence_id, min(r) AS campaign_id FROM cr GROUP BY 1),
+  cg AS (SELECT sequence_id, campaign_id FROM (SELECT *, count(*) OVER (PARTITION BY campaign_id) AS c FROM cc) WHERE c >= 3),
+  me AS (SELECT me0.*, campaign_id FROM me0 JOIN cg ON cg.sequence_id = me0.sequence_id)"""
+add("build_campaigns", lambda s, d: _built(s, d).select(
+    "campaign_id", "sequence_count", "start_time", "end_time", "total_events", "max_severity", "source_count", "target_count", "indicator_count",
+    F.array_join("attack_types", ",").alias("attack_types"), "time_consistency", "target_consistency", "confidence_score"),
+    duck("corr_events", f"""WITH RECURSIVE {_LINKED}, {_SCORED}, {_CAMP_TAIL}, io AS (SELECT campaign_id, count(DISTINCT i) AS n FROM (SELECT campaign_id, {_IOC} AS i FROM me) GROUP BY 1)
+      SELECT ca.campaign_id, sequence_count, start_time, end_time, total_events, (['low','medium','high','critical'])[ms + 1] AS max_severity, n_src AS source_count, n_dst AS target_count,
+        io.n AS indicator_count, array_to_string(types, ',') AS attack_types, round(tcons, 6) AS time_consistency, round(dcons, 6) AS target_consistency, round(conf, 6) AS confidence_score
+      FROM ca JOIN io ON io.campaign_id = ca.campaign_id"""))
 add("campaigns_over_groups",
     lambda s, d: rounded(_over_groups(s, d).select(
         "campaign_id", "name", "start_time", "end_time", "duration_seconds", "source_count", "target_count", "indicator_count",

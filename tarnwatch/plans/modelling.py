@@ -17,12 +17,16 @@ SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 5}, "boosted_trees": {"ma
          "svm": {"maxIter": 10}, "neural_network": {"maxIter": 20}}
 
 
-def training_rows(s, d):
+def features_of(df):
     kind = F.expr("CASE WHEN attack_type IS NULL THEN 'normal' WHEN attack_type IN ('DoS', 'DDoS') THEN 'dos' ELSE 'other' END")
-    t = traffic(s, d).withColumn("protocol_encoded", net.flow_protocol_code("protocol")).withColumn("kind", kind)
+    t = df.withColumn("protocol_encoded", net.flow_protocol_code("protocol")).withColumn("kind", kind)
     return t.select("record_id", "ts", "kind", *[F.col(c).cast("double").alias(c) for c in COLUMNS])
 
 
+def training_rows(s, d):
+    return features_of(traffic(s, d))
+
+
 def _trained(s, d):
     data = M.train_test_split([training_rows(s, d)], "record_id", 0.25)
     train, test = data.where("split = 'train'"), M.indexed(data.where("split = 'test'"), "kind", CLASSES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["traffic", "alerting", "signature", "intel", "preparation", "reporting", "behaviour", "correlation", "streamed", "modelling"]
+MODULES = ["traffic", "alerting", "signature", "intel", "preparation", "reporting", "behaviour", "correlation", "streamed", "modelling", "stored"]
 
 
 def _collect(attribute: str) -> dict:
