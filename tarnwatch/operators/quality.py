@@ -13,6 +13,7 @@ from tarnwatch.functions import net
 from tarnwatch.functions.columns import count_if, lookup, ratio
 from tarnwatch.operators.quantiles import exact_quantiles
 from tarnwatch.operators.scan import running
+from tarnwatch.session import config_rows
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -283,7 +284,7 @@ def rank_in_class(df: DataFrame, label: str, id_col: str, seed: int, name: str =
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[0]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    return {r[0]: r["n"] for r in config_rows(df.groupBy(label).agg(F.count("*").alias("n")), f"the class table of {label}")}
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, stratify: str | None = None, seed: int = 42) -> DataFrame:

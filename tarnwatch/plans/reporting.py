@@ -99,7 +99,7 @@ add("key_metrics",
         count(DISTINCT source_ip) FILTER (WHERE now) AS s1, count(DISTINCT source_ip) FILTER (WHERE NOT now) AS s0,
         count(*) FILTER (WHERE now AND record_id % 4 = 0) AS o1, count(*) FILTER (WHERE NOT now AND record_id % 4 = 0) AS o0,
         avg(confidence_score) FILTER (WHERE now) AS mc FROM w)
-      SELECT t1 AS total, c1 AS critical, round(mc, 6) AS mean_confidence, s1 AS unique_sources, o1 AS open_incidents,
+      SELECT t1 AS total, c1 AS critical, round(coalesce(mc, 0), 6) AS mean_confidence, s1 AS unique_sources, o1 AS open_incidents,
         t1 - t0 AS total_delta, c1 - c0 AS critical_delta, s1 - s0 AS sources_delta, o1 - o0 AS open_delta FROM g"""))
 add("timeline_by_severity", lambda s, d: R.timeline_by_severity(alerts(s, d)),
     duck("alerts", "SELECT date_trunc('hour', ts) AS hour, severity, count(*) AS n FROM alerts GROUP BY 1, 2"))
@@ -149,7 +149,7 @@ add("confidence_histogram", lambda s, d: R.confidence_histogram(predictions(s, d
 add("filter_options",
     lambda s, d: R.filter_options(alerts(s, d), START, END).select(F.array_join("severities", ",").alias("severities"),
                                                                    F.array_join("attack_types", ",").alias("attack_types"), "sources"),
-    duck("alerts", f"""SELECT string_agg(DISTINCT severity, ',' ORDER BY severity) AS severities, string_agg(DISTINCT attack_type, ',' ORDER BY attack_type) AS attack_types,
+    duck("alerts", f"""SELECT coalesce(string_agg(DISTINCT severity, ',' ORDER BY severity), '') AS severities, coalesce(string_agg(DISTINCT attack_type, ',' ORDER BY attack_type), '') AS attack_types,
       count(DISTINCT source_ip) AS sources FROM alerts WHERE {_PERIOD}"""))
 
 # --- monitoring -----------------------------------------------------------------------------------
