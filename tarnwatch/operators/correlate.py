@@ -282,7 +282,7 @@ def rule_matcher(rule: CorrelationRule):
 
 def _apply_rule(events: DataFrame, rule: CorrelationRule) -> DataFrame:
     return map_sorted_groups(_rule_groups(events, rule), ["_key", "_bucket"], ["_t", "event_id"], rule_matcher(rule),
-                             "event_id long, rule_id string, matched array<long>", spread=True)
+                             "event_id long, rule_id string, matched array<long>")
 
 
 def apply_rules(events: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
