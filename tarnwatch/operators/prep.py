@@ -19,6 +19,7 @@ from tarnwatch.operators.quality import (class_counts, missing_counts, numeric_c
                                          text_columns, value_counts)
 from tarnwatch.operators.quantiles import exact_quantiles
 from tarnwatch.operators.scan import map_sorted_groups
+from tarnwatch.session import cut
 
 MAX_CATEGORIES = 10_000
 MAX_INLINE = 64
@@ -295,7 +296,8 @@ def fit_cleaner(df: DataFrame, missing: float = 0.5, constant: float = 0.95, var
     """Fit and clean: duplicates, sparse, constant, flat and redundant columns, then outlier rows."""
     if df.isEmpty():
         raise ValueError("Input DataFrame is empty")
-    work = df.dropDuplicates() if remove_duplicates else df
+    # several passes follow; the distinct rows are worked out once
+    work = cut(df.dropDuplicates()) if remove_duplicates else df
     removed: dict[str, list[str]] = {}
     for reason, find in (("high_missing", lambda d: high_missing_features(d, missing)),
                          ("constant", lambda d: constant_features(d, constant)),
