@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import pathlib
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
@@ -31,9 +35,29 @@ def build_session(app: str = "tarnwatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tarnwatch-code-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = pathlib.Path(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on: all times are UTC."""
+    """Pin the settings results depend on (all times are UTC) and make the package known to the executors."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_code(spark)
     return spark
 
 
