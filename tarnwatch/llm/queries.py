@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import bpe, langid, linededup, mixing, quality, revisits, toxicity
+from tarnwatch.llm import bpe, extract, langid, linededup, mixing, quality, revisits, toxicity
 from tarnwatch.llm.common import LOWER, UPPER, fold
 from tarnwatch.session import prepare
 
@@ -182,6 +182,11 @@ OP8_SQL = f"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM r GROUP BY doc_id"""
 
 
+def op10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("_ex_text").alias("text"), F.length("_ex_text").cast("long").alias("n_chars"))
+
+
 QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_revisits": op4_revisits, "op5_language": op5_language,
-           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines}
+           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op10_text": op10_text}
 SQL: dict[str, str] = {"op1_mixing": op1_sql(), "op4_revisits": op4_sql(), "op7_quality": op7_sql(), "op8_lines": OP8_SQL}
