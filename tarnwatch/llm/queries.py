@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import bpe, extract, langid, linededup, mixing, quality, revisits, toxicity
+from tarnwatch.llm import ann, bpe, extract, langid, linededup, mixing, quality, revisits, toxicity
 from tarnwatch.llm.common import LOWER, UPPER, fold
 from tarnwatch.session import prepare
 
@@ -20,6 +20,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -187,6 +191,6 @@ def op10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("_ex_text").alias("text"), F.length("_ex_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_bpe": op3_bpe, "op4_revisits": op4_revisits, "op5_language": op5_language,
+QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_revisits": op4_revisits, "op5_language": op5_language,
            "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op10_text": op10_text}
 SQL: dict[str, str] = {"op1_mixing": op1_sql(), "op4_revisits": op4_sql(), "op7_quality": op7_sql(), "op8_lines": OP8_SQL}
