@@ -226,7 +226,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if shards is None:
         return index.sparkSession.createDataFrame([], "qid long, point long, score double")
     points = index.select("shard", F.lit(0).alias("kind"), F.col("point").alias("id"), "v", "links")
-    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards))).cast("int").alias("shard"), F.lit(1).alias("kind"),
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(int(shards)))).alias("shard"), F.lit(1).alias("kind"),
                           F.col("qid").alias("id"), "v", F.lit(None).cast("array<int>").alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
