@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import ann, bpe, extract, langid, linededup, mixing, quality, revisits, toxicity
+from tarnwatch.llm import ann, bpe, extract, jaccard, langid, linededup, mixing, quality, revisits, toxicity
 from tarnwatch.llm.common import LOWER, UPPER, fold
 from tarnwatch.session import prepare
 
@@ -39,7 +39,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").where(langid.learnable(fold(F.col("doc_id"), 5), 0))
-    model = toxicity.train(docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.train(docs, labels)
     found = toxicity.score(docs, model)
     return found.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)))
 
@@ -186,11 +186,15 @@ OP8_SQL = f"""
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256 FROM r GROUP BY doc_id"""
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 def op10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract.extract(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", F.col("_ex_text").alias("text"), F.length("_ex_text").cast("long").alias("n_chars"))
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_revisits": op4_revisits, "op5_language": op5_language,
-           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op10_text": op10_text}
+           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_jaccard": op9_jaccard, "op10_text": op10_text}
 SQL: dict[str, str] = {"op1_mixing": op1_sql(), "op4_revisits": op4_sql(), "op7_quality": op7_sql(), "op8_lines": OP8_SQL}

@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from tarnwatch.llm.common import Remembered, per_text
 from tarnwatch.llm.langid import sample_by_label
 
-PER_CLASS = 5_000
+#: Labelled texts of each class that training reads at most (about).
+PER_CLASS = 4_000
 BUCKETS = 1 << 20
 TERMS, FACTORS = 2_048, 8
 #: Standard errors by which a term's two shares must differ.
@@ -77,9 +78,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
 
 
-def choose_terms(x_terms: list[list[int]], y: np.ndarray) -> np.ndarray:
+def choose_terms(x_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets whose document shares differ clearly between the classes, the clearest first, at most TERMS."""
-    count = [np.bincount(np.array([b for t, c in zip(x_terms, y, strict=True) if c == k for b in t], dtype=np.int64),
+    count = [np.bincount(np.concatenate([t for t, c in zip(x_terms, y, strict=True) if c == k]).astype(np.int64),
                          minlength=BUCKETS) for k in (0, 1)]
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     pooled = (count[0] + count[1]) / (n0 + n1)
@@ -89,7 +90,7 @@ def choose_terms(x_terms: list[list[int]], y: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] > CLEAR])
 
 
-def fit(x_terms: list[list[int]], y: np.ndarray, rounds: int = 60, seed: int = 11) -> Model:
+def fit(x_terms: list[np.ndarray], y: np.ndarray, rounds: int = 60, seed: int = 11) -> Model:
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     if not n0 or not n1:
         share = np.clip(n1 / max(1, n0 + n1), 1e-9, 1 - 1e-9)
@@ -97,7 +98,7 @@ def fit(x_terms: list[list[int]], y: np.ndarray, rounds: int = 60, seed: int = 1
     terms = choose_terms(x_terms, y)
     x = np.zeros((len(y), len(terms)), dtype=np.uint8)
     for row, held in enumerate(x_terms):
-        held = np.array(held, dtype=np.int64)
+        held = np.asarray(held, dtype=np.int64)
         at = np.searchsorted(terms, held)
         ok = at < len(terms)
         ok[ok] = terms[at[ok]] == held[ok]
@@ -122,14 +123,22 @@ def fit(x_terms: list[list[int]], y: np.ndarray, rounds: int = 60, seed: int = 1
     return Model(terms, float(min(w0[0], -0.1)), w, v)
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Model:
-    """Fit on rows whose label is 0 or 1; executors send the hashed terms of the sample only."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    rows = sample_by_label(rows, "label", ["text"], PER_CLASS)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+    """Fit on a sample of the labels 0 and 1.
+
+    The sample is drawn before its texts are looked up, so that it, of known size, is what is sent around;
+    executors return the hashed terms only.
+    """
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    known = F.broadcast(sample_by_label(known, "label", ["key"], PER_CLASS))  # about 2 * PER_CLASS rows
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
     held = per_text(rows, "text", [T.StructField("terms", T.ArrayType(T.IntegerType()))],
-                    lambda texts: [[terms_of(t) for t in texts]], ["label"])
-    known = sorted((r.label, r.terms) for r in held.collect())
-    return fit([t for _, t in known], np.array([c for c, _ in known], dtype=np.int64))
+                    lambda texts: [[terms_of(t) for t in texts]], ["key", "label"]).toArrow()
+    held = held.sort_by([("key", "ascending")]).combine_chunks()
+    column = held.column("terms").combine_chunks()
+    bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
+    y = held.column("label").to_numpy().astype(np.int64)
+    return fit([values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], y)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
