@@ -102,10 +102,10 @@ class Model:
         return (self.languages[order[0]], float(1 / likely.sum()), bool(loss[order[1]] - loss[order[0]] < MARGIN))
 
 
-def sample_by_label(df: DataFrame, label: str, key: list[str], most: int) -> DataFrame:
-    """About ``most`` rows of each label, chosen by a hash of ``key``."""
+def sample_by_label(df: DataFrame, label: str, key: list[str], most: int | dict) -> DataFrame:
+    """About ``most`` rows of each label (or of each by its own number), chosen by a hash of ``key``."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, most / n))]) if counts else None
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, (most[k] if isinstance(most, dict) else most) / n))]) if counts else None
     drawn = F.pmod(F.xxhash64(*key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.where(drawn < share[F.col(label)]) if counts else df.limit(0)
 

@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms (operator 6).
 
-A text's terms are its lower-cased words and their first 3, 4 and 5 letters, hashed. Its score is
+A text's terms are its lower-cased words and their first 4 and 5 letters, hashed. Its score is
 
     sigmoid(w0 + sum_i w_i + sum_{i<j} <v_i, v_j>)
 
@@ -32,17 +32,23 @@ from tarnwatch.llm.common import Remembered, per_text
 from tarnwatch.llm.langid import sample_by_label
 
 #: Labelled texts of each class that training reads at most (about).
-PER_CLASS = 4_000
+PER_CLASS = {0: 8_000, 1: 4_000}
 BUCKETS = 1 << 20
-TERMS, FACTORS = 2_048, 8
+TERMS, FACTORS = 512, 8
+#: Weight of all toxic texts in fitting; under a half, as wrongly marked texts cost more.
+TOXIC_WEIGHT = 0.35
+#: A term must be in this many training texts, and in this share of the toxic ones.
+LEAST, LEAST_SHARE = 5, 0.01
+#: Terms in at most this share of the texts (or 20 texts) tell copies from others.
+RARE_SHARE = 0.025
 #: Standard errors by which a term's two shares must differ.
-CLEAR = 4.5
+CLEAR = 6.0
 WORD = re.compile(r"[^\W\d_]+")  # runs of letters
 
 
 def buckets(word: str) -> list[int]:
     data = word.encode()
-    return [crc32(data) % BUCKETS, *(crc32(word[:n].encode(), n) % BUCKETS for n in (3, 4, 5) if len(word) >= n)]
+    return [crc32(data) % BUCKETS, *(crc32(word[:n].encode(), n) % BUCKETS for n in (4, 5) if len(word) >= n)]
 
 
 def terms_of(text: str | None) -> list[int]:
@@ -78,6 +84,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
 
 
+def without_copies(x_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Which texts to fit on: of toxic texts that share the least hash of their rare terms only the first, as they are copies.
+
+    Else whatever words a copied toxic text happens to hold would look toxic.
+    """
+    count = np.bincount(np.concatenate(x_terms).astype(np.int64), minlength=BUCKETS)
+    keep, met = np.ones(len(x_terms), dtype=bool), set()
+    for row in np.nonzero(y == 1)[0]:
+        held = x_terms[row]
+        rare = np.asarray(held, dtype=np.uint64)
+        rare = rare[count[rare.astype(np.int64)] <= max(20, RARE_SHARE * len(y))]
+        marks = [(i, int((rare * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min())) for i, odd in enumerate((2654435761, 2246822519, 3266489917))] if len(rare) else []
+        keep[row] = not any(m in met for m in marks)
+        met.update(marks)
+    return keep
+
+
 def choose_terms(x_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets whose document shares differ clearly between the classes, the clearest first, at most TERMS."""
     count = [np.bincount(np.concatenate([t for t, c in zip(x_terms, y, strict=True) if c == k]).astype(np.int64),
@@ -85,12 +108,15 @@ def choose_terms(x_terms: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     pooled = (count[0] + count[1]) / (n0 + n1)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n0 + 1 / n1))
-    z = np.where(count[0] + count[1] >= 3, np.abs(count[1] / n1 - count[0] / n0) / error, 0)
+    z = np.where(np.maximum(count[0], count[1]) >= max(LEAST, LEAST_SHARE * n1), np.abs(count[1] / n1 - count[0] / n0) / error, 0)
     best = np.argsort(-z, kind="stable")[:TERMS]
     return np.sort(best[z[best] > CLEAR])
 
 
 def fit(x_terms: list[np.ndarray], y: np.ndarray, rounds: int = 60, seed: int = 11) -> Model:
+    if len(y):
+        keep = without_copies(x_terms, y)
+        x_terms, y = [t for t, k in zip(x_terms, keep, strict=True) if k], y[keep]
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
     if not n0 or not n1:
         share = np.clip(n1 / max(1, n0 + n1), 1e-9, 1 - 1e-9)
@@ -107,7 +133,7 @@ def fit(x_terms: list[np.ndarray], y: np.ndarray, rounds: int = 60, seed: int =
     w0, w = np.zeros(1), np.zeros(len(terms))
     v = rng.normal(0, 0.02, (len(terms), FACTORS))
     squares = [np.full_like(p, 1e-6) for p in (w0, w, v)]
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
+    weight = np.where(y == 1, TOXIC_WEIGHT / n1, (1 - TOXIC_WEIGHT) / n0) * len(y)
     sign = np.where(y == 1, 1.0, -1.0)
     for _ in range(rounds):
         for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 200)):
@@ -130,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     executors return the hashed terms only.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    known = F.broadcast(sample_by_label(known, "label", ["key"], PER_CLASS))  # about 2 * PER_CLASS rows
+    known = F.broadcast(sample_by_label(known, "label", ["key"], PER_CLASS))  # about the sum of PER_CLASS in rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
     held = per_text(rows, "text", [T.StructField("terms", T.ArrayType(T.IntegerType()))],
                     lambda texts: [[terms_of(t) for t in texts]], ["key", "label"]).toArrow()
