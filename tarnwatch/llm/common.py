@@ -49,14 +49,15 @@ def per_text(df: DataFrame, text: str, fields: list[T.StructField],
     ``keep`` travel through Python besides the text, so the output is ``keep`` + ``fields``.
     """
     schema = T.StructType([*[df.select(F.col(f"`{c}`")).schema[0] for c in keep], *fields])
-    source = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept travels once
+    source = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate([*keep, text][:max(len(keep), at + 1)])])
     types = [T.StructField(f.name, f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            values = fn(batch.column(len(keep)).to_pylist())
+            values = fn(batch.column(at).to_pylist())
             arrays = [batch.column(i) for i in range(len(keep))]
             arrays += [pa.array(v, type=to_arrow_type(t.dataType)) for v, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
