@@ -11,7 +11,8 @@ exact: one row for each document with its component of links.
    group by a number of checks that is linear in its size.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
-   what a link needs are opened, their members bounded alike, and the rest verified on whole sets.
+   what a link needs are opened, their members bounded alike. Pairs that are left are bounded by parity bitmaps
+   (two bits for each token; where two bitmaps differ, the sets do), and the rest verified on whole sets.
 4. Components of all verified links are the result.
 
 Inside a group no pairs are formed, and across groups only those that pass the bounds. Whole sets travel for
@@ -67,6 +68,23 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """A bitmap of two to four bits for each token: whether an odd number of tokens fall on a bit."""
+    size = 1 << max(6, (2 * len(h) - 1).bit_length())
+    odd = np.bincount(((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def most_overlap(nx: int, x: bytes, ny: int, y: bytes) -> int:
+    """A bound on two sets' overlap: where their bitmaps, folded to one size, differ, so do the sets."""
+    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return (nx + ny - int(np.unpackbits(x ^ y).sum())) // 2
+
+
 def common_buckets(docs: DataFrame, width: int) -> np.ndarray:
     """Which sketch buckets are much fuller than the others; counted over all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,33 +118,36 @@ def chunks(total: np.ndarray) -> pa.RecordBatch:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, cls, prefix (null where the task has met the class before): one row for each document."""
+    """doc_id, n, cls, prefix and bits (null where the task has met the class before): one row for each document."""
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(docs, width)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, met = np.unpackbits(bits.value).astype(bool), set()
         for batch in batches:
-            ns, classes, lists = [], [], []
+            ns, classes, lists, maps = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
                 ns.append(len(h))
                 if not len(h):
                     classes.append(None)
                     lists.append(None)
+                    maps.append(None)
                     continue
                 cls = xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
                 classes.append(cls)
                 if cls in met:
                     lists.append(None)
+                    maps.append(None)
                     continue
                 met.add(cls)
                 late = common[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 keys = np.concatenate([h[~late] >> np.uint64(2), (h[late] >> np.uint64(2)) | np.uint64(1 << 62)]).astype(np.int64)
                 lists.append(keys[:len(h) - needed(len(h), percent) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                                             names=["doc_id", "n", "cls", "prefix"])
+                maps.append(parities(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                                             names=["doc_id", "n", "cls", "prefix", "bits"])
 
-    return table(docs.mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>"), "jac_prefixes")
+    return table(docs.mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>, bits binary"), "jac_prefixes")
 
 
 def bitmap(df: DataFrame, key: str) -> np.ndarray:
@@ -188,7 +209,17 @@ def whole_sets(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int) -
 
 def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
-    pairs = table(pairs, "jac_pairs")
+    maps = held.where("bits is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
+            keep = [(100 + percent) * most_overlap(nx, x, ny, y) >= percent * (nx + ny) for nx, x, ny, y in rows]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    named = lambda side, n, bits: maps.select(F.col("cls").alias(side), F.col("n").alias(n), F.col("bits").alias(bits))
+    bounded = pairs.join(named("a", "nx", "x"), "a").join(named("b", "ny", "y"), "b").select("a", "b", "nx", "x", "ny", "y")
+    pairs = table(bounded.mapInArrow(bound, "a long, b long"), "jac_pairs")
     sets = whole_sets(docs, held, pairs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
