@@ -139,6 +139,7 @@ DEFAULT_ANOMALY_RECOMMENDATION = "Monitor and analyze."
 SENSITIVE_WORDS = ["password", "token", "key", "secret", "auth", "credential"]
 REDACTED = "[REDACTED - Sensitive information removed]"
 UNSAFE_CHARS = "<>\"'&\x00"
+MAX_TEXT = 1000
 
 # --- fixed values: labelled datasets -----------------------------------------
 NSL_KDD_FEATURES = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,12 @@ def cases(pairs, default) -> Column:
     return expr.otherwise(default)
 
 
+def without_nan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """NaN is a gap like NULL: in floating columns it becomes NULL, so that no statistic sees it."""
+    floating = {name for name, kind in df.dtypes if kind in ("double", "float")}
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in columns if c in floating})
+
+
 def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, F.lit(1)))
 

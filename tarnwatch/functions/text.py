@@ -23,6 +23,17 @@ def sanitize(text) -> Column:
     return F.trim(F.translate(col(text), K.UNSAFE_CHARS, ""))
 
 
+def too_long(text, max_len: int = K.MAX_TEXT) -> Column:
+    """Whether a text must be rejected for its length; null is no text and not too long."""
+    return F.coalesce(F.length(col(text)) > max_len, F.lit(False))
+
+
+def sanitize_or_reject(text, max_len: int = K.MAX_TEXT) -> Column:
+    """Struct (clean, rejected): the sanitised text, or null and true for one that is too long."""
+    over = too_long(text, max_len)
+    return F.struct(F.when(~over, sanitize(text)).alias("clean"), over.alias("rejected"))
+
+
 def confidence_bin(score) -> Column:
     return cases([(col(score) >= low, F.lit(name)) for low, name in K.CONFIDENCE_BINS],
                  F.lit(K.LOWEST_CONFIDENCE_BIN))
@@ -41,6 +52,7 @@ def top_importance(importance, n: int = 3) -> Column:
 
 def alert_description(importance=None) -> Column:
     """Sentence describing an alert row; needs the traffic columns next to the prediction."""
+    # fixed values: the sentence
     text = F.format_string(
         "Detected %s from %s:%d to %s:%d using %s protocol. Confidence: %d%%. "
         "Packet size: %d bytes, Duration: %.2fs.",

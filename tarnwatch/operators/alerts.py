@@ -68,8 +68,8 @@ def alert_rows(scored_traffic: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
     """Alert rows when prediction and traffic columns already sit on one row."""
     return alert_severity(should_alert(scored_traffic, rules), rules).select(
         "record_id", "ts", "source_ip", "destination_ip", "source_port", "destination_port",
-        "protocol", "packet_size", "duration", "attack_type", "confidence_score", "model_version",
-        "severity")
+        "protocol", "packet_size", "duration", F.coalesce(F.col("attack_type"), F.lit("Unknown")).alias("attack_type"),
+        "confidence_score", "model_version", "severity")
 
 
 def create_alerts(predictions: DataFrame, traffic: DataFrame, rules=DEFAULT_RULES,
@@ -162,7 +162,11 @@ def keep_spaced(df: DataFrame, keys: list[str], window_seconds: float, ts: str =
 
     starts = map_sorted_groups(steps, keys, ["_b", "_t"], link,
                                f"{key_schema}, _b long, _begin long")
-    placed = instants.join(starts, [*keys, "_b"])
+    begun = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_bucket"), "_begin")
+    same = F.col("_b") == F.col("_k_bucket")
+    for k in keys:  # rows with a missing key form a group of their own, as in any grouping
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    placed = instants.join(begun, same).select(*instants.columns, "_begin")
 
     def replay(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         t = rows["_t"].to_numpy()

@@ -339,12 +339,14 @@ def progression_score(stages: Column) -> Column:
     n = F.size(stages)
     steps = F.aggregate(F.sequence(F.lit(2), n), F.lit(0), lambda acc, i: acc + F.when(
         F.element_at(stages, i) >= F.element_at(stages, i - 1), 1).otherwise(0))
+    # fixed values: weights of order and coverage
     score = 0.7 * (steps / (n - 1)) + 0.3 * (n / F.lit(float(len(K.KILL_CHAIN_STAGES))))
     return cases([(n == 0, F.lit(0.0)), (n == 1, F.lit(0.5))], F.least(score, F.lit(1.0)))
 
 
 def sequence_severity(events: Column, hours: Column, progression: Column, confidence: Column, stages: Column,
                       types: Column) -> Column:
+    # fixed values: weights, caps and limits of the severity
     score = (F.least(events / 10, F.lit(0.3)) + F.least(hours / 24, F.lit(0.2)) + progression * 0.2 + confidence * 0.15
              + F.least(stages / 7, F.lit(0.1)) + F.least(types / 5, F.lit(0.05)))
     return cases([(score >= 0.8, "critical"), (score >= 0.6, "high"), (score >= 0.4, "medium")], "low")
@@ -455,6 +457,7 @@ def sequence_similarity(sequences: DataFrame, members: DataFrame, threshold: flo
         out = out.join(_overlaps(values, kind, pairs), ["a", "b"], "left")
     near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("ta") - F.col("tb")) / float(DAY))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
+    # fixed values: weights of the similarity
     score = zero("source") * 0.3 + zero("target") * 0.2 + zero("type") * 0.3 + near * 0.2
     return out.select("a", "b", score.alias("similarity")).where(F.col("similarity") > threshold)
 
@@ -522,6 +525,7 @@ def campaign_facts(campaigns: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def campaign_confidence(campaigns: DataFrame, sequences: DataFrame, members: DataFrame) -> DataFrame:
     facts = campaign_facts(campaigns, sequences)
+    # fixed values: weights and caps of the confidence
     score = (F.least(F.col("sequence_count") / 10, F.lit(0.3)) + F.col("avg_progression_score") * 0.25
              + F.col("time_consistency") * 0.2 + F.col("target_consistency") * 0.15
              + F.least(F.size("attack_types") / 5, F.lit(1.0)) * 0.1)
@@ -625,6 +629,7 @@ def prioritize_alerts(alerts: DataFrame, context: DataFrame, sequences: DataFram
     age = (F.unix_micros(F.lit(now)) - F.unix_micros("ts")) / 1e6
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     weight = lookup(F.upper("severity"), K.SEVERITY_WEIGHTS, K.DEFAULT_SEVERITY_WEIGHT)
+    # fixed values: weights of the priority
     score = (F.col("confidence_score") * 0.25 + weight * 0.2 + zero("context_score") * 0.2 + zero("sequence_score") * 0.15
              + zero("campaign_score") * 0.15 + F.greatest(F.lit(0.1), 1 - age / 3600) * 0.05)
     return joined.withColumn("priority_score", F.least(score, F.lit(1.0))).orderBy(F.desc("priority_score"), id_col)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, OneVsRest,
@@ -11,7 +12,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, MultilayerPerce
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,16 +97,20 @@ def tune_and_cross_validate(df: DataFrame, label: str, columns: list[str], algor
         builder = builder.addGrid(classifier.getParam(name), values)
     maps = builder.build()
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    rows, fitted = [], None
-    scores = {}
     judges = {"accuracy": MulticlassClassificationEvaluator(metricName="accuracy"), "f1_macro": MacroF1()}
-    for metric, judge in judges.items():
-        search = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=folds, foldCol="fold", seed=seed,
-                                evaluator=judge, parallelism=2)
-        model = search.fit(data)
-        scores[metric] = (model.avgMetrics, model.stdMetrics)
-        fitted = model
+    found = {m: np.zeros((folds, len(maps))) for m in judges}
+    for f in range(folds):  # every model is fitted once and judged by both measures
+        rest, aside = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
+        for i, model in enumerate(pipeline.fit(rest, maps)):
+            predicted = model.transform(aside)
+            for m, judge in judges.items():
+                found[m][f, i] = judge.evaluate(predicted)
+    scores = {m: (x.mean(axis=0), x.std(axis=0)) for m, x in found.items()}
+    best = int(np.argmax(scores["f1_macro"][0]))
+    fitted = CrossValidatorModel(pipeline.fit(data, maps[best]), [float(x) for x in scores["f1_macro"][0]], [],
+                                 [float(x) for x in scores["f1_macro"][1]])
     data.unpersist()
+    rows = []
     for i, m in enumerate(maps):
         text = ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name))
         rows.append((text, *[float(scores[m][part][i]) for m in judges for part in (0, 1)]))
@@ -260,13 +265,14 @@ def intrinsic_importance(model: PipelineModel, columns: list[str]) -> dict[str,
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, label: str, columns: list[str], id_col: str,
-                           sample: int = 1_000, seed: int = 42) -> DataFrame:
-    """(feature, importance): accuracy lost when one column is shuffled across a fixed-size sample.
+                           sample: int | None = None, seed: int = 42) -> DataFrame:
+    """(feature, importance): accuracy lost when one column is shuffled over all rows.
 
-    The explanation sample is a feature of the operator; all features are scored in
-    one pass over the sample repeated once per feature.
+    All features are scored in one pass over the rows repeated once per feature. A
+    caller may ask for a sample of rows (smallest hashes of the id) instead.
     """
-    ranked = rank_in_class(df.withColumn("_all", F.lit(0)), "_all", id_col, seed).where(F.col("_rank") <= sample)
+    df = df if sample is None else df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(sample)
+    ranked = rank_in_class(df.withColumn("_all", F.lit(0)), "_all", id_col, seed)
     base = ranked.select(id_col, label, "_rank", *columns)
     others = rank_in_class(base.withColumn("_all", F.lit(0)).drop("_rank"), "_all", id_col, seed + 1).select(
         F.col("_rank"), *[F.col(c).alias(f"_s_{c}") for c in columns])
@@ -313,6 +319,7 @@ def importance_concentration(importances: DataFrame, top: int = 10) -> DataFrame
 def agreement_advice(comparison: DataFrame) -> DataFrame:
     """One row: mean top-feature overlap and what it suggests."""
     mean = F.avg("top_overlap")
+    # fixed values: limits and texts
     return comparison.agg(mean.alias("agreement"), F.when(
         mean < 0.5, "Low agreement between analysis methods. Consider investigating feature stability.").when(
         mean > 0.8, "High agreement between analysis methods indicates robust feature importance.").alias("advice"))

@@ -152,6 +152,7 @@ def monitoring_summary(metrics: DataFrame, log: DataFrame, drift_alerts: DataFra
 def monitoring_recommendations(performance: DataFrame, drift_alerts: DataFrame) -> DataFrame:
     """(model_version, recommendations) from current performance and open critical drifts."""
     critical = drift_alerts.where("severity = 'critical'").groupBy("model_version").agg(F.lit(True).alias("_crit"))
+    # fixed values: limits and texts of the recommendations
     return performance.join(critical, "model_version", "left").select("model_version", F.array_compact(F.array(
         F.when(F.col("accuracy") < 0.85, F.lit("Model accuracy is below 85%. Consider retraining.")),
         F.when(F.col("avg_response_time_ms") > 1000, F.lit("Average response time is high. Optimize the model.")),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwatch.functions.columns import all_of, count_if, lookup, safe_corr
+from tarnwatch.functions.columns import all_of, count_if, lookup, safe_corr, without_nan
 from tarnwatch.operators.quality import (class_counts, missing_counts, numeric_columns, rank_in_class,
                                          text_columns, value_counts)
 from tarnwatch.operators.quantiles import exact_quantiles
@@ -136,8 +136,9 @@ class Scaler(Fitted):
 
 def fit_scaler(df: DataFrame, kind: str = "standard", columns: list[str] | None = None,
                feature_range: tuple[float, float] = (0.0, 1.0)) -> Scaler:
-    """standard: mean and population deviation; minmax: range; robust: median and IQR."""
+    """standard: mean and population deviation; minmax: range; robust: median and IQR. Gaps (NULL, NaN) are left out."""
     columns = columns or numeric_columns(df)
+    df = without_nan(df, columns)
     if kind == "standard":
         row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(columns)
                        for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -159,7 +160,7 @@ def fit_scaler(df: DataFrame, kind: str = "standard", columns: list[str] | None
 def scaling_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, std, min, max) in one pass."""
     aggs = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    row = df.agg(*[fn(F.col(f"`{c}`")).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns)
+    row = without_nan(df, columns).agg(*[fn(F.col(f"`{c}`")).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns)
                    for n, fn in aggs.items()])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}{i}").alias(n) for n in aggs])
                         for i, c in enumerate(columns)])
@@ -168,6 +169,7 @@ def scaling_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute(df: DataFrame, strategy: str = "mean", fill_value: float = 0, columns: list[str] | None = None) -> DataFrame:
     columns = columns or numeric_columns(df)
+    df = without_nan(df, columns)
     if strategy == "drop":
         out = df.dropna(subset=columns)
         if out.isEmpty():
@@ -224,7 +226,7 @@ def constant_features(df: DataFrame, threshold: float = 0.95) -> list[str]:
 
 def variances(df: DataFrame, columns: list[str] | None = None) -> dict[str, float | None]:
     columns = columns or numeric_columns(df)
-    row = df.agg(*[F.var_samp(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
+    row = without_nan(df, columns).agg(*[F.var_samp(F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(columns)]).first()
     return {c: row[i] for i, c in enumerate(columns)}
 
 
@@ -257,6 +259,7 @@ def correlated_features(df: DataFrame, threshold: float = 0.95) -> list[str]:
 
 def outlier_bounds(df: DataFrame, method: str, threshold: float, columns: list[str] | None = None) -> dict:
     columns = columns or numeric_columns(df)
+    df = without_nan(df, columns)
     if method == "zscore":
         row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{n}{i}") for i, c in enumerate(columns)
                        for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
@@ -272,7 +275,7 @@ def outlier_bounds(df: DataFrame, method: str, threshold: float, columns: list[s
 def remove_outliers(df: DataFrame, method: str = "zscore", threshold: float = 3.0) -> DataFrame:
     """Drop rows outside the bounds of any numeric column; an unknown method changes nothing."""
     bounds = outlier_bounds(df, method, threshold)
-    return df.where(all_of([F.col(f"`{c}`").isNull() | F.col(f"`{c}`").between(lo, hi)
+    return df.where(all_of([F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`")) | F.col(f"`{c}`").between(lo, hi)
                             for c, (lo, hi) in bounds.items()]))
 
 

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwatch.functions.columns import without_nan
+
 # up to this many rows the built-in exact percentile is used directly
 DIRECT_ROWS = 1_000_000
 ACCURACY = 10_000
@@ -14,7 +16,7 @@ ACCURACY = 10_000
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
                     direct_rows: int = DIRECT_ROWS) -> dict[str, list[float | None]]:
-    """Interpolated quantiles per column, as the usual exact definition gives them.
+    """Interpolated quantiles per column, as the usual exact definition gives them; NaN counts as missing.
 
     Small inputs (counted first) take one built-in aggregate. Larger ones narrow a
     bracket around every wanted rank: each pass is a single aggregation over all
@@ -23,6 +25,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     """
     if not columns:
         return {}
+    df = without_nan(df, columns)
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     sizes = dict(zip(columns, counts))
     if max(sizes.values()) <= direct_rows:

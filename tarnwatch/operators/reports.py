@@ -111,6 +111,7 @@ def summary_report(threats: DataFrame, models: DataFrame, top: int = 5) -> DataF
                        F.avg("inference_time").alias("average_inference_time"))
     model_rows = stats.unpivot([], stats.columns, "item", "value").select(
         F.lit("models").alias("section"), "item", "value")
+    # fixed values: limits and texts of the recommendations
     advice_models = stats.select(F.explode(F.array_compact(F.array(
         F.when(F.col("average_accuracy") < 0.9,
                F.lit("Model accuracy below 90%. Consider retraining with additional data.")),

@@ -236,6 +236,7 @@ def hybrid_verdict(matched: DataFrame, ml_weight: float = 0.7, sig_weight: float
                 (F.col("is_malicious"), F.col("confidence_score"))], 1.0 - F.col("confidence_score"))
     score = F.col("combined_score")
     critical = F.exists("rule_matches", lambda m: m["severity"] == "CRITICAL")
+    # fixed values: limits, verdicts and actions
     malicious, suspicious, mild = score >= 0.8, score >= 0.6, score >= threshold
     return (matched.withColumn("signature_score", score_column())
             .withColumn("combined_score", ml * ml_weight + F.col("signature_score") * sig_weight)
@@ -254,6 +255,7 @@ def detect(df: DataFrame, rules: list[SignatureRule], indicators: DataFrame | No
 
 def detection_alerts(detected: DataFrame) -> DataFrame:
     """Alert rows for detections that are not benign."""
+    # fixed values: texts
     ml_part = F.when(F.col("is_malicious"), F.format_string(
         "ML detected %s (confidence: %.2f)", F.coalesce("attack_type", F.lit("Unknown")), F.col("confidence_score")))
     names = F.array_join(F.transform(F.slice("rule_matches", 1, 3), lambda m: m["name"]), ", ")

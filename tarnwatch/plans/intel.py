@@ -99,14 +99,16 @@ add("geolocate",
 
 
 def _typed(s, d):
+    """All alerts, by the hours of their sources, so that time spans are those of the data at any scale."""
     kind = F.expr("CASE WHEN attack_type IN ('Probe','Port Scan') THEN 'scanner' WHEN attack_type IN ('DoS','DDoS') THEN 'dos'"
                   " WHEN attack_type = 'U2R' THEN 'exploit' ELSE 'other' END")
-    return alerts(s, d).where("ts < TIMESTAMP '2024-01-01 02:30:00'").withColumn("attack_type", kind)
+    per_hour = F.concat("source_ip", F.lit("@"), F.date_format(F.date_trunc("hour", "ts"), "dd-HH"))
+    return alerts(s, d).withColumns({"attack_type": kind, "source_ip": per_hour})
 
 
-_TYPED = """ev AS (SELECT record_id, ts, source_ip, CASE WHEN attack_type IN ('Probe','Port Scan') THEN 'scanner'
+_TYPED = """ev AS (SELECT record_id, ts, source_ip || '@' || strftime(date_trunc('hour', ts), '%d-%H') AS source_ip, CASE WHEN attack_type IN ('Probe','Port Scan') THEN 'scanner'
     WHEN attack_type IN ('DoS','DDoS') THEN 'dos' WHEN attack_type = 'U2R' THEN 'exploit' ELSE 'other' END AS attack_type
-    FROM alerts WHERE ts < TIMESTAMP '2024-01-01 02:30:00')"""
+    FROM alerts)"""
 _RECON = """SELECT 'attack_sequence' AS pattern_type, source_ip AS subject, 0.8::DOUBLE AS confidence, min(ts) AS first_detected,
     max(ts) AS last_detected, 1::BIGINT AS occurrence_count, 'Reconnaissance followed by exploitation from ' || source_ip AS description
   FROM ev GROUP BY source_ip HAVING count(*) >= 3 AND bool_or(attack_type = 'scanner') AND bool_or(attack_type IN ('dos','exploit'))"""

@@ -22,11 +22,11 @@ RULES = [
          "features": {"k_value": {"min": 10, "max": 60}, "absent": 5}})),
     R("c3", "Listed hosts", "CRITICAL", "custom", json.dumps(
         {"source_ip": ["192.168.0.4", "192.168.2.6"], "features": {"k_value": 42}})),
-    R("s1", "Web port", "MEDIUM", "suricata", 'alert tcp any any -> any :80 (msg:"Web traffic"; sid:3;)'),
-    R("s2", "Content", "HIGH", "suricata", 'alert udp any any -> any any (msg:"Test"; content:"k_value: 9";)'),
+    R("s1", "Mail relay", "MEDIUM", "suricata", 'alert tcp $OFFICE any -> $RELAY :25 (msg:"mail leaves the office";)'),
+    R("s2", "Datagrams", "HIGH", "suricata", 'alert udp $OFFICE any -> $WORLD any (content:"k_value: 31"; classtype:demo;)'),
     R("s3", "Any protocol content", "LOW", "suricata", 'alert ip any any -> any any (content:"k_value: 7";)'),
-    R("n1", "Generic", "MEDIUM", "snort", 'alert tcp any any -> any any (msg:"DoS attack"; sid:3;)'),
-    R("n2", "Fast scan", "HIGH", "snort", 'alert udp any any -> any any (msg:"Port scan"; sid:4;)'),
+    R("n1", "Flood", "MEDIUM", "snort", 'alert tcp any any -> any any (msg:"looks like a dos flood"; rev:7;)'),
+    R("n2", "Quick probes", "HIGH", "snort", 'alert udp any any -> any any (msg:"burst of scanning probes"; rev:1;)'),
     R("y1", "Hosts", "MEDIUM", "yara", 'rule a { strings: $a = "10.0.0.7:53" $b = "192.168.3.11" condition: $a and $b }'),
     R("y2", "Large", "LOW", "yara", "rule b { condition: filesize > 9000 }"),
     R("y3", "Disabled", "LOW", "yara", "rule c { condition: filesize > 1 }", enabled=False),
@@ -35,14 +35,14 @@ RULES = [
 _M = """marked AS (SELECT t.*, (t.source_ip IN (SELECT indicator FROM indicators)
           OR t.destination_ip IN (SELECT indicator FROM indicators)) AS bad FROM traffic t),
 m AS (
-  SELECT 0 AS ord, 's1' AS rule_id, 'Web port' AS name, 'MEDIUM' AS severity, 'suricata' AS family, record_id FROM marked
-    WHERE protocol = 'TCP' AND (bad OR source_port = 80 OR destination_port = 80)
-  UNION ALL SELECT 1, 's2', 'Content', 'HIGH', 'suricata', record_id FROM marked WHERE protocol = 'UDP'
+  SELECT 0 AS ord, 's1' AS rule_id, 'Mail relay' AS name, 'MEDIUM' AS severity, 'suricata' AS family, record_id FROM marked
+    WHERE protocol = 'TCP' AND (bad OR source_port = 25 OR destination_port = 25)
+  UNION ALL SELECT 1, 's2', 'Datagrams', 'HIGH', 'suricata', record_id FROM marked WHERE protocol = 'UDP'
   UNION ALL SELECT 2, 's3', 'Any protocol content', 'LOW', 'suricata', record_id FROM marked
     WHERE bad OR CAST(k AS STRING) LIKE '7%'
-  UNION ALL SELECT 3, 'n1', 'Generic', 'MEDIUM', 'snort', record_id FROM marked
+  UNION ALL SELECT 3, 'n1', 'Flood', 'MEDIUM', 'snort', record_id FROM marked
     WHERE protocol = 'TCP' AND (packet_size > 10000 OR packet_size > 5000 OR (source_port < 1024 AND destination_port < 1024))
-  UNION ALL SELECT 4, 'n2', 'Fast scan', 'HIGH', 'snort', record_id FROM marked
+  UNION ALL SELECT 4, 'n2', 'Quick probes', 'HIGH', 'snort', record_id FROM marked
     WHERE protocol = 'UDP' AND (packet_size > 10000 OR (source_port < 1024 AND destination_port < 1024) OR duration < 0.01)
   UNION ALL SELECT 5, 'y1', 'Hosts', 'MEDIUM', 'yara', record_id FROM marked
     WHERE contains(source_ip || ':' || source_port || '->' || destination_ip || ':' || destination_port, '10.0.0.7:53')

@@ -44,13 +44,17 @@ add("dedup_alert_stream",
     lambda s, d: S.drain(S.dedup_alert_stream(_alerts(s, d)), "dedup").select("record_id", "source_ip", "attack_type"),
     alerting.ORACLE["dedup_alerts"])
 add("flow_stream",
-    lambda s, d: S.drain(S.flow_stream(traffic_stream(s, d), flow_cols=PAIR), "flows"),
+    lambda s, d: rounded(S.drain(S.flow_stream(traffic_stream(s, d), flow_cols=PAIR), "flows")).withColumn("flags", F.array_join("flags", ",")),
     duck("traffic", """WITH pk AS (SELECT *, concat_ws('|', source_ip, destination_ip) AS fk FROM traffic),
       gaps AS (SELECT *, lag(ts) OVER (PARTITION BY fk ORDER BY ts, record_id) AS prev FROM pk),
       sess AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 300000000 THEN 1 ELSE 0 END) OVER (PARTITION BY fk ORDER BY ts, record_id) AS sid FROM gaps)
-      SELECT fk AS flow_key, count(*) AS packet_count, sum(packet_size)::BIGINT AS total_bytes, min(ts) AS start_time, max(ts) AS last_time FROM sess
+      SELECT fk AS flow_key, count(*) AS packet_count, sum(packet_size)::BIGINT AS total_bytes, min(ts) AS start_time, max(ts) AS last_time,
+        array_to_string(list_sort(list_distinct(flatten(list(string_split(flags_csv, ','))))), ',') AS flags, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration FROM sess
       GROUP BY fk, sid HAVING epoch_us(max(ts)) + 300000001 <= (SELECT epoch_us(max(ts)) FROM traffic)"""))
-add("coordinated_stream", lambda s, d: S.drain(S.coordinated_stream(_alerts(s, d)), "coordinated"))
+add("coordinated_stream", lambda s, d: S.drain(S.coordinated_stream(_alerts(s, d)), "coordinated"),
+    duck("alerts", """SELECT date_trunc('hour', ts) AS hour, count(DISTINCT source_ip) AS sources, count(*)::BIGINT AS events FROM alerts
+      GROUP BY 1 HAVING count(DISTINCT source_ip) > 5 AND count(*) > 20
+        AND date_trunc('hour', ts) + INTERVAL '1' HOUR <= (SELECT max(ts) FROM alerts) - INTERVAL '10' MINUTE"""))
 add("rates_stream",
     lambda s, d: rounded(S.drain(S.rates_stream(traffic_stream(s, d)), "rates")),
     duck("traffic", """WITH ends AS (SELECT DISTINCT date_trunc('minute', ts) + i * INTERVAL '1' MINUTE AS e FROM traffic, generate_series(1, 5) g(i))
@@ -66,7 +70,7 @@ for _r in (correlation.RECON, correlation.MULTI, correlation.COORD):
 def _profiles(s, d):
     folder = S.work_folder(s, "profiles")
     S.profile_stream(traffic_stream(s, d, slow=True), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return rounded(B.finish(read_generation(s, f"{folder}/table")[0]).drop("sum_squares"))
+    return rounded(B.finish(read_generation(s, f"{folder}/table")[0].drop("_checkpoint", "_batch")).drop("sum_squares"))
 
 
 def _stats(s, d):

@@ -97,10 +97,11 @@ add("flow_key",
       || '-' || greatest(source_ip, destination_ip) || ':' || greatest(source_port, destination_port) || '-' || protocol
       AS flow_key FROM traffic"""))
 
-add("confidence_bins", lambda s, d: X.confidence_counts(traffic(s, d).where("k < 35")),
+add("confidence_bins", lambda s, d: X.confidence_counts(traffic(s, d).withColumn(
+        "confidence_score", F.when(F.col("confidence_score") >= 0.8, 0.95).otherwise(F.col("confidence_score")))),  # leaves a bin empty
     duck("traffic", """SELECT b.bin, count(t.record_id) AS n FROM (VALUES ('0.9-1.0', 0.9, 9.0), ('0.8-0.9', 0.8, 0.9),
       ('0.7-0.8', 0.7, 0.8), ('0.6-0.7', 0.6, 0.7), ('0.5-0.6', 0.5, 0.6), ('0.0-0.5', -1.0, 0.5)) b(bin, lo, hi)
-      LEFT JOIN (SELECT * FROM traffic WHERE k < 35) t
+      LEFT JOIN (SELECT record_id, CASE WHEN confidence_score >= 0.8::DOUBLE THEN 0.95::DOUBLE ELSE confidence_score END AS confidence_score FROM traffic) t
         ON t.confidence_score >= b.lo::DOUBLE AND t.confidence_score < b.hi::DOUBLE GROUP BY b.bin"""))
 
 add("md5_ids",
@@ -119,10 +120,10 @@ add("redact_log_messages",
         OR contains(lower(text), 'credential') AS r FROM documents)""")
 
 add("sanitize_text",
-    lambda s, d: table(s, d, "pages").where(F.length("html") <= 2000).select(
-        "page_id", F.md5(text.sanitize("html")).alias("clean_md5"), F.length(text.sanitize("html")).alias("n")),
-    """SELECT page_id, md5(c) AS clean_md5, CAST(length(c) AS INT) AS n FROM (
-      SELECT page_id, trim(translate(html, '<>"''&' || chr(0), '')) AS c FROM pages WHERE length(html) <= 2000)""")
+    lambda s, d: table(s, d, "pages").select("page_id", text.sanitize_or_reject("html", 2000).alias("t")).select(
+        "page_id", F.md5("t.clean").alias("clean_md5"), F.length("t.clean").alias("n"), "t.rejected"),
+    """SELECT page_id, md5(c) AS clean_md5, CAST(length(c) AS INT) AS n, rejected FROM (
+      SELECT page_id, length(html) > 2000 AS rejected, CASE WHEN length(html) <= 2000 THEN trim(translate(html, '<>"''&' || chr(0), '')) END AS c FROM pages)""")
 
 # --- flows ---------------------------------------------------------------------
 

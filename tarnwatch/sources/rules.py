@@ -16,13 +16,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_rules_json(spark: SparkSession, path: str) -> DataFrame:
-    """``{"rules": [...]}`` to rule rows in file order; a missing file means no rules."""
+def read_rules_json(spark: SparkSession, path: str, family: str | None = None) -> DataFrame:
+    """``{"rules": [...]}`` to rule rows in file order; a missing file means no rules.
+
+    ``family`` is the family of rules that state none; without it such rules are an error when read.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], RULE_SCHEMA)
     raw = spark.read.schema(RULE_FILE_SCHEMA).json(path, multiLine=True)
     rules = raw.select(F.posexplode("rules").alias("_pos", "r")).orderBy("_pos").select("r.*")
     return rules.withColumns({
+        "rule_type": F.coalesce("rule_type", F.lit(family)) if family else F.coalesce("rule_type", F.raise_error(F.concat(
+            F.lit("no rule_type and no family given for rule "), F.coalesce("rule_id", F.lit("without id")))).cast("string")),
         "metadata": F.coalesce("metadata", F.expr("CAST(map() AS map<string,string>)")),
         "enabled": F.coalesce("enabled", F.lit(True))})
 

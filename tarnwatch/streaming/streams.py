@@ -89,14 +89,17 @@ def flow_stream(stream: DataFrame, timeout: int = FLOW_TIMEOUT, delay: str = "0
     return (with_flow_key(stream, flow_cols).withWatermark("ts", delay)
             .groupBy("flow_key", F.session_window("ts", f"{timeout * 1_000_000 + 1} microseconds"))
             .agg(F.count("*").alias("packet_count"), F.sum("packet_size").alias("total_bytes"),
-                 F.min("ts").alias("start_time"), F.max("ts").alias("last_time"))
+                 F.min("ts").alias("start_time"), F.max("ts").alias("last_time"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))).alias("flags"))
+            .withColumn("duration", seconds("last_time") - seconds("start_time"))
             .drop("session_window"))
 
 
 def coordinated_stream(stream: DataFrame, sources: int = 5, volume: int = 20, delay: str = "10 minutes") -> DataFrame:
-    """Hours with many sources (approximate distinct count) and many events."""
-    return (stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"))
-            .agg(F.approx_count_distinct("source_ip", 0.01).alias("sources"), F.count("*").alias("events"))
+    """Hours with many sources and many events, exact: by (hour, source) first, then by hour."""
+    per_source = (stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour"), "source_ip").agg(F.count("*").alias("n")))
+    return (per_source.groupBy(F.window(F.window_time("window"), "1 hour"))
+            .agg(F.count("*").alias("sources"), F.sum("n").alias("events"))
             .where((F.col("sources") > sources) & (F.col("events") > volume))
             .select(F.col("window.start").alias("hour"), "sources", "events"))
 
@@ -153,8 +156,10 @@ def dedup_alert_stream_approximate(stream: DataFrame, window: str = "5 minutes")
 def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1 minute") -> DataFrame:
     """Matches of one correlation rule for every new event.
 
-    The state of a rule key holds the events of the last rule window; older ones
-    are dropped as the key advances, and the whole state once the watermark has passed it.
+    The state of a rule key holds the events of one rule window before the watermark
+    and later ones; the whole state goes once the watermark has passed it. An event
+    that is late, but not later than ``delay``, is matched with its partners; events
+    after it that were matched before are not matched anew.
     """
     columns = ["event_id", "_t", "attack_type", "source_ip", "stage_idx", "sev_idx"]
     window = rule.window_seconds * 1_000_000
@@ -172,7 +177,9 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
         newest = int(rows["_t"].iloc[-1])
         # the rows of a key form one group, whatever time they span
         out = matcher(rows.assign(_bucket=1), np.zeros(len(rows), dtype=np.int64), span=2 * newest + window)
-        tail = rows[rows["_t"] >= newest - window]
+        # an event as late as the watermark allows still needs its partners of one window before it
+        late = min(newest, state.getCurrentWatermarkMs() * 1000)
+        tail = rows[rows["_t"] >= late - window]
         state.update(tuple(tail[c].tolist() for c in columns))
         state.setTimeoutTimestamp(max(newest // 1000 + window // 1000, state.getCurrentWatermarkMs() + 1))
         if len(out):
@@ -195,19 +202,26 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
 def profile_stream(stream: DataFrame, path: str, checkpoint: str, entity: str = "source_ip", interval: str | None = None):
     """Maintain mergeable behaviour profiles: one table generation per micro-batch.
 
-    A repeated batch finds its generation already written and does nothing, so a
-    lost executor or a restart never counts a batch twice.
+    A generation holds the checkpoint and batch number that it was made from. A
+    repeated batch of that checkpoint finds them there and does nothing, so a lost
+    executor or a restart never counts a batch twice; batches of another checkpoint
+    are merged whatever their numbers. Only the newest generations are kept.
     """
-    from tarnwatch.sources.tables import read_generation
+    from tarnwatch.sources.tables import prune_generations, read_generation
+
+    mark = ["_checkpoint", "_batch"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored, number = read_generation(spark, path)
-        if number > batch_id:
+        done = stored.select(*mark).where(F.col("_checkpoint") == checkpoint).agg(F.max("_batch")).first()[0] if stored is not None else None
+        if done is not None and done >= batch_id:
             return
         parts = B.profile_parts(B.observations(batch, entity))
-        merged = parts if stored is None else B.merge_parts([stored, parts])
-        merged.write.mode("overwrite").parquet(f"{path}/gen={batch_id + 1:06d}")
+        merged = parts if stored is None else B.merge_parts([stored.drop(*mark), parts])
+        merged.withColumns({"_checkpoint": F.lit(checkpoint), "_batch": F.lit(batch_id).cast("long")}).write.mode(
+            "overwrite").parquet(f"{path}/gen={number + 1:06d}")
+        prune_generations(spark, path)
 
     return alert_actions(stream, merge, checkpoint, interval)
 

@@ -136,3 +136,17 @@ def test_sampling(spark):
     assert sizes(Q.sample_rows(df, 100, "id", "y")) == {0: 80, 1: 15, 2: 5}
     assert Q.sample_rows(df, 37, "id").count() == 37
     assert Q.sample_rows(df, 5000, "id", "y").count() == 1000
+
+
+def test_nan_is_a_gap_at_every_size(spark):
+    values = [float("nan") if i % 4 == 0 else float(i) for i in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    known = np.array([v for v in values if v == v])
+    for direct in (0, 1_000_000):
+        assert exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], direct_rows=direct)["x"] == pytest.approx(list(np.quantile(known, [0.25, 0.5, 0.75])))
+    few = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert sorted(r.x for r in P.impute(few, "mean").collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert sorted(r.x for r in P.impute(few, "median").collect()) == [1.0, 2.0, 2.0, 3.0]
+    assert sorted(r.x for r in P.impute(few, "drop").collect()) == [1.0, 3.0]
+    assert P.fit_scaler(few).center["x"] == 2.0 and P.fit_scaler(few, "minmax").scale["x"] == 2.0
+    assert P.remove_outliers(few, threshold=1.5).count() == 4

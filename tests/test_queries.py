@@ -12,6 +12,7 @@ from oracle_check import compare  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ORACLE = entry.oracle_sql()
+MAY_BE_EMPTY = {"coordinated_stream"}  # no hour of the smallest tables lies before the watermark
 SLOW = {"train_models", "tune_and_cross_validate"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not available")
@@ -24,7 +25,7 @@ def test_registry():
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n not in SLOW])
 def test_query(spark, name):
     status, _, note = compare(spark, SF, name, entry.queries()[name], ORACLE.get(name))
-    assert status in ("ok", "rows-only", "EMPTY"), note
+    assert status in ("ok", "rows-only") or (status == "EMPTY" and name in MAY_BE_EMPTY), note
 
 
 def test_entry(spark):

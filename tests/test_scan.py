@@ -96,3 +96,11 @@ def test_escalation(spark):
     df = events(spark, [(0, "a"), (300, "a"), (600, "a"), (1201, "a")]).withColumn("severity", F.lit("LOW"))
     got = {r["record_id"]: (r["escalated"], r["severity"]) for r in A.escalate_alerts(df).collect()}
     assert got == {0: (False, "LOW"), 1: (False, "LOW"), 2: (True, "CRITICAL"), 3: (False, "LOW")}
+
+
+def test_suppression_keeps_rows_with_missing_keys(spark):
+    rows = [(1, BASE, "a", None), (2, BASE + dt.timedelta(seconds=10), "a", None), (3, BASE, None, "DoS"), (4, BASE, "a", "DoS"),
+            (5, BASE + dt.timedelta(seconds=400), "a", None)]
+    df = spark.createDataFrame(rows, "record_id long, ts timestamp, source_ip string, attack_type string")
+    kept = A.keep_spaced(df, ["source_ip", "attack_type"], 300)
+    assert sorted(r.record_id for r in kept.collect()) == [1, 3, 4, 5]

@@ -143,3 +143,12 @@ def test_report_and_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 1
     with pytest.raises(ValueError):
         T.export(section, str(tmp_path / "x"), "xls")
+
+
+def test_rule_file_of_one_family(spark, tmp_path):
+    path = tmp_path / "family.json"
+    path.write_text(json.dumps({"rules": [{"rule_id": "a", "name": "n", "severity": "LOW", "pattern": "rule z { condition: filesize > 1 }"},
+                                          {"rule_id": "b", "name": "n", "severity": "LOW", "rule_type": "snort", "pattern": "p"}]}))
+    assert [r["rule_type"] for r in R.read_rules_json(spark, str(path), family="yara").collect()] == ["yara", "snort"]
+    with pytest.raises(Exception, match="no family given for rule a"):
+        R.read_rules_json(spark, str(path)).collect()

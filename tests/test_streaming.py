@@ -93,3 +93,21 @@ def test_messages(spark, tmp_path):
     (tmp_path / "m" / "a.txt").write_text('{"record_id": 1, "ts": "2024-01-01T00:00:00Z", "source_ip": "a", "flags": ["SYN"]}\nnot json\n')
     got = S.drain(S.parse_messages(spark.readStream.text(str(tmp_path / "m")))).collect()
     assert [(r["record_id"], r["flags"]) for r in got] == [(1, ["SYN"])]
+
+
+def test_profiles_count_the_batches_of_a_second_checkpoint(spark, chunks, tmp_path):
+    path, batch = chunks
+    for name in ("one", "two", "two"):  # the last run has nothing new
+        S.profile_stream(stream(spark, path), f"{tmp_path}/table", f"{tmp_path}/{name}").awaitTermination()
+    stored, _ = read_generation(spark, f"{tmp_path}/table")
+    once = {(r["entity_id"], r["feature"]): r["n"] for r in B.profile_parts(B.observations(batch)).withColumnRenamed("count", "n").collect()}
+    twice = {(r["entity_id"], r["feature"]): r["n"] for r in stored.withColumnRenamed("count", "n").collect()}
+    assert twice == {k: 2 * n for k, n in once.items()}
+
+
+def test_coordinated_hours_are_exact(spark, tmp_path):
+    rows = [(i, BASE + dt.timedelta(minutes=i % 60 + 60 * (i // 60)), f"s{i % 7}") for i in range(300)]
+    spark.createDataFrame(rows, "record_id long, ts timestamp, source_ip string").coalesce(1).write.json(f"{tmp_path}/in")
+    source = spark.readStream.schema("record_id long, ts timestamp, source_ip string").json(f"{tmp_path}/in")
+    got = S.drain(S.coordinated_stream(source)).collect()
+    assert {(r["sources"], r["events"]) for r in got} == {(7, 60)} and len(got) >= 3
