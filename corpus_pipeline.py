@@ -30,8 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without a letter and those whose language stays ambiguous go."""
     prepare(spark)
     model = langid.train(docs)
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    return docs.where(langid.accepted(spark, F.col("text"), model))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

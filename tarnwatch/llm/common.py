@@ -15,7 +15,7 @@ from tarnwatch.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\f\r"  # the characters that separate words in every contract
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct words that one Python worker remembers in each of two generations.
-REMEMBER = 400_000
+REMEMBER = 150_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -20,7 +20,8 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +161,18 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                                T.StructField("ambiguous", T.BooleanType())], run, list(keep))
 
 
+def accepted(spark: SparkSession, text: Column, model: Model) -> Column:
+    """Whether a text has a language that is not ambiguous. The text itself does not come back from Python."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def accept(texts: pd.Series) -> pd.Series:
+        found = [shared.value.predict(t) for t in texts]
+        return pd.Series([lang != UNKNOWN and not ambiguous for lang, _, ambiguous in found], dtype=bool)
+
+    return accept(text)
+
+
 def learnable(fold: Column, held_out: int) -> Column:
     """Rows that training may read: those of a known other fold."""
     return F.coalesce(fold != held_out, F.lit(False))
