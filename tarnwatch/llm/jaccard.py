@@ -28,6 +28,7 @@ are ignored. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from tarnwatch.llm.common import Remembered, table
 from tarnwatch.operators.graph import connected_components
 
 WIDTH, PERCENT = 4, 85
-BUCKETS, CHUNK = 1 << 20, 4_096
+BUCKETS, CHUNK = 1 << 22, 1 << 16
 BITS = 1 << 25
 #: Share of its prefix that a class must share with a leader to be checked against it in step 2.
 LEADER_SHARE = 0.4
@@ -99,21 +100,30 @@ def common_buckets(docs: DataFrame, width: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(data, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
+                total[chunk] = total.get(chunk, 0) + unpacked(data)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(t) for t in total.values()], pa.binary())],
                                          names=["chunk", "counts"])
 
     parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(16, "chunk")
     total = np.zeros(BUCKETS, dtype=np.int64)
     for row in parts.mapInArrow(add, "chunk int, counts binary").collect():  # BUCKETS counters, whatever the input
-        total[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, dtype=np.int64)
+        total[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = unpacked(row.counts)
     mean = total.mean()
-    return total > mean + 6 * np.sqrt(mean) + 30
+    return total > mean + 3 * np.sqrt(mean) + 4
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counters of one chunk; most are small, so they compress to a few bits each."""
+    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
 
 
 def chunks(total: np.ndarray) -> pa.RecordBatch:
     used = [i for i in range(BUCKETS // CHUNK) if total[i * CHUNK:(i + 1) * CHUNK].any()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([total[i * CHUNK:(i + 1) * CHUNK].tobytes() for i in used], pa.binary())],
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed(total[i * CHUNK:(i + 1) * CHUNK]) for i in used], pa.binary())],
                                       names=["chunk", "counts"])
 
 
