@@ -16,6 +16,8 @@ SPACES = " \t\n\x0b\f\r"  # the characters that separate words in every contract
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Distinct words that one Python worker remembers in each of two generations.
 REMEMBER = 150_000
+#: Rows that Python handles at a time.
+SLICE = 500
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,13 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that Python objects exist for a few hundred texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def per_text(df: DataFrame, text: str, fields: list[T.StructField],
              fn: Callable[[list[str | None]], list[list]], keep: list[str]) -> DataFrame:
     """Add columns that ``fn`` computes from one text column, Arrow batch by Arrow batch.
@@ -56,7 +65,7 @@ def per_text(df: DataFrame, text: str, fields: list[T.StructField],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
+        for batch in slices(batches):
             values = fn(batch.column(at).to_pylist())
             arrays = [batch.column(i) for i in range(len(keep))]
             arrays += [pa.array(v, type=to_arrow_type(t.dataType)) for v, t in zip(values, types, strict=True)]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import Remembered, table
+from tarnwatch.llm.common import Remembered, slices, table
 from tarnwatch.operators.graph import connected_components
 
 WIDTH, PERCENT = 4, 85
@@ -90,10 +90,9 @@ def common_buckets(docs: DataFrame, width: int) -> np.ndarray:
     """Which sketch buckets are much fuller than the others; counted over all texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t, width) for t in batch.column(0).to_pylist()]
-            if found:
-                total += np.bincount((np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            np.add.at(total, (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         yield chunks(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +128,11 @@ def chunks(total: np.ndarray) -> pa.RecordBatch:
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, cls, prefix and bits (null where the task has met the class before): one row for each document."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(docs, width)))
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(docs, width), bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, met = np.unpackbits(bits.value).astype(bool), set()
-        for batch in batches:
+        common, met = bits.value, set()
+        for batch in slices(batches):
             ns, classes, lists, maps = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
@@ -150,7 +149,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     maps.append(None)
                     continue
                 met.add(cls)
-                late = common[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                late = is_set(common, (h & np.uint64(BUCKETS - 1)).astype(np.int64))
                 keys = np.concatenate([h[~late] >> np.uint64(2), (h[late] >> np.uint64(2)) | np.uint64(1 << 62)]).astype(np.int64)
                 lists.append(keys[:len(h) - needed(len(h), percent) + 1])
                 maps.append(parities(h))
@@ -200,7 +199,7 @@ def whole_sets(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = set()
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(is_set(bits.value, batch.column(0).to_numpy())))
             classes, data = [], []
             for text in batch.column(1).to_pylist():
@@ -222,7 +221,7 @@ def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int, per
     maps = held.where("bits is not null").select("cls", "n", "bits").dropDuplicates(["cls"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)
             keep = [(100 + percent) * most_overlap(nx, x, ny, y) >= percent * (nx + ny) for nx, x, ny, y in rows]
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
@@ -233,7 +232,7 @@ def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int, per
     sets = whole_sets(docs, held, pairs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -167,7 +167,7 @@ def accepted(spark: SparkSession, text: Column, model: Model) -> Column:
 
     @F.pandas_udf("boolean")
     def accept(texts: pd.Series) -> pd.Series:
-        found = [shared.value.predict(t) for t in texts]
+        found = map(shared.value.predict, texts)
         return pd.Series([lang != UNKNOWN and not ambiguous for lang, _, ambiguous in found], dtype=bool)
 
     return accept(text)
