@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +26,15 @@ MAX_INLINE = 64
 
 
 class Fitted:
-    """Fitted state is a small plain mapping, so it can be saved as JSON text."""
+    """Fitted state is a small plain mapping, saved as JSON text through Spark, so any shared folder will do."""
 
     def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(asdict(self), f)
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod
     def load(cls, path: str):
-        with open(path) as f:
-            return cls(**json.load(f))
+        return cls(**json.loads(SparkSession.getActiveSession().read.text(path).first()["value"]))
 
 
 # --- encoding ------------------------------------------------------------------------
