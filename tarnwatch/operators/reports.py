@@ -67,8 +67,8 @@ def threat_timeline(alerts: DataFrame, start: datetime, end: datetime) -> DataFr
 def threat_report(alerts: DataFrame, start: datetime, end: datetime, limit: int = 10) -> DataFrame:
     """(section, item, n) rows of all threat sections.
 
-    One pre-aggregation over the period feeds type, severity, hour and confidence
-    sections; the address sections aggregate on their own keys.
+    Every section is an aggregate of its own over the period, which reads only the
+    section's column; counts are combined before they are shuffled.
     """
     period = in_period(alerts, start, end)
 
