@@ -7,8 +7,9 @@ exact: one row for each document with its component of links.
    cannot all miss; tokens of a count-sketch bucket that is much fuller than others come last in the order, so
    prefixes hold rare tokens and passages shared by many documents form no long lists.
 2. Partition into groups: each class is checked against one leader, the smallest class that shares most of its
-   prefix tokens; verified links make the groups (connected components). A cluster of near copies becomes one
-   group by a number of checks that is linear in its size.
+   prefix tokens; verified links make the groups (connected components). This is done ``TURNS`` times, later with
+   other leaders of other groups, so that a cluster of near copies becomes one group by a number of checks that
+   is linear in its size.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
    what a link needs are opened, their members bounded alike. Pairs that are left are bounded by parity bitmaps
@@ -45,6 +46,8 @@ BUCKETS, CHUNK = 1 << 22, 1 << 16
 BITS = 1 << 25
 #: Share of its prefix that a class must share with a leader to be checked against it in step 2.
 LEADER_SHARE = 0.4
+#: Times that leaders are chosen in step 2, each time by another order.
+TURNS = 3
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
 
@@ -245,6 +248,13 @@ def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int, per
     return table(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "jac_links")
 
 
+def other_leaders(tokens: DataFrame, turn: int) -> DataFrame:
+    """``tokens`` with another leader for each key that several groups share, where it is of another group."""
+    first = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("x"), F.col("cls").alias("leader"), F.col("group").alias("lead_group"))).alias("m")
+    led = tokens.groupBy("key").agg(first, F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key", "m.leader", "m.lead_group")
+    return tokens.join(led, "key").where(F.col("group") != F.col("lead_group"))
+
+
 def leader_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class and the leader that most of its prefix tokens name, if enough do."""
     votes = tokens.where("cls <> leader").groupBy("cls", "leader").agg(F.count("*").alias("hits"), F.max("n").alias("n"))
@@ -281,6 +291,12 @@ def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     return pairs.where(most >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)).select("a", "b")
 
 
+def grouped(tokens: DataFrame, links: DataFrame) -> DataFrame:
+    """``tokens`` with the group of their class: its component of ``links``, or itself."""
+    group = table(connected_components(links, "a", "b"), "jac_groups")
+    return tokens.join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component")
+
+
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -290,9 +306,10 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     rows = token_rows(held, bitmap(shared, "key")).dropDuplicates(["key", "cls"])
     tokens = table(rows.join(shared, "key"), "jac_tokens")
     star = verified(docs, held, leader_pairs(tokens, percent), width, percent)
-    group = table(connected_components(star, "a", "b"), "jac_groups")
-    named = tokens.drop("leader").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "group", F.coalesce("component", "cls")).drop("component")
+    named = grouped(tokens.drop("leader"), star)
+    for turn in range(1, TURNS):  # parts of one cluster that had different leaders meet
+        star = table(star.unionByName(verified(docs, held, leader_pairs(other_leaders(named, turn), percent), width, percent)), "jac_star")
+        named = grouped(tokens.drop("leader"), star)
     more = verified(docs, held, cross_pairs(named, percent), width, percent)
     final = connected_components(star.unionByName(more), "a", "b").withColumnsRenamed({"node": "cls", "component": "root"})
     rooted = table(held.select("doc_id", "n", "cls").join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jac_rooted")
