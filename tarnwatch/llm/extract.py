@@ -6,13 +6,15 @@ the body down. All pages of a host together form a style tree, whose nodes are t
 the entropy of its pages' child sequences, to the base of its pages; the content importance of a block is one
 minus the entropy of its text over the node's pages, so a text on every page has 0 and one seen once has 1.
 A node's importance is the mean content importance of its blocks, raised to its presentation's where that is
-higher. Branches of an importance under ``LEAST`` are removed from each page.
+higher. Pages of a host that say the same in what HTML leaves of them count once, so that copied articles do
+not look like a template. Blocks of an importance under ``LEAST`` are removed from each page.
 
 The entropies need pages to compare, and many menus and adverts vary from page to page. So what HTML itself
 says about a branch is part of its importance: elements for navigation, forms, code and page frames have
 none, nor have those whose class, id or role names an advert, menu, notice, sidebar or comment; nor has what
-stands outside the page's article or main element where there is one. Plain prose right inside an article
-(elements without class, id or role) has full importance however often it is repeated, since articles are copied.
+stands outside the page's article or main element where there is one. Every other block is judged by its
+node. For plain prose right inside an article (elements without class, id or role) ``PROSE_HINT`` is added to the
+log-odds of the node's importance: it goes only if its node says nearly the same on all pages.
 
 Blocks have character references decoded and white space made one space; they are joined by line feeds.
 Null and empty pages give an empty text; broken markup is read as far as it goes; long pages are read whole;
@@ -34,6 +36,8 @@ from pyspark.sql import types as T
 from tarnwatch.llm.common import per_text, table
 
 MIN_PAGES, LEAST = 8, 0.3
+#: Log-odds that being plain prose of an article adds to a node's importance; with LEAST its node may have 0.055 then.
+PROSE_HINT = 2.0
 # names of HTML elements and attribute words, by meaning
 DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "head", "title", "nav", "footer", "aside",
            "form", "button", "select", "textarea", "dialog", "menu", "input", "option", "label", "fieldset", "datalist", "audio", "video", "applet", "embed"}
@@ -157,18 +161,21 @@ def node_of(path: str) -> int:
     return number(re.sub(r"\d+", "0", path))
 
 
-def tree_rows(page: Page) -> tuple[list[dict], list[int]]:
-    """A page's part of its site's style tree, and the nodes whose importance the page has to know."""
+def tree_rows(page: Page) -> tuple[list[dict], list[dict], int]:
+    """A page's part of its site's style tree, the nodes whose importance the page has to know, and a number of what it says."""
     rows = {(node_of(path), False, number(" ".join(steps))) for path, steps in page.children.items()}
     rows |= {(node_of(path), True, number(text)) for path, text, *_ in page.blocks}
     shaped = {node for node, content, _ in rows if not content}
     rows |= {(node, False, 0) for node, content, _ in list(rows) if node not in shaped}  # leaves have no children
+    left = left_by_html(page)
     return ([{"node": n, "content": c, "value": v} for n, c, v in sorted(rows)],
-            sorted({node_of(path) for path, _, plain in left_by_html(page) if not plain}))
+            [{"node": n, "plain": p} for n, p in sorted({(node_of(path), plain) for path, _, plain in left})],
+            number("\n".join(text for _, text, _ in left)))
 
 
+ASKS = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("plain", T.BooleanType())]))
 ROWS = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("content", T.BooleanType()), T.StructField("value", T.LongType())]))
-BLOCKS = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())]))
+BLOCKS = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("plain", T.BooleanType()), T.StructField("text", T.StringType())]))
 
 
 def host_of(url: Column) -> Column:
@@ -176,8 +183,9 @@ def host_of(url: Column) -> Column:
 
 
 def style_trees(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """_ex_host, node, importance of the nodes that enough pages have; ``rows`` has _ex_host and _ex_rows."""
-    flat = rows.where("_ex_host is not null").select("_ex_host", F.inline("_ex_rows"))
+    """_ex_host, node, importance of the nodes that enough pages have; ``rows`` has _ex_host, _ex_key, _ex_said and _ex_rows."""
+    once = rows.where("_ex_host is not null").groupBy("_ex_host", "_ex_said").agg(F.min_by("_ex_rows", "_ex_key").alias("_ex_rows"))
+    flat = once.select("_ex_host", F.inline("_ex_rows"))
     counted = flat.groupBy("_ex_host", "node", "content", "value").agg(F.count("*").alias("c"))
     only = lambda what: F.coalesce(F.sum(F.when(what, F.col("c"))), F.lit(0))
     nodes = counted.groupBy("_ex_host", "node").agg(
@@ -189,6 +197,12 @@ def style_trees(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     return nodes.select("_ex_host", "node", F.greatest(presentation, content).alias("importance"))
 
 
+def weighed(importance: Column, plain: Column) -> Column:
+    """A node's importance with what HTML says about the block."""
+    sure = F.least(F.greatest(importance, F.lit(0.01)), F.lit(0.99))
+    return F.when(plain, 1 / (1 + F.exp(-F.ln(sure / (1 - sure)) - PROSE_HINT))).otherwise(importance)
+
+
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"),
             least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
     """``keep`` + _ex_text."""
@@ -196,18 +210,18 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[
 
     def parse_rows(sources):
         found = [tree_rows(Page(x)) for x in sources]
-        return [[r for r, _ in found], [n for _, n in found]]
+        return [list(column) for column in zip(*found, strict=True)] if found else [[], [], []]
 
     def parse_blocks(sources):
-        return [[[{"node": None if plain else node_of(path), "text": text} for path, text, plain in left_by_html(Page(x))] for x in sources]]
+        return [[[{"node": node_of(path), "plain": plain, "text": text} for path, text, plain in left_by_html(Page(x))] for x in sources]]
 
     rows = table(per_text(marked.select("_ex_key", "_ex_host", html), html, [
-        T.StructField("_ex_rows", ROWS), T.StructField("_ex_asks", T.ArrayType(T.LongType()))], parse_rows, ["_ex_key", "_ex_host"]), "ex_rows")
-    low = table(style_trees(rows, min_pages).where(F.col("importance") < least).select("_ex_host", "node"), "ex_low")
-    asked = rows.select("_ex_key", "_ex_host", F.explode("_ex_asks").alias("node")).join(low, ["_ex_host", "node"])
-    drops = table(asked.groupBy(F.col("_ex_key").alias("_ex_of")).agg(F.collect_set("node").alias("_ex_drops")), "ex_drops")
+        T.StructField("_ex_rows", ROWS), T.StructField("_ex_asks", ASKS), T.StructField("_ex_said", T.LongType())], parse_rows, ["_ex_key", "_ex_host"]), "ex_rows")
+    low = table(style_trees(rows, min_pages).where(F.col("importance") < least), "ex_low")  # hints only raise an importance
+    asked = rows.select("_ex_key", "_ex_host", F.inline("_ex_asks")).join(low, ["_ex_host", "node"]).where(weighed(F.col("importance"), F.col("plain")) < least)
+    drops = table(asked.groupBy(F.col("_ex_key").alias("_ex_of")).agg(F.collect_set(F.struct("node", "plain")).alias("_ex_drops")), "ex_drops")
     blocks = per_text(marked, html, [T.StructField("_ex_blocks", BLOCKS)], parse_blocks, [*keep, "_ex_key"])
-    gone = lambda b: F.coalesce(F.array_contains("_ex_drops", b["node"]), F.lit(False))
+    gone = lambda b: F.coalesce(F.array_contains("_ex_drops", F.struct(b["node"].alias("node"), b["plain"].alias("plain"))), F.lit(False))
     text = F.array_join(F.transform(F.filter("_ex_blocks", lambda b: ~gone(b)), lambda b: b["text"]), "\n")
     joined = blocks.join(drops, F.col("_ex_key") == F.col("_ex_of"), "left")
     return joined.withColumn("_ex_text", text).drop("_ex_key", "_ex_of", "_ex_drops", "_ex_blocks")

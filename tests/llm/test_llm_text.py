@@ -154,6 +154,15 @@ def test_style_trees_drop_what_a_site_repeats(spark):
     assert got[101].startswith("Welcome")  # too few pages to judge
 
 
+def test_style_trees_judge_plain_prose_of_articles(spark):
+    page = "<body><div class=ad>{0}</div><article><h1>Title {1}</h1><p>Story {1}</p><p>Told by all</p><div><p>All rights</p></div></article></body>"
+    rows = [Row(page_id=i, url=f"https://h.example/{i}", html=page.format(i, i)) for i in range(20)]
+    rows += [Row(page_id=100 + i, url=f"https://copies.example/{i}", html=page.format(i, 7)) for i in range(20)]
+    got = {r.page_id: r._ex_text for r in extract.extract(spark.createDataFrame(rows)).collect()}
+    assert all(got[i] == f"Title {i}\nStory {i}\nTold by all" for i in range(20))
+    assert all(got[100 + i] == "Title 7\nStory 7\nTold by all\nAll rights" for i in range(20))  # one article, copied
+
+
 @needs_data
 def test_pages_keep_their_article(spark):
     import html as entities
