@@ -11,8 +11,9 @@ not look like a template. Blocks of an importance under ``LEAST`` are removed fr
 
 The entropies need pages to compare, and many menus and adverts vary from page to page. So what HTML itself
 says about a branch is part of its importance: elements for navigation, forms, code and page frames have
-none, nor have those whose class, id or role names an advert, menu, notice, sidebar or comment; nor has what
-stands outside the page's article or main element where there is one. Every other block is judged by its
+none, nor have those whose class, id or role names an advert, menu, notice, sidebar or comment (inside an article
+not the names of ``TEXT`` elements nor the ids of sections and anchors, which are often made of titles); nor has what stands
+outside the page's article or main element where there is one. Every other block is judged by its
 node. For plain prose right inside an article (elements without class, id or role) ``PROSE_HINT`` is added to the
 log-odds of the node's importance: it goes only if its node says nearly the same on all pages.
 
@@ -39,9 +40,13 @@ MIN_PAGES, LEAST = 8, 0.3
 #: Log-odds that being plain prose of an article adds to a node's importance; with LEAST its node may have 0.055 then.
 PROSE_HINT = 2.0
 # names of HTML elements and attribute words, by meaning
-DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "head", "title", "nav", "footer", "aside",
+DROPPED = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "canvas", "object", "head", "title", "nav", "footer", "aside",
            "form", "button", "select", "textarea", "dialog", "menu", "input", "option", "label", "fieldset", "datalist", "audio", "video", "applet", "embed"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "svg", "math"}
+#: RAW elements that are paired first: without an end tag of its own only the tag goes, not what follows.
+PAIRED = {"svg", "noscript", "iframe", "template"}
+#: Elements that hold an article's own text, whatever they are named there.
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "blockquote", "pre", "tr", "td", "th", "caption", "figcaption", "b", "i", "em", "strong"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption",
          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section",
@@ -53,11 +58,14 @@ NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|co
 MAIN = ("article", "main")
 PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "tbody", "thead", "tr", "td", "th", "caption",
          "figure", "figcaption", "section", "div", "header", "b", "i", "em", "strong", "u", "s", "small", "span", "a", "code", "sub", "sup", "q", "cite", "mark",
-         "abbr", "time", "kbd", "samp", "var", "font", "center", "del", "ins", "tt", "big"}
+         "abbr", "time", "kbd", "samp", "var", "font", "center", "del", "ins", "tt", "big",
+         "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover",
+         "mtable", "mtr", "mtd", "mstyle", "mpadded", "menclose"}
 #: Comments, declarations, then tags; quotes count after an equals sign only, as in browsers.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                  r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+PAIRS = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>", re.I) for tag in PAIRED}
 BLANK = re.compile(r"\s+")
 
 
@@ -65,6 +73,18 @@ def attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)} if "=" in source else {}
 
 
+def pairs(source: str, tag: str) -> dict[int, int]:
+    """Where the elements of this name that have an end tag begin and end."""
+    found, begun = {}, []
+    for m in PAIRS[tag].finditer(source):
+        if not m[1]:
+            if not m[2].endswith("/") or tag != "svg":  # only svg can be closed by its own tag
+                begun.append(m.start())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 class Page:
     """A page's blocks in order: (path, text, dropped by its elements, inside an article, plain prose of an article)."""
 
@@ -88,6 +108,11 @@ class Page:
         self.open = None
 
     def add(self, data: str) -> None:
+        dropped = self.stack[-1][2]
+        if self.open is not None and dropped != self.open[2]:
+            if dropped:  # inside a line that stays
+                return
+            self.flush()
         if self.open is None:
             if data.isspace():
                 return
@@ -100,7 +125,10 @@ class Page:
         names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
         own = tag in DROPPED or (tag == "header" and not inside) or "hidden" in found or found.get("aria-hidden") == "true"
         if not own and tag not in ("html", "body", *MAIN) and names.strip():
-            own = bool(NAMED.search(names))
+            if not inside:
+                own = bool(NAMED.search(names))
+            elif tag not in TEXT:
+                own = bool(NAMED.search(f"{found.get('class', '')} {found.get('role', '')}" if tag in ("section", "a") else names))
         step = tag if not found.get("class") else f"{tag}.{'.'.join(sorted(found['class'].lower().split()))}"
         self.children.setdefault(path, []).append(step)
         plain = tag in MAIN or (plain and tag in PROSE and not names.strip())
@@ -115,7 +143,7 @@ class Page:
                 return
 
     def read(self, source: str) -> None:
-        at = 0
+        at, ends = 0, {}
         while at < len(source):
             m = TAG.search(source, at)
             if not m:
@@ -138,6 +166,11 @@ class Page:
                 self.stack.pop()
             if tag in VOID:
                 continue
+            if tag in PAIRED:
+                if tag not in ends:
+                    ends[tag] = pairs(source, tag)
+                at = ends[tag].get(m.start(), at)
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)

@@ -163,6 +163,20 @@ def test_style_trees_judge_plain_prose_of_articles(spark):
     assert all(got[100 + i] == "Title 7\nStory 7\nTold by all\nAll rights" for i in range(20))  # one article, copied
 
 
+@pytest.mark.parametrize("inner,want", [
+    ("<h2 id=related-work>Related work</h2><section id=search><h3 id='sharing-data'>Sharing</h3><p class=notice>Note</p></section><ol><li id=tag-3>Third</ol>",
+     "Related work\nSharing\nNote\nThird"),
+    ("<div id=comments>no</div><section class=related>no</section><ul class=share><li>no</ul><p>yes", "yes"),
+    ("<p>a<svg width='1'/>b<p>c<svg><title>no</title></svg>d", "ab\ncd"),
+    ("<p>a<svg><p>b<svg><svg>no</svg>no</svg>c", "a\nbc"),
+    *[(f"<p>a<{tag}><p>b<{tag}>no</{tag}>c", "a\nbc") for tag in ("noscript", "iframe", "template")],
+    ("<p>a<button>no</button> b<p><button>no</button>c", "a b\nc"),
+    ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> so<p>b<math/>c<math>d<p>e", "if x=1 so\nbcd\ne")])
+def test_articles_keep_named_text_and_what_follows_open_tags(inner, want):
+    page = extract.Page(f"<body><nav>Menu</nav><article>{inner}</article></body>")
+    assert "\n".join(text for _, text, _ in extract.left_by_html(page)) == want
+
+
 @needs_data
 def test_pages_keep_their_article(spark):
     import html as entities
