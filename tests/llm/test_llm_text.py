@@ -111,6 +111,27 @@ def test_factorization_sees_pairs():
     assert score[0] > 0.5 and max(score[1:]) < 0.5
 
 
+def test_toxic_copies_are_near_copies():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 300, 120)) for _ in range(400)]
+    texts += [texts[3], texts[5] + " and more", "", None]
+    sketches = [np.array(toxicity.sketch_of(t), dtype=np.int64) for t in texts]
+    keep = toxicity.without_copies(sketches, np.ones(len(texts), dtype=np.int64))
+    assert np.nonzero(~keep)[0].tolist() == [400, 401]
+    long = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 3000)) for _ in range(2)]
+    a, b, c = (np.array(toxicity.sketch_of(t)) for t in (*long, long[0] + " end"))
+    assert toxicity.similarity(a, c) > 0.95 and toxicity.similarity(a, b) < 0.1
+
+
+def test_terms_are_chosen_by_pairs_too():
+    rng = np.random.default_rng(9)
+    a, b = rng.random(1000) < 0.5, rng.random(1000) < 0.5
+    terms = [np.array(sorted([1] * int(p) + [2] * int(q) + [100 + i % 50])) for i, (p, q) in enumerate(zip(a, b))]
+    assert {1, 2} <= set(toxicity.choose_terms(terms, (a == b).astype(np.int64)).tolist())
+    rare = [np.array([7] if i < 20 else [100 + i % 50]) for i in range(8000)]
+    assert 7 in toxicity.choose_terms(rare, (np.arange(8000) < 2500).astype(np.int64))
+
+
 @needs_data
 def test_toxicity_of_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
