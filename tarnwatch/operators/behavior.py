@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -14,6 +15,7 @@ from tarnwatch.functions.columns import cases, count_if, safe_corr
 from tarnwatch.functions.text import md5_id
 from tarnwatch.operators.features import behavior_vector, built_in_features
 from tarnwatch.operators.scan import map_sorted_groups
+from tarnwatch.session import ensure_checkpoint_dir
 
 # fixed values: analysis settings
 MIN_OBSERVATIONS = 100
@@ -134,6 +136,9 @@ def zscore_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, min_o
 
 TREES, SUBSAMPLE, CONTAMINATION = 100, 256, 0.1
 MAX_ENTITY_ROWS = 50_000
+# rows that a forest is grown on, as many as its trees draw
+POOL = TREES * SUBSAMPLE
+SCORE_BINS = 65_536
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -176,15 +181,18 @@ def _grow(samples: np.ndarray, height: int, rng: np.random.Generator):
     return split, feature, cut, size
 
 
-def isolation_scores(x: np.ndarray, seed: int, chunk: int = 2_000) -> np.ndarray:
-    """Anomaly score in (0, 1) of every row; above about one half is suspicious."""
-    std = x.std(axis=0)
-    x = (x - x.mean(axis=0)) / np.where(std > 0, std, 1.0)
+def grow_forest(x: np.ndarray, seed: int) -> tuple:
+    """Trees on subsamples of the rows. Cuts lie between a subsample's ends, so columns need no common scale."""
     rng = np.random.default_rng(seed)
     size = min(SUBSAMPLE, len(x))
     height = int(np.ceil(np.log2(max(size, 2))))
     drawn = np.stack([rng.choice(len(x), size, replace=False) for _ in range(TREES)])
-    split, feature, cut, members = _grow(x[drawn], height, rng)
+    return (size, height, *_grow(x[drawn], height, rng))
+
+
+def forest_scores(forest: tuple, x: np.ndarray, chunk: int = 2_000) -> np.ndarray:
+    """Anomaly score in (0, 1) of every row; above about one half is suspicious."""
+    size, height, split, feature, cut, members = forest
     extra = _average_path(members)
     tree = np.arange(TREES)[:, None]
     scores = []
@@ -200,13 +208,38 @@ def isolation_scores(x: np.ndarray, seed: int, chunk: int = 2_000) -> np.ndarray
     return np.concatenate(scores)
 
 
+def isolation_scores(x: np.ndarray, seed: int) -> np.ndarray:
+    return forest_scores(grow_forest(x, seed), x)
+
+
+def score_borders(scored: DataFrame) -> DataFrame:
+    """entity_id, _border: the exact, interpolated quantile of an entity's scores.
+
+    Scores are counted in fine bins first; only those of the bins that hold the two ranks are looked at one by one.
+    """
+    by_bin = Window.partitionBy("entity_id").orderBy("_bin")
+    every = Window.partitionBy("entity_id")
+    binned = scored.withColumn("_bin", F.floor(F.col("_score") * SCORE_BINS))
+    at = (1 - CONTAMINATION) * (F.col("_n") - 1)
+    bins = binned.groupBy("entity_id", "_bin").agg(F.count("*").alias("_c")).withColumns(
+        {"_to": F.sum("_c").over(by_bin), "_n": F.sum("_c").over(every)}).withColumns({"_from": F.col("_to") - F.col("_c"), "_at": at})
+    holds = lambda rank: (F.col("_from") <= rank) & (rank < F.col("_to"))
+    wanted = bins.where(holds(F.floor("_at")) | holds(F.ceil("_at"))).select("entity_id", "_bin", "_from", "_at")
+    by_score = Window.partitionBy("entity_id", "_bin").orderBy("_score")
+    values = binned.join(F.broadcast(wanted), ["entity_id", "_bin"]).groupBy("entity_id", "_bin", "_from", "_at", "_score").agg(F.count("*").alias("_c"))
+    values = values.withColumn("_to", F.col("_from") + F.sum("_c").over(by_score)).withColumn("_from", F.col("_to") - F.col("_c"))
+    ends = values.groupBy("entity_id", "_at").agg(F.max(F.when(holds(F.floor("_at")), F.col("_score"))).alias("_low"),
+                                                  F.max(F.when(holds(F.ceil("_at")), F.col("_score"))).alias("_high"))
+    return ends.select("entity_id", (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))).alias("_border"))
+
+
 def isolation_forest_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, entity: str = "source_ip",
                                min_rows: int = 10, seed: int = 42) -> DataFrame:
     """Rows of an entity that isolation trees separate early.
 
-    Entities with more recent rows than one task should hold are spread over
-    several equally sized random shares; trees only see subsamples anyway, so each
-    share fits its own forest and flags its own top tenth.
+    An entity has one forest, grown on about ``POOL`` of its rows drawn by hash (all rows if it has no more, as many
+    as its trees draw anyway), and one border, the exact quantile of the scores of all its rows. Entities with more
+    recent rows than one task should hold are scored in several tasks with their forest; the result is the same.
     """
     names = ["packet_size", "duration", "destination_port", "source_port", "protocol_numeric", "hour_of_day",
              "day_of_week", "flags_count"]
@@ -214,16 +247,18 @@ def isolation_forest_anomalies(traffic: DataFrame, now: datetime, hours: float =
     vector = behavior_vector(None)
     rows = recent.select(F.col(entity).alias("entity_id"), "ts", "record_id",
                          *[F.element_at(vector, F.lit(n)).alias(n) for n in names])
-    sizes = recent.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").alias("_n"))
-    sized = rows.join(sizes.where(F.col("_n") >= min_rows), "entity_id")
-    shares = F.ceil(F.col("_n") / MAX_ENTITY_ROWS)
-    placed = sized.withColumn("_share", F.pmod(F.xxhash64("record_id"), shares).cast("int"))
+    sizes = recent.groupBy(F.col(entity).alias("entity_id")).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
+    draw = F.pmod(F.xxhash64("record_id", "ts", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sized = rows.join(sizes, "entity_id").withColumn("_drawn", (F.col("_n") <= POOL) | (draw < POOL / F.col("_n")))
+
+    def grown(part: pd.DataFrame) -> tuple:
+        return grow_forest(part.loc[part["_drawn"], names].to_numpy(dtype=float), seed)
 
     def detect(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         out = []
         for g in np.unique(group):
             part = frame[group == g]
-            scores = isolation_scores(part[names].to_numpy(dtype=float), seed)
+            scores = forest_scores(grown(part), part[names].to_numpy(dtype=float))
             border = np.quantile(scores, 1 - CONTAMINATION)
             hit = scores > border
             found = part.loc[hit, ["entity_id", "ts", "record_id"]].copy()
@@ -231,8 +266,31 @@ def isolation_forest_anomalies(traffic: DataFrame, now: datetime, hours: float =
             out.append(found)
         return pd.concat(out)
 
-    found = map_sorted_groups(placed.drop("_n"), ["entity_id", "_share"], ["record_id"], detect,
-                              "entity_id string, ts timestamp, record_id long, anomaly_score double", spread=True)
+    fields = "entity_id string, ts timestamp, record_id long"
+    found = map_sorted_groups(sized.where(F.col("_n") <= MAX_ENTITY_ROWS).drop("_n"), ["entity_id"], ["record_id"], detect,
+                              f"{fields}, anomaly_score double", spread=True)
+    if sizes.where(F.col("_n") > MAX_ENTITY_ROWS).limit(1).count():
+        large = sized.where(F.col("_n") > MAX_ENTITY_ROWS)
+        shares = F.ceil(F.col("_n") / MAX_ENTITY_ROWS).cast("int")
+
+        def fit(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["record_id", "ts"], kind="stable")
+            return pd.DataFrame({"entity_id": part["entity_id"].iloc[:1], "_shares": part["_shares"].iloc[:1], "_forest": [pickle.dumps(grown(part))]})
+
+        def score(part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+            out = part[["entity_id", "ts", "record_id"]].copy()
+            out["_score"] = forest_scores(pickle.loads(forest["_forest"].iloc[0]), part[names].to_numpy(dtype=float)) if len(part) else 0.0
+            return out
+
+        forests = large.where("_drawn").withColumn("_shares", shares).drop("_n").groupBy("entity_id").applyInPandas(
+            fit, "entity_id string, _shares int, _forest binary")
+        forests = forests.select("entity_id", "_forest", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("_share"))
+        placed = large.withColumn("_share", F.pmod(F.xxhash64("record_id", "ts"), shares).cast("int")).drop("_n", "_drawn")
+        ensure_checkpoint_dir(traffic.sparkSession)
+        scored = placed.groupBy("entity_id", "_share").cogroup(forests.groupBy("entity_id", "_share")).applyInPandas(
+            score, f"{fields}, _score double").checkpoint()
+        over = scored.join(F.broadcast(score_borders(scored)), "entity_id").where("_score > _border")
+        found = found.unionByName(over.select("entity_id", "ts", "record_id", F.least(F.col("_score") - F.col("_border"), F.lit(1.0)).alias("anomaly_score")))
     severity = ml_severity(F.col("anomaly_score"))
     return found.select(
         "entity_id", "ts", "record_id", F.lit("ml_anomaly").alias("anomaly_type"), severity.alias("severity"),

@@ -99,6 +99,21 @@ def test_isolation_forest_finds_the_outlier():
     assert scores.argmax() == 200 and scores[200] > 0.6 and 0.3 < np.median(scores) < 0.6
 
 
+def test_isolation_forest_is_one_for_any_size(spark, monkeypatch):
+    base = dt.datetime(2024, 2, 1)
+    rows = [(i, base + dt.timedelta(seconds=i), "1.1.1.1" if i % 3 else "2.2.2.2", "3.3.3.3", 1000 + i * 7919 % 60000, [80, 443, 22][i % 3],
+             ["TCP", "UDP"][i % 2], 60 + i * i % 1400, i % 11 / 7, ["SYN", "ACK"]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "record_id long, ts timestamp, source_ip string, destination_ip string, source_port int, destination_port int, "
+                                     "protocol string, packet_size int, duration double, flags array<string>")
+    run = lambda: sorted((r.record_id, round(r.anomaly_score, 9)) for r in B.isolation_forest_anomalies(df, base, 24).collect())
+    for pool in (25_600, 400):
+        monkeypatch.setattr(B, "POOL", pool, raising=False)
+        monkeypatch.setattr(B, "MAX_ENTITY_ROWS", 50_000)
+        whole = run()
+        monkeypatch.setattr(B, "MAX_ENTITY_ROWS", 200)
+        assert run() == whole and 100 <= len(whole) <= 150
+
+
 def test_threat_patterns(spark):
     rows = [("1.1.1.1", k, NOW + dt.timedelta(minutes=i)) for i, k in enumerate(["scanner", "dos", "exploit"])]
     rows += [("2.2.2.2", "dos", NOW + dt.timedelta(minutes=i)) for i in range(15)]
