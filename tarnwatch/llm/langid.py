@@ -5,7 +5,8 @@ character n-grams learns whether a text's language has +1 there. A text's langua
 codeword has the least loss against the bits' scores, bits weighted by their accuracy on training
 texts put aside; a small distance to the second best marks the answer as ambiguous.
 
-Training uses a bounded sample: ``PER_LANGUAGE`` texts of each language, chosen by hash. Features are
+Training uses a bounded sample: about ``PER_LANGUAGE`` distinct texts of each language, chosen by hash, so a text counts
+once however often it is copied. Executors compute its features; the texts stay there. Features are
 the letters of the whole text, lower-cased, with one blank for every run of other characters; n-grams
 of 1 to 3 characters, square roots of their counts, unit length.
 
@@ -111,25 +112,59 @@ def sample_by_label(df: DataFrame, label: str, key: list[str], most: int | dict)
     return df.where(drawn < share[F.col(label)]) if counts else df.limit(0)
 
 
+def drawn_texts(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, text of about PER_LANGUAGE distinct texts of each language."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    counts = {r[0]: max(r[1], 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect()}
+    if not counts:
+        return rows.withColumn("same", F.lit("")).limit(0)
+    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, PER_LANGUAGE / n))])
+    drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn_rows = rows.where(drawn < share[F.col("lang")]).withColumn("same", F.sha2("text", 256))
+    return drawn_rows.groupBy("lang", "same").agg(F.first("text").alias("text"))  # equal texts; one stays on each side of the shuffle
+
+
+def packed(text: str) -> bytes | None:
+    """The features that are not 0, as places and values."""
+    x = features(text)
+    if x is None:
+        return None
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+
+def unpacked(data: bytes, x: np.ndarray) -> None:
+    n = len(data) // 6
+    x[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float32, n, 2 * n) if n % 2 == 0 else np.frombuffer(data[2 * n:], np.float32)
+
+
+def training_features(texts: list[str]) -> list[list]:
+    """By text, the packed features of the whole and of a few words, for short texts."""
+    whole, few = [], []
+    for text in texts:
+        words = text.split()
+        middle = len(words) // 2
+        whole.append(packed(text))
+        few.append(packed(" ".join(words[middle:middle + 1 + len(text) % 6])))
+    return [whole, few]
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rounds: int = 150) -> Model:
     """Fit on the rows of ``labelled`` whose text and language are known."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    rows = sample_by_label(rows, "lang", ["text"], PER_LANGUAGE)
-    known = sorted((r.lang, r.text) for r in rows.collect())
+    found = per_text(drawn_texts(labelled, text, lang), "text", [T.StructField("whole", T.BinaryType()), T.StructField("few", T.BinaryType())], training_features,
+                     ["lang", "same"]).toArrow().sort_by([("lang", "ascending"), ("same", "ascending")])
     data = []
-    for lang_, text_ in known:
-        words = text_.split()
-        middle = len(words) // 2
-        for piece in (text_, " ".join(words[middle:middle + 1 + len(text_) % 6])):  # and a few words, for short texts
-            if (x := features(piece)) is not None:
-                data.append((lang_, x))
+    for lang_, *pieces in zip(*[found.column(c) for c in ("lang", "whole", "few")], strict=True):
+        data += [(lang_.as_py(), p.as_py()) for p in pieces if p.is_valid]
     languages = sorted({lang_ for lang_, _ in data})
     codes = codewords(len(languages)) if len(languages) > 1 else np.zeros((len(languages), 0), dtype=np.float32)
     bits = codes.shape[1]
     w, b = np.zeros((BUCKETS, bits), dtype=np.float32), np.zeros(bits, dtype=np.float32)
     if not bits:
         return Model(languages, codes, w, b, np.ones(0, dtype=np.float32))
-    x = np.stack([f for _, f in data])
+    x = np.zeros((len(data), BUCKETS), dtype=np.float32)
+    for filled, (_, f) in zip(x, data, strict=True):
+        unpacked(f, filled)
     row = np.array([languages.index(lang_) for lang_, _ in data])
     y = codes[row]
     share = 1 / np.bincount(row)[row]  # every language weighs the same

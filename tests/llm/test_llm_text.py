@@ -92,6 +92,15 @@ def test_language_of_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
 
 
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    texts = [f"text number {i}" for i in range(400)]
+    rows = [(t, "en") for t in texts] + [(t, "en") for t in texts[:40] for _ in range(100)]
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 200)
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    got = [r.text for r in langid.drawn_texts(labelled).collect()]
+    assert len(got) == len(set(got)) and 150 < len(got) < 250  # of the 400 distinct ones, not of 4 400 rows
+
+
 def test_language_edge_cases(spark, docs):
     none = langid.train(docs)
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
