@@ -7,13 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwatch.llm import ann, bpe, extract, jaccard, langid, linededup, mixing, quality, revisits, toxicity
+from tarnwatch.llm import ann, audit, bpe, extract, jaccard, langid, linededup, mixing, packing, quality, revisits, toxicity, trie
 from tarnwatch.llm.common import LOWER, UPPER, fold
 from tarnwatch.session import prepare
 
 #: Folder of the public vocabularies; a parameter of the engine, never part of it.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,6 +196,71 @@ def op10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("_ex_text").alias("text"), F.length("_ex_text").cast("long").alias("n_chars"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+OP11_SQL = """
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, good, toxic, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+                 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+                 coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+    c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m GROUP BY ALL),
+    f(i, letter) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+    o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS idx
+          FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    x AS (SELECT part, good, toxic, n, filter_order, step, idx[step] AS f, fails[idx[step]] AS failed, len(list_filter(fails, lambda y: y)) = 1 AS alone,
+                 len(list_filter(idx[1:step - 1], lambda k: fails[k])) > 0 AS gone FROM c, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END)::BIGINT AS kept,
+                 sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND failed THEN n ELSE 0 END)::BIGINT AS redundant,
+                 sum(CASE WHEN failed AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN NOT gone AND failed AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+                 sum(CASE WHEN NOT gone AND failed AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+    SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM r"""
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
+    return packed.select("doc_id", F.col("_pk_piece").alias("piece"), F.col("_pk_start").alias("start"), F.col("_pk_length").cast("long").alias("length"),
+                         F.col("_pk_crc32").alias("ids_crc32"), F.col("_pk_sequence").alias("sequence_id"), F.col("_pk_offset").alias("offset"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(read(spark, sf_dir, "conversations"))
+
+
+#: CRC-32 of the decimal digits of c, byte by byte and bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+OP13_SQL = f"""
+    WITH RECURSIVE t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS pos
+               FROM conversations WHERE conv_id IS NOT NULL),
+    k AS (SELECT c, count(*) AS own, c - c % 20 AS base, {_CRC32} % 4 AS h FROM t GROUP BY c),
+    m AS (SELECT k.*, least(h, (SELECT count(*) FROM t WHERE t.c = k.base)) AS m FROM k),
+    u AS (SELECT m.c, pos, role, text FROM m JOIN t ON t.c = m.base AND pos <= h
+          UNION ALL SELECT m.c, pos - h + m, role, text FROM m JOIN t ON t.c = m.c AND pos > h),
+    n AS (SELECT c, count(*) AS length FROM u GROUP BY c),
+    p AS (SELECT c, pos AS depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+                 list((role, text)) OVER (PARTITION BY c ORDER BY pos) AS prefix FROM u
+          UNION ALL SELECT c, 0, 0, [] FROM m),
+    q AS (SELECT p.c, depth, words, min(p.c) OVER w AS conv_id, count(*) OVER w AS n_convs, depth = coalesce(length, 0) AS ends
+          FROM p LEFT JOIN n ON n.c = p.c WINDOW w AS (PARTITION BY depth, prefix)),
+    v AS (SELECT conv_id, depth, any_value(words) AS words, any_value(n_convs) AS n_convs, max(n_convs) = count(*) FILTER (ends) AS leaf,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM q GROUP BY conv_id, depth),
+    e AS (SELECT DISTINCT a.conv_id, a.depth, b.conv_id AS below, b.depth AS deep FROM q a JOIN q b ON a.c = b.c AND a.depth <= b.depth),
+    s AS (SELECT e.conv_id, e.depth, count(*) FILTER (e.deep = e.depth + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves,
+                 sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM e JOIN v ON v.conv_id = e.below AND v.depth = e.deep GROUP BY ALL),
+    x AS (SELECT DISTINCT a.conv_id, a.depth, b.conv_id AS parent_conv_id FROM q a JOIN q b ON a.c = b.c AND a.depth = b.depth + 1)
+    SELECT v.conv_id, v.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM v JOIN s ON s.conv_id = v.conv_id AND s.depth = v.depth LEFT JOIN x ON x.conv_id = v.conv_id AND x.depth = v.depth"""
+
+
 QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op3_bpe": op3_bpe, "op4_revisits": op4_revisits, "op5_language": op5_language,
-           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_jaccard": op9_jaccard, "op10_text": op10_text}
-SQL: dict[str, str] = {"op1_mixing": op1_sql(), "op4_revisits": op4_sql(), "op7_quality": op7_sql(), "op8_lines": OP8_SQL}
+           "op6_toxicity": op6_toxicity, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_jaccard": op9_jaccard, "op10_text": op10_text,
+           "op11_audit": op11_audit, "op12_packing": op12_packing, "op13_trie": op13_trie}
+SQL: dict[str, str] = {"op1_mixing": op1_sql(), "op4_revisits": op4_sql(), "op7_quality": op7_sql(), "op8_lines": OP8_SQL, "op11_audit": OP11_SQL,
+                       "op13_trie": OP13_SQL}
