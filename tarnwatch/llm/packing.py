@@ -22,6 +22,7 @@ rows change places freely. Texts are never cut but into pieces. A table without
 from __future__ import annotations
 
 import functools
+import json
 import math
 import re
 import zlib
@@ -43,7 +44,11 @@ PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]*")
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, for tokenizers that drop white space."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, for tokenizers that drop white space.
+
+    What stands between white space is encoded once and remembered. Where the tokenizer splits runs of letters from
+    all else before its merges (as its file says), letters go to the merges directly.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,11 +57,22 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Remembered(self.whole)
+        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.splits_letters = [s["type"] for s in steps] == ["Split", "ByteLevel"] and "|[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
+        self.merges = self.tokenizer.model
+        self.words = Remembered(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        if self.splits_letters and word.isascii():
+            if word.isalpha():
+                return b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(word)])
+            if word[:-1].isalpha():
+                return self.words[word[:-1]] + self.words[word[-1]]
+        return self.whole(word)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
