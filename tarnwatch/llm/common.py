@@ -77,12 +77,12 @@ def per_text(df: DataFrame, text: str, fields: list[T.StructField],
 class Remembered(dict):
     """Results by word; when there are too many, those not used since the last such moment are forgotten."""
 
-    def __init__(self, fn):
+    def __init__(self, fn, limit: int = REMEMBER):
         super().__init__()
-        self.fn, self.older = fn, {}
+        self.fn, self.older, self.limit = fn, {}, limit
 
     def __missing__(self, key):
-        if len(self) >= REMEMBER:
+        if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
         out = self.older.get(key)

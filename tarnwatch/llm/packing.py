@@ -38,6 +38,8 @@ from tarnwatch.llm.common import Remembered, per_text, slices, table
 from tarnwatch.operators.scan import running
 
 CAPACITY, END_ID = 4096, 1
+#: Words that a worker remembers in each of two generations, some 130 bytes each.
+REMEMBERED = 400_000
 #: Characters that lower-casing and composing change one by one and whose white space is the same everywhere:
 #: texts of these alone are encoded word by word, all others whole.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞]*")
@@ -60,7 +62,7 @@ class WordEncoder:
         steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.splits_letters = [s["type"] for s in steps] == ["Split", "ByteLevel"] and "|[\\p{L}]+|" in steps[0]["pattern"].get("Regex", "")
         self.merges = self.tokenizer.model
-        self.words = Remembered(self.word)
+        self.words = Remembered(self.word, REMEMBERED)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
