@@ -68,6 +68,15 @@ add("isolation_forest_anomalies",
     lambda s, d: B.isolation_forest_anomalies(traffic_slow(s, d), NOW, 24 * 7).select("entity_id", "record_id", "severity"))
 
 _SCOPE = "sc AS (SELECT *, source_ip AS entity_id FROM traffic_slow WHERE ts BETWEEN TIMESTAMP '2024-01-23 00:00:00' AND TIMESTAMP '2024-01-30 00:00:00'), big AS (SELECT entity_id FROM sc GROUP BY 1 HAVING count(*) >= 24)"
+_FEW = _SCOPE.replace(">= 24", ">= greatest(least((SELECT count(*) FROM traffic_slow) // 416, 24), 2)")
+
+
+def _patterns(s, d, kind):
+    """Patterns of sources with 24 rows a week, fewer where the table has few rows a source."""
+    t = traffic_slow(s, d)
+    return B.traffic_patterns(t, kind, NOW, min_rows=max(min(t.count() // 416, 24), 2))
+
+
 _KIND = {
     "hourly": """ser AS (SELECT b.entity_id, h AS idx, h AS bucket, coalesce(avg(packet_size), 0) AS m FROM big b, generate_series(0, 23) g(h)
         LEFT JOIN sc ON sc.entity_id = b.entity_id AND hour(sc.ts) = h GROUP BY 1, 2)""",
@@ -83,17 +92,17 @@ _PAT = """lg AS (SELECT *, lag(m) OVER (PARTITION BY entity_id ORDER BY idx) AS
      CASE WHEN points < 3 THEN 'stable' WHEN slope > 0.1 THEN 'increasing' WHEN slope < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM ps)"""
 for _k, _sql in _KIND.items():
     add(f"{_k}_pattern",
-        lambda s, d, k=_k: rounded(B.traffic_patterns(traffic_slow(s, d), k, NOW).withColumns(
+        lambda s, d, k=_k: rounded(_patterns(s, d, k).withColumns(
             {"peak": F.col("peak").cast("long"), "low": F.col("low").cast("long")}), 6),
-        duck("traffic_slow", f"""WITH {_SCOPE}, {_sql}, {_PAT} SELECT entity_id, points, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max,
+        duck("traffic_slow", f"""WITH {_FEW}, {_sql}, {_PAT} SELECT entity_id, points, round(mean, 6) AS mean, round(std, 6) AS std, round(lo, 6) AS min, round(hi, 6) AS max,
           peak::BIGINT AS peak, low::BIGINT AS low, round(slope, 6) AS slope, seasonality, trend, '{_k}' AS pattern_type FROM pt"""))
-add("seasonality", lambda s, d: B.traffic_patterns(traffic_slow(s, d), "daily", NOW).select("entity_id", "seasonality"),
-    duck("traffic_slow", f"WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, seasonality FROM pt"))
-add("trend", lambda s, d: rounded(B.traffic_patterns(traffic_slow(s, d), "daily", NOW).select("entity_id", "slope", "trend"), 6),
-    duck("traffic_slow", f"WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, round(slope, 6) AS slope, trend FROM pt"))
+add("seasonality", lambda s, d: _patterns(s, d, "daily").select("entity_id", "seasonality"),
+    duck("traffic_slow", f"WITH {_FEW}, {_KIND['daily']}, {_PAT} SELECT entity_id, seasonality FROM pt"))
+add("trend", lambda s, d: rounded(_patterns(s, d, "daily").select("entity_id", "slope", "trend"), 6),
+    duck("traffic_slow", f"WITH {_FEW}, {_KIND['daily']}, {_PAT} SELECT entity_id, round(slope, 6) AS slope, trend FROM pt"))
 add("pattern_anomalies",
-    lambda s, d: B.pattern_anomalies(B.traffic_patterns(traffic_slow(s, d), "daily", NOW)),
-    duck("traffic_slow", f"""WITH {_SCOPE}, {_KIND['daily']}, {_PAT} SELECT entity_id, 'daily' AS pattern_type, 'pattern_deviation' AS anomaly_type, 'medium' AS severity,
+    lambda s, d: B.pattern_anomalies(_patterns(s, d, "daily")),
+    duck("traffic_slow", f"""WITH {_FEW}, {_KIND['daily']}, {_PAT} SELECT entity_id, 'daily' AS pattern_type, 'pattern_deviation' AS anomaly_type, 'medium' AS severity,
       0.7::DOUBLE AS anomaly_score, 'Pattern anomaly detected in daily traffic pattern' AS description, 'Review traffic patterns during next analysis cycle.' AS recommended_action
       FROM pt WHERE std > 2 * mean OR (trend = 'increasing' AND slope > 10)"""))
 add("anomaly_severity",

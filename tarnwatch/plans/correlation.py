@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tarnwatch.operators import alerts as A
 from tarnwatch.operators import correlate as C
 from tarnwatch.plans.support import Book, rounded
-from tarnwatch.plans.views import alerts, duck, events, predictions, traffic
+from tarnwatch.plans.views import alerts, duck, events, few_sources, predictions, traffic
 from tarnwatch.session import cut
 
 book = Book()
@@ -91,7 +91,8 @@ add("apply_rules", lambda s, d: C.apply_rules(events(s, d)).select("event_id", "
 
 
 def found_members(s, d, rules=(RECON,)):
-    return cut(C.sequence_members(C.apply_rules(events(s, d), rules), events(s, d)))
+    few = few_sources(events(s, d))
+    return cut(C.sequence_members(C.apply_rules(few, rules), few))
 
 
 def found_campaigns(s, d):
@@ -105,11 +106,11 @@ def _built(s, d):
     return rounded(C.build_campaigns(cut(camp), seq, m))
 
 
-_FOUND = f"""{_SEQ}, mt AS (SELECT * FROM sq), lk AS (SELECT a AS x, b AS y FROM mt UNION SELECT b, c FROM mt UNION SELECT c, anchor FROM mt),
+_FOUND = f"""{_SEQ.replace("corr_events", "few_events")}, mt AS (SELECT * FROM sq), lk AS (SELECT a AS x, b AS y FROM mt UNION SELECT b, c FROM mt UNION SELECT c, anchor FROM mt),
   bi AS (SELECT x, y FROM lk UNION SELECT y, x FROM lk),
   rc(n, r) AS (SELECT DISTINCT x, x FROM bi UNION SELECT bi.y, rc.r FROM rc JOIN bi ON bi.x = rc.n),
   cm AS (SELECT n, min(r) AS sequence_id FROM rc GROUP BY 1),
-  me AS (SELECT e.*, sequence_id FROM corr_events e JOIN cm ON cm.n = e.event_id)"""
+  me AS (SELECT e.*, sequence_id FROM few_events e JOIN cm ON cm.n = e.event_id)"""
 _SEQ_COLS = ("sequence_id", "event_count", "start_time", "end_time", "duration_seconds", "severity")
 add("build_sequences_all_rules", lambda s, d: C.describe_sequences(found_members(s, d, C.DEFAULT_RULES)).select(
     *_SEQ_COLS, "description"))
@@ -164,7 +165,7 @@ _SCORED = """fs AS (SELECT sequence_id, stage_idx, stage, min(ts) AS f FROM me G
 _MEM += _SCORED
 _FOUND_SCORED = f"{_FOUND}, " + _SCORED.replace("any_value(campaign_id) AS campaign_id, ", "")
 add("build_sequences", lambda s, d: C.describe_sequences(found_members(s, d)).select(*_SEQ_COLS),
-    duck("corr_events", f"WITH RECURSIVE {_FOUND_SCORED} SELECT sequence_id, n AS event_count, s AS start_time, e AS end_time, dur AS duration_seconds, severity FROM sv"))
+    duck("few_events", f"WITH RECURSIVE {_FOUND_SCORED} SELECT sequence_id, n AS event_count, s AS start_time, e AS end_time, dur AS duration_seconds, severity FROM sv"))
 add("progression_score", lambda s, d: rounded(sequences(s, d).select("sequence_id", "progression_score")),
     duck("corr_events", f"WITH {_MEM} SELECT sequence_id, round(prog, 6) AS progression_score FROM sv"))
 add("sequence_severity", lambda s, d: sequences(s, d).select("sequence_id", "event_count", "start_time", "end_time", "severity"),
@@ -181,7 +182,7 @@ _SETS = """se AS (SELECT sequence_id, min(ts) AS s, list_distinct(list(source_ip
      + 0.3::DOUBLE * len(list_intersect(x.c, y.c)) / len(list_distinct(x.c || y.c)) + 0.2::DOUBLE * greatest(0, 1 - abs(epoch(x.s) - epoch(y.s)) / 86400) AS sim
      FROM se x JOIN se y ON x.sequence_id < y.sequence_id AND abs(epoch(x.s) - epoch(y.s)) <= 604800)"""
 add("group_campaigns", lambda s, d: found_campaigns(s, d)[2],
-    duck("corr_events", f"""WITH RECURSIVE {_FOUND}, {_SETS}, sl AS (SELECT a AS x, b AS y FROM pr WHERE sim > 0.6::DOUBLE UNION SELECT b, a FROM pr WHERE sim > 0.6::DOUBLE),
+    duck("few_events", f"""WITH RECURSIVE {_FOUND}, {_SETS}, sl AS (SELECT a AS x, b AS y FROM pr WHERE sim > 0.6::DOUBLE UNION SELECT b, a FROM pr WHERE sim > 0.6::DOUBLE),
       cr(n, r) AS (SELECT DISTINCT x, x FROM sl UNION SELECT sl.y, cr.r FROM cr JOIN sl ON sl.x = cr.n),
       cc AS (SELECT n AS sequence_id, min(r) AS campaign_id FROM cr GROUP BY 1)
       SELECT * FROM (SELECT sequence_id, campaign_id, count(*) OVER (PARTITION BY campaign_id) AS c FROM cc) WHERE c >= 3""").replace("SELECT * FROM (SELECT sequence_id, campaign_id", "SELECT sequence_id, campaign_id FROM (SELECT sequence_id, campaign_id"))
@@ -247,7 +248,7 @@ _LINKED = f"""{_FOUND.replace("me AS (", "me0 AS (")}, {_SETS.replace("FROM me "
 add("build_campaigns", lambda s, d: _built(s, d).select(
     "campaign_id", "sequence_count", "start_time", "end_time", "total_events", "max_severity", "source_count", "target_count", "indicator_count",
     F.array_join("attack_types", ",").alias("attack_types"), "time_consistency", "target_consistency", "confidence_score"),
-    duck("corr_events", f"""WITH RECURSIVE {_LINKED}, {_SCORED}, {_CAMP_TAIL}, io AS (SELECT campaign_id, count(DISTINCT i) AS n FROM (SELECT campaign_id, {_IOC} AS i FROM me) GROUP BY 1)
+    duck("few_events", f"""WITH RECURSIVE {_LINKED}, {_SCORED}, {_CAMP_TAIL}, io AS (SELECT campaign_id, count(DISTINCT i) AS n FROM (SELECT campaign_id, {_IOC} AS i FROM me) GROUP BY 1)
       SELECT ca.campaign_id, sequence_count, start_time, end_time, total_events, (['low','medium','high','critical'])[ms + 1] AS max_severity, n_src AS source_count, n_dst AS target_count,
         io.n AS indicator_count, array_to_string(types, ',') AS attack_types, round(tcons, 6) AS time_consistency, round(dcons, 6) AS target_consistency, round(conf, 6) AS confidence_score
       FROM ca JOIN io ON io.campaign_id = ca.campaign_id"""))

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from tarnwatch.operators import monitor as M
 from tarnwatch.operators import reports as R
 from tarnwatch.plans.support import Book, rounded
-from tarnwatch.plans.views import (alerts, alerts_slow, duck, geo_ranges, prediction_log, predictions,
-                                   predictions_slow, table, traffic)
+from tarnwatch.plans.views import (alerts, alerts_slow, duck, duck_moment, geo_ranges, moment, prediction_log,
+                                   predictions, predictions_slow, table, traffic)
 
 book = Book()
 add = book.add
 START, END = datetime(2024, 1, 1, 2, 30), datetime(2024, 1, 1, 8, 10)
 _PERIOD = "ts BETWEEN TIMESTAMP '2024-01-01 02:30:00' AND TIMESTAMP '2024-01-01 08:10:00'"
 
-add("threats_by_type", lambda s, d: R.threats_by_type(alerts(s, d), START, END),
-    duck("alerts", f"SELECT attack_type, count(*) AS n FROM alerts WHERE {_PERIOD} GROUP BY 1"))
+add("threats_by_type", lambda s, d: R.threats_by_type(alerts(s, d), moment(alerts(s, d), 1, 4), moment(alerts(s, d), 3, 4)),
+    duck("alerts", f"SELECT attack_type, count(*) AS n FROM alerts WHERE ts BETWEEN {duck_moment('alerts', 1, 4)} AND {duck_moment('alerts', 3, 4)} GROUP BY 1"))
 add("threats_by_severity", lambda s, d: R.threats_by_severity(alerts(s, d)),
     duck("alerts", "SELECT severity, count(*) AS n FROM alerts GROUP BY 1"))
 for _name, _col in (("top_source_ips", "source_ip"), ("top_target_ips", "destination_ip")):
@@ -109,8 +109,8 @@ add("timeline_pivot", lambda s, d: R.timeline_pivot(alerts(s, d)),
 add("source_ip_analysis", lambda s, d: rounded(R.source_ip_analysis(alerts(s, d))),
     duck("alerts", """SELECT source_ip, count(*) AS threats, round(avg(confidence_score), 6) AS mean_confidence,
       string_agg(DISTINCT attack_type, ', ' ORDER BY attack_type) AS attack_types FROM alerts GROUP BY 1"""))
-add("recent_predictions", lambda s, d: R.recent_predictions(predictions(s, d), datetime(2024, 1, 1, 11), 2, 500),
-    duck("predictions", """SELECT * FROM predictions WHERE ts >= TIMESTAMP '2024-01-01 09:00:00' ORDER BY ts DESC, record_id LIMIT 500"""))
+add("recent_predictions", lambda s, d: R.recent_predictions(predictions(s, d), moment(predictions(s, d), 1, 1), 2, 500),
+    duck("predictions", f"""SELECT * FROM predictions WHERE ts >= {duck_moment('predictions', 1, 1)} - INTERVAL '2' HOUR ORDER BY ts DESC, record_id LIMIT 500"""))
 
 _TOPO = """ed AS (SELECT least(source_ip, destination_ip) AS a, greatest(source_ip, destination_ip) AS b, count(*) AS connections,
    sum(packet_size)::BIGINT AS bytes, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols, max(ts) AS last_seen FROM traffic GROUP BY 1, 2)"""
@@ -182,7 +182,7 @@ _HIST = """dl AS (SELECT * REPLACE (CASE WHEN ts >= TIMESTAMP '2024-01-23 00:00:
 add("performance_history", lambda s, d: rounded(M.performance_history(M.metric_history(_drifting(s, d), "day"), NOW, 10)),
     duck("prediction_log", f"""WITH {_HIST.format(unit='day')} SELECT model_version, ts, metric_name, round(metric_value, 6) AS metric_value, sample_count
       FROM mh WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'"""))
-_DRIFT = """us AS (SELECT *, ts >= TIMESTAMP '2024-01-23 00:00:00' AS recent FROM mh WHERE sample_count >= 50 AND ts <= TIMESTAMP '2024-01-30 00:00:00'),
+_DRIFT = """us AS (SELECT *, ts >= TIMESTAMP '2024-01-23 00:00:00' AS recent FROM mh WHERE sample_count >= least(50, (SELECT count(*) FROM prediction_log) // 200) AND ts <= TIMESTAMP '2024-01-30 00:00:00'),
   mn AS (SELECT model_version, metric_name, avg(metric_value) FILTER (WHERE recent) AS cur, avg(metric_value) FILTER (WHERE NOT recent) AS base FROM us GROUP BY 1, 2),
   rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model_version, metric_name, metric_value) - 1) / 2.0::DOUBLE AS r,
      count(*) OVER (PARTITION BY model_version, metric_name, metric_value) AS t FROM us
@@ -197,7 +197,7 @@ _DRIFT = """us AS (SELECT *, ts >= TIMESTAMP '2024-01-23 00:00:00' AS recent FRO
      WHERE abs(cur - base) / abs(base) > 0.1 AND p < 0.05)"""
 _SEV = "CASE WHEN sc > 0.3 THEN 'critical' WHEN sc > 0.2 THEN 'high' WHEN sc > 0.1 AND cur < base THEN 'medium' ELSE 'low' END"
 add("detect_drift",
-    lambda s, d: rounded(M.detect_drift(M.metric_history(_drifting(s, d), "day"), NOW, min_samples=50).drop("recommendation")),
+    lambda s, d: rounded(M.detect_drift(M.metric_history(_drifting(s, d), "day"), NOW, min_samples=min(50, prediction_log(s, d).count() // 200)).drop("recommendation")),
     duck("prediction_log", f"""WITH {_HIST.format(unit='day')}, {_DRIFT} SELECT model_version, metric_name, round(cur, 6) AS current_value, round(base, 6) AS baseline_value,
       round(sc, 6) AS drift_score, round(u, 6) AS u, round(p, 6) AS p_value, {_SEV} AS severity FROM dr"""))
 

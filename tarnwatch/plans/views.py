@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,24 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_stage(alerts(spark, sf_dir).withColumnRenamed("record_id", "event_id"))
 
 
+def moment(df: DataFrame, part: int, of: int):
+    """The whole second at part / of the time that the rows span, as UTC without zone."""
+    lo, hi = df.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    return datetime.fromtimestamp(lo + (hi - lo) * part // of, UTC).replace(tzinfo=None)
+
+
+def duck_moment(view: str, part: int, of: int) -> str:
+    return (f"(SELECT make_timestamp((lo + (hi - lo) * {part} // {of}) * 1000000) FROM (SELECT min(epoch_us(ts)) // 1000000 AS lo, "
+            f"max(epoch_us(ts)) // 1000000 AS hi FROM {view}))")
+
+
+def few_sources(events: DataFrame) -> DataFrame:
+    """Events of a small table from fewer sources (one for 200 of them and subnet), so that each still has sequences."""
+    hosts = max(events.count() // 200, 1)
+    octets = F.split("source_ip", "\\.")
+    return events.withColumn("source_ip", F.concat(F.lit("192.168."), octets[2], F.lit("."), (octets[3].cast("int") % hosts).cast("string")))
+
+
 def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five IPv4 blocks located in the first five nations."""
     blocks = F.array(*[
@@ -198,6 +218,8 @@ DUCK = {
            WHEN attack_type = 'Command Control' THEN 'command_control' ELSE 'actions_objectives' END AS stage,
       CASE severity WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 ELSE 3 END AS sev_idx
       FROM alerts""",
+    "few_events": """SELECT * REPLACE ('192.168.' || split_part(source_ip, '.', 3) || '.'
+      || CAST(split_part(source_ip, '.', 4) AS INT) % greatest((SELECT count(*) FROM corr_events) // 200, 1) AS source_ip) FROM corr_events""",
     "geo_ranges": """SELECT b.range_start, b.range_start + 255 AS range_end, n_name AS country
       FROM nation JOIN (VALUES (0, 3232235520), (1, 3232235776), (2, 3232236032), (3, 3232236288),
                                (4, 167772160)) b(n, range_start) ON b.n = n_nationkey""",
@@ -209,7 +231,7 @@ DUCK = {
 _NEEDS = {
     "predictions": ["traffic"], "predictions_slow": ["traffic_slow"],
     "prediction_log": ["traffic_slow"], "alerts": ["traffic"], "alerts_slow": ["traffic_slow"],
-    "corr_events": ["traffic", "alerts"], "indicators": ["traffic"],
+    "corr_events": ["traffic", "alerts"], "few_events": ["traffic", "alerts", "corr_events"], "indicators": ["traffic"],
 }
 
 
