@@ -6,8 +6,6 @@ import itertools
 import json
 from dataclasses import asdict, dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwatch.functions.columns import all_of, count_if, lookup, safe_corr, without_nan
+from tarnwatch.operators.neighbours import nearest_sites
 from tarnwatch.operators.quality import (class_counts, missing_counts, numeric_columns, rank_in_class,
                                          text_columns, value_counts)
 from tarnwatch.operators.quantiles import exact_quantiles
-from tarnwatch.operators.scan import map_sorted_groups
 from tarnwatch.session import cut
 
 MAX_CATEGORIES = 10_000
@@ -359,60 +357,47 @@ def random_undersample(df: DataFrame, label: str, id_col: str, strategy="auto",
     return ranked.where(F.col("_rank") <= lookup(label, targets)).drop("_rank")
 
 
-SMOTE_CELL = 2_000
+#: Synthetic rows of one point that are made in a row; more are spread over tasks.
+SMOTE_CHUNK = 10_000
 
 
 def smote(df: DataFrame, label: str, id_col: str, columns: list[str], k: int = 5, strategy="auto",
           seed: int = 42) -> DataFrame:
-    """Original rows plus synthetic ones between near neighbours of the same class.
+    """Original rows plus synthetic ones between a row and one of its k nearest neighbours of the same class.
 
-    A class of up to ``SMOTE_CELL`` rows searches its exact neighbours. A larger
-    class is ordered along a random projection and cut into cells of that size;
-    neighbours come from the same cell, as in projection hashing.
+    Neighbours are exact at every size; distances are over columns divided by their deviation. Rows at one point are
+    one another's neighbours at distance 0, and equal distances go by the random rank of the point's first row.
+    Rows with a gap (NULL, NaN) in a column or without a class make nothing and are nobody's neighbour; a class of such
+    rows alone stays as it is. The only row of a class is repeated.
     """
+    base = df.select(id_col, label, *columns).withColumn("_synthetic", F.lit(False))
+    whole = without_nan(df.select(id_col, label, *columns), columns).dropna(subset=[label, *columns])
     counts = class_counts(df, label)
     targets = class_targets(counts, strategy)
-    growing = {c: (targets[c] - n, n) for c, n in counts.items() if targets[c] > n}
-    base = df.select(id_col, label, *columns).withColumn("_synthetic", F.lit(False))
-    if not growing:
+    made_by = class_counts(whole, label)
+    need = {c: divmod(targets[c] - n, made_by[c]) for c, n in counts.items() if targets[c] > n and made_by.get(c)}
+    if not need:
         return base
-    rng = np.random.default_rng(seed)
-    weights = rng.normal(size=len(columns))
-    stats = df.agg(*[F.stddev_pop(F.col(c)).alias(c) for c in columns]).first()
-    projection = sum((F.col(c) * float(w / (stats[c] or 1.0)) for c, w in zip(columns, weights)), F.lit(0.0))
-    seeds = rank_in_class(df.where(F.col(label).isin(*growing)), label, id_col, seed)
-    need = {c: divmod(extra, n) for c, (extra, n) in growing.items()}
-    per_row = lookup(label, {c: q for c, (q, _) in need.items()}) + (
-        F.col("_rank") <= lookup(label, {c: r for c, (_, r) in need.items()})).cast("int")
-    # equal-sized cells along the projection: class quantile boundaries are plain numbers
-    placed = seeds.withColumn("_p", projection).withColumn("_make", per_row.cast("int")).withColumn("_cell", F.lit(0))
-    for c, (_, n) in growing.items():
-        cells = n // SMOTE_CELL
-        if cells > 1:
-            cuts = placed.where(F.col(label) == c).approxQuantile("_p", [i / cells for i in range(1, cells)], 0.001)
-            spot = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts]), lambda x: x < F.col("_p")))
-            placed = placed.withColumn("_cell", F.when(F.col(label) == c, spot).otherwise(F.col("_cell")))
-
-    def synthesize(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        made = []
-        x = rows[columns].to_numpy(dtype=float)
-        for g in np.unique(group):
-            members = np.flatnonzero(group == g)
-            for i in members[rows["_make"].to_numpy()[members] > 0]:
-                distance = ((x[members] - x[i]) ** 2).sum(axis=1)
-                near = members[np.argsort(distance, kind="stable")]
-                near = near[near != i][:k]
-                r = np.random.default_rng([seed, int(rows["_rank"].iat[i])])
-                for _ in range(int(rows["_make"].iat[i])):
-                    other = x[r.choice(near)] if len(near) else x[i]
-                    made.append((rows[label].iat[i], *(x[i] + r.random() * (other - x[i]))))
-        return pd.DataFrame(made, columns=[label, *columns])
-
-    label_type = df.schema[label].dataType.simpleString()
-    fresh = map_sorted_groups(placed.select(label, "_cell", "_rank", "_make", *columns), [label, "_cell"], ["_rank"],
-                              synthesize, f"`{label}` {label_type}, " + ", ".join(f"`{c}` double" for c in columns))
-    made = fresh.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), label, *columns,
-                        F.lit(True).alias("_synthetic"))
+    stats = whole.agg(*[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    seeds = rank_in_class(whole.where(F.col(label).isin(*need)), label, id_col, seed)
+    make = lookup(label, {c: q for c, (q, _) in need.items()}) + (F.col("_rank") <= lookup(label, {c: r for c, (_, r) in need.items()})).cast("int")
+    sites = cut(seeds.withColumn("_make", make).groupBy(label, *columns).agg(
+        F.min("_rank").alias("_first"), F.count("*").alias("_weight"), F.sum("_make").cast("long").alias("_make")))
+    found = nearest_sites(sites, label, columns, {c: stats[i] or 0.0 for i, c in enumerate(columns)}, k)
+
+    own = F.filter("near", lambda s: s["first"] == F.col("_first"))[0]["x"]
+    others = F.slice(F.flatten(F.transform("near", lambda s: F.array_repeat(s["x"], F.least(
+        s["weight"] - (s["first"] == F.col("_first")).cast("long"), F.lit(k)).cast("int")))), 1, k)
+    chunks = found.select(label, "_first", "_make", own.alias("_own"), others.alias("_near"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("_make") - 1) / SMOTE_CHUNK))).alias("_chunk")).repartition(F.col(label), "_first", "_chunk")
+    copies = chunks.withColumn("_copy", F.explode(F.sequence(F.col("_chunk") * SMOTE_CHUNK, F.least((F.col("_chunk") + 1) * SMOTE_CHUNK, "_make") - 1)))
+    drawn = lambda n: F.xxhash64(F.lit(seed), F.lit(n), label, "_first", "_copy")
+    other = F.when(F.size("_near") == 0, F.col("_own")).otherwise(F.try_element_at("_near", (F.pmod(drawn(0), F.greatest(F.size("_near"), F.lit(1))) + 1).cast("int")))
+    part = F.shiftrightunsigned(drawn(1), 11) * F.lit(2.0 ** -53)
+    made = copies.withColumns({"_other": other, "_part": part}).select(
+        F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), label,
+        *[(F.col("_own")[i] + F.col("_part") * (F.col("_other")[i] - F.col("_own")[i])).alias(c) for i, c in enumerate(columns)],
+        F.lit(True).alias("_synthetic"))
     return base.withColumns({c: F.col(c).cast("double") for c in columns}).unionByName(made)
 
 

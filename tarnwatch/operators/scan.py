@@ -6,6 +6,8 @@ The helpers here cut a key's history into buckets (usually of time) first:
 * ``running``  — running aggregates as *local part within the bucket* plus
   *carry from earlier buckets*. Only one summary row per (key, bucket) is ever
   brought together per key.
+* ``range_ranks`` — the same for orders of any type: rows are range-partitioned
+  on key and order, and the partition is the bucket.
 * ``with_lookback`` — copies the rows a bucket needs from its predecessor, so
   bounded look-back windows can be evaluated per (key, bucket).
 * ``map_sorted_groups`` — streams sorted (key, bucket) groups through a
@@ -21,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch.session import cut
+
 BUCKET = "_bucket"
 
 
@@ -95,6 +99,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     return joined.select(*[F.col(c) for c in df.columns], *combined)
 
 
+def range_ranks(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """1-based rank of every row of a key along ``order``, however many rows a key has.
+
+    Partitions are cut at sampled values of key and order, so none holds a hot key whole; only the number of rows
+    by (key, partition) is ever brought together per key. The cut is written to the checkpoint folder once, as a
+    second sampling could cut elsewhere. Rows equal in key and order share a partition.
+    """
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    return running(placed, keys, ["_part", *order], F.col("_part"), {name: ("count", F.lit(1))}).drop("_part")
+
+
 def with_lookback(df: DataFrame, ts: str, width_seconds: int, lookback_seconds: float) -> DataFrame:
     """Add ``_bucket`` and copy rows within ``lookback`` of the next bucket into it.
 

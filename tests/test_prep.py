@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnwatch.operators import prep as P
 from tarnwatch.operators import quality as Q
+from tarnwatch.operators.neighbours import nearest_sites
 from tarnwatch.operators.quantiles import exact_quantiles
 
 
@@ -126,9 +127,50 @@ def test_balancing(spark):
     assert P.is_imbalanced(df, "y") and P.imbalance_ratio(df.where("y = 0"), "y").first()["ratio"] == 1.0
 
 
-def test_smote_cells(spark, monkeypatch):
-    monkeypatch.setattr(P, "SMOTE_CELL", 40)
-    assert sizes(P.smote(classes(spark), "y", "id", ["f1", "f2"])) == {0: 800, 1: 800, 2: 800}
+def plain_neighbours(points, k):
+    """Per distinct point (first row, weight, point): its k + 1 nearest points by (distance, first row)."""
+    x = np.array([p for *_, p in points])
+    first = np.array([f for f, *_ in points])
+    out = {}
+    for i in range(len(points)):
+        d = sum(((x[i, c] - x[:, c]) / 1.0) ** 2 for c in range(x.shape[1]))
+        order = np.lexsort((first, d))[:k + 1]
+        out[first[i]] = [(float(d[j]), int(first[j])) for j in order]
+    return out
+
+
+@pytest.mark.parametrize("n, tile", [(1, 400), (4, 400), (500, 7), (500, 400), (6000, 50)])
+def test_neighbours_are_exact(spark, n, tile):
+    rng = np.random.default_rng(n + tile)
+    x = np.unique(np.round(np.c_[rng.lognormal(0, 2, n), np.where(rng.random(n) < 0.5, 0.0, rng.normal(size=n)), rng.integers(0, 3, n)], 2), axis=0)
+    points = [(int(f), 1, tuple(map(float, p))) for f, p in zip(rng.permutation(len(x)), x, strict=True)]
+    rows = [(lab, f, w, int(f % 3 > 0), *p) for lab in ("a", "b") for f, w, p in points]
+    sites = spark.createDataFrame(rows, "label string, _first long, _weight long, _make long, f0 double, f1 double, f2 double")
+    got = {(r.label, r._first): [(s.distance, s.first) for s in r.near] for r in nearest_sites(sites, "label", ["f0", "f1", "f2"], dict.fromkeys(["f0", "f1", "f2"], 1.0), 5, tile).collect()}
+    want = plain_neighbours(points, 5)
+    assert got == {(lab, f): near for lab in ("a", "b") for f, near in want.items() if f % 3 > 0}
+
+
+def test_smote_between_neighbours(spark):
+    """Every synthetic row lies on the line to one of the k nearest rows; the wider column does not decide."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "few", float(a), float(b)) for i, (a, b) in enumerate(np.c_[rng.normal(size=60), 1000 * rng.normal(size=60)])]
+    rows += [(100 + i, "same", 1.0, 2.0) for i in range(30)] + [(200, "one", 5.0, 6.0), (201, "gap", None, 1.0), (202, "few", float("nan"), 1.0), (203, None, 1.0, 1.0)]
+    rows += [(1000 + i, "many", float(i), 0.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, y string, a double, b double")
+    made = P.smote(df, "y", "id", ["a", "b"], k=3)
+    assert sizes(made) == {"few": 400, "same": 400, "one": 400, "many": 400, "gap": 1, None: 1}
+    assert {(r.a, r.b) for r in made.where("y = 'same'").collect()} == {(1.0, 2.0)} and {(r.a, r.b) for r in made.where("y = 'one'").collect()} == {(5.0, 6.0)}
+    x = np.array([r[2:] for r in rows[:60]])
+    full = [(r[2], r[3]) for r in rows if r[1] is not None and r[2] is not None and r[2] == r[2]]
+    scale = np.std(np.array(full), axis=0)
+    d = (((x[:, None] - x[None]) / scale) ** 2).sum(-1)
+    near = np.argsort(d, axis=1)[:, 1:4]
+    for r in made.where("y = 'few' AND _synthetic").collect():
+        p = np.array([r.a, r.b])
+        gaps = [min(np.abs((p - x[i]) / scale @ np.array([[0, 1], [-1, 0]]) @ ((x[j] - x[i]) / scale)) for j in near[i]) for i in range(60)]
+        assert min(gaps) < 1e-9
+    assert sorted(map(str, made.collect())) == sorted(map(str, P.smote(df, "y", "id", ["a", "b"], k=3).collect()))
 
 
 def test_sampling(spark):
