@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -14,13 +14,18 @@ from pyspark.sql import types as T
 
 from tarnwatch.functions.columns import all_of, count_if, lookup, safe_corr, without_nan
 from tarnwatch.operators.neighbours import nearest_sites
-from tarnwatch.operators.quality import (class_counts, missing_counts, numeric_columns, rank_in_class,
+from tarnwatch.operators.quality import (class_counts, missing_counts, numeric_columns, per_class, rank_in_class,
                                          text_columns, value_counts)
 from tarnwatch.operators.quantiles import exact_quantiles
-from tarnwatch.session import cut
+from tarnwatch.operators.scan import range_ranks
+from tarnwatch.session import cut, kept_table
 
-MAX_CATEGORIES = 10_000
+#: Categories that are kept with the encoder and become expressions of the plan; columns with more have a dictionary table.
 MAX_INLINE = 64
+#: Columns that one-hot encoding may add for one column; every one is a column of the plan.
+MAX_ONEHOT = 10_000
+#: Bytes of a dictionary that is sent to all tasks; larger ones are joined by value.
+MAX_BROADCAST = 32 << 20
 
 
 class Fitted:
@@ -39,35 +44,62 @@ class Fitted:
 
 @dataclass
 class Encoder(Fitted):
-    """Categories per column (sorted) and how each column is encoded."""
+    """Categories per column (sorted) and how each column is encoded.
+
+    A column with more than ``MAX_INLINE`` categories has its codes in a table (column, value, code) at
+    ``dictionary`` instead, and its size in bytes in ``sizes``. Code n is the n-th value in order either way.
+    """
 
     categories: dict[str, list[str]]
     strategies: dict[str, str]
     drop_first: bool = False
     handle_unknown: str = "ignore"
+    dictionary: str | None = None
+    sizes: dict[str, int] = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        """The fitted text and, next to it, a copy of the dictionary."""
+        kept = self
+        if self.dictionary:
+            kept = replace(self, dictionary=f"{path}/dictionary")
+            SparkSession.getActiveSession().read.parquet(self.dictionary).write.mode("overwrite").parquet(kept.dictionary)
+        Fitted.save(kept, f"{path}/fitted")
+
+    @classmethod
+    def load(cls, path: str) -> Encoder:
+        return cls(**json.loads(SparkSession.getActiveSession().read.text(f"{path}/fitted").first()["value"]))
 
     def _name(self, column: str, value: str) -> str:
         return f"{column}_{value}"
 
+    def _codes(self, df: DataFrame, column: str) -> DataFrame:
+        """(_v, _c): the column's dictionary, sent to all tasks only if its bytes are few."""
+        codes = df.sparkSession.read.schema("column string, value string, code long").parquet(self.dictionary).where(
+            F.col("column") == column).select(F.col("value").alias(f"_v_{column}"), F.col("code").alias(f"_c_{column}"))
+        return F.broadcast(codes) if self.sizes[column] <= MAX_BROADCAST else codes
+
     def feature_names(self, df: DataFrame) -> list[str]:
         return self.transform(df).columns
 
     def transform(self, df: DataFrame) -> DataFrame:
         out, joined = [], df
+        unknown = lambda name: F.raise_error(F.concat(F.lit(f"unknown category in {name}: "), F.coalesce(F.col(f"`{name}`"), F.lit("NULL"))))
         for name in df.columns:
-            if name not in self.categories:
+            if name not in self.strategies:
                 out.append(F.col(f"`{name}`"))
                 continue
-            value, known = F.col(f"`{name}`"), self.categories[name]
+            value = F.col(f"`{name}`")
+            if name in self.sizes:
+                # NULL has no code; it is dealt out, so that many of them do not meet in one task
+                key = F.coalesce(value, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(4096)).cast("string")))
+                joined = joined.join(self._codes(df, name), key == F.col(f"`_v_{name}`"), "left")
+                code = F.when(value.isNotNull(), F.col(f"`_c_{name}`").cast("int"))
+                out.append(F.coalesce(code, unknown(name).cast("int") if self.handle_unknown == "error" else F.lit(-1)).alias(name))
+                continue
+            known = self.categories[name]
             if self.handle_unknown == "error":
-                value = F.when(value.isin(*known), value).otherwise(F.raise_error(F.concat(
-                    F.lit(f"unknown category in {name}: "), F.coalesce(value, F.lit("NULL")))))
-            if self.strategies[name] == "label" and len(known) > MAX_INLINE:
-                # the dictionary is bounded by MAX_CATEGORIES rows
-                codes = df.sparkSession.createDataFrame(list(zip(known, range(len(known)))), f"_v_{name} string, _c_{name} int")
-                joined = joined.join(F.broadcast(codes), value == F.col(f"_v_{name}"), "left")
-                out.append(F.coalesce(f"_c_{name}", F.lit(-1)).alias(name))
-            elif self.strategies[name] == "label":
+                value = F.when(value.isin(*known), value).otherwise(unknown(name))
+            if self.strategies[name] == "label":
                 out.append(lookup(value, {v: i for i, v in enumerate(known)}, -1).alias(name))
             else:
                 out += [F.coalesce((value == v).cast("int"), F.lit(0)).alias(self._name(name, v))
@@ -76,8 +108,13 @@ class Encoder(Fitted):
 
     def inverse(self, df: DataFrame) -> DataFrame:
         """Original text columns from encoded ones; unknown values come back as NULL."""
-        out = {}
-        for name, known in self.categories.items():
+        out, joined = {}, df
+        for name in self.strategies:
+            if name in self.sizes:
+                joined = joined.join(self._codes(df, name), F.col(f"`{name}`") == F.col(f"`_c_{name}`"), "left")
+                out[name] = F.col(f"`_v_{name}`")
+                continue
+            known = self.categories[name]
             if self.strategies[name] == "label":
                 out[name] = F.try_element_at(F.array(*map(F.lit, known)),
                                              F.when(F.col(name) >= 0, F.col(name) + 1).cast("int"))
@@ -88,24 +125,36 @@ class Encoder(Fitted):
                 out[name] = F.coalesce(*parts, rest)
         hidden = [self._name(n, v) for n, ks in self.categories.items()
                   if self.strategies[n] == "onehot" for v in ks]
-        return df.withColumns(out).drop(*[h for h in hidden if h not in out])
+        hidden += [f"_{x}_{n}" for n in self.sizes for x in "vc"]
+        return joined.withColumns(out).drop(*[h for h in hidden if h not in out])
 
 
 def fit_encoder(df: DataFrame, strategy: str = "auto", max_onehot: int = 10, columns: list[str] | None = None,
                 handle_unknown: str = "ignore", drop_first: bool = False) -> Encoder:
-    """Collect the categories of text columns (bounded) and choose an encoding per column."""
+    """Choose an encoding per text column and number its categories in order, however many there are.
+
+    Categories that become expressions of the plan come to the driver; those of larger columns are numbered by a
+    range-partitioned prefix count and stay in a table. Only one-hot encoding has a limit, ``MAX_ONEHOT`` columns.
+    """
     columns = columns or text_columns(df)
-    counted = value_counts(df, columns)
-    sizes = {r["column"]: r["n"] for r in counted.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    too_many = [c for c, n in sizes.items() if n > MAX_CATEGORIES]
-    if too_many:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {too_many}")
-    found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in counted.select("column", "value").collect():
+    counted = cut(value_counts(df, columns).select("column", "value"))
+    sizes = {r["column"]: r for r in counted.groupBy("column").agg(
+        F.count("*").alias("n"), F.sum(F.length("value") * 3 + 24).alias("bytes")).collect()}
+    rows = {c: sizes[c]["n"] if c in sizes else 0 for c in columns}
+    chosen = {c: strategy if strategy != "auto" else ("onehot" if n <= max_onehot else "label") for c, n in rows.items()}
+    wide = [c for c in columns if chosen[c] == "onehot" and rows[c] > MAX_ONEHOT]
+    if wide:
+        raise ValueError(f"one-hot encoding of {wide} would add more than {MAX_ONEHOT} columns; use strategy='label'")
+    large = [c for c in columns if chosen[c] == "label" and rows[c] > MAX_INLINE]
+    found: dict[str, list[str]] = {c: [] for c in columns if c not in large}
+    for r in counted.where(~F.col("column").isin(*large)).collect():  # MAX_ONEHOT values of a column at most
         found[r["column"]].append(r["value"])
-    chosen = {c: strategy if strategy != "auto" else ("onehot" if len(v) <= max_onehot else "label")
-              for c, v in found.items()}
-    return Encoder({c: sorted(v) for c, v in found.items()}, chosen, drop_first, handle_unknown)
+    place = None
+    if large:
+        codes = range_ranks(counted.where(F.col("column").isin(*large)), ["column"], ["value"], "code")
+        place = kept_table(codes.select("column", "value", (F.col("code") - 1).alias("code")), "dictionary")
+    return Encoder({c: sorted(v) for c, v in found.items()}, chosen, drop_first, handle_unknown, place,
+                   {c: sizes[c]["bytes"] for c in large})
 
 
 # --- scaling and imputation ------------------------------------------------------------
@@ -192,32 +241,15 @@ def high_missing_features(df: DataFrame, threshold: float = 0.5) -> list[str]:
     return [c for c in df.columns if c in {r["column"] for r in rows}]
 
 
-def top_value_shares(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(column, share): share of the most frequent non-missing value among all rows.
-
-    For shares above one half the only candidate of a numeric column is its
-    median, so those columns need no grouping by value.
-    """
+def top_value_shares(df: DataFrame) -> DataFrame:
+    """(column, share): share of the most frequent non-missing value among all rows, by map-side combined value counts."""
     total = df.count()
-    numeric = numeric_columns(df) if threshold > 0.5 else []
-    grouped = [c for c in df.columns if c not in numeric]
-    parts = []
-    if numeric:
-        middle = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), 0.5, 10_000).alias(f"m{i}")
-                          for i, c in enumerate(numeric)]).first()
-        row = df.agg(*[count_if(F.col(f"`{c}`") == F.lit(middle[i])).alias(f"n{i}")
-                       for i, c in enumerate(numeric)])
-        entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"))
-                            for i, c in enumerate(numeric)])
-        parts.append(row.select(F.explode(entries).alias("e")).select("e.*"))
-    if grouped:
-        parts.append(value_counts(df, grouped).groupBy("column").agg(F.max("n").alias("n")))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("column", (F.col("n") / F.lit(float(total or 1))).alias("share"))
+    counted = value_counts(without_nan(df, numeric_columns(df)), df.columns)
+    return counted.groupBy("column").agg((F.max("n") / F.lit(float(total or 1))).alias("share"))
 
 
 def constant_features(df: DataFrame, threshold: float = 0.95) -> list[str]:
-    rows = top_value_shares(df, threshold).where(F.col("share") >= threshold).collect()
+    rows = top_value_shares(df).where(F.col("share") >= threshold).collect()
     return [c for c in df.columns if c in {r["column"] for r in rows}]
 
 
@@ -321,44 +353,50 @@ def cleaning_statistics(original: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 # --- class balancing ---------------------------------------------------------------------------
 
-def class_targets(counts: dict, strategy="auto", over: bool = True) -> dict:
-    """Wanted rows per class: ``auto``, ``minority`` / ``majority``, a ratio, or explicit counts."""
-    largest, smallest = max(counts.values()), min(counts.values())
+def class_targets(counts: DataFrame, strategy="auto", over: bool = True) -> DataFrame:
+    """(_label, _n, _target) from (_label, _n): ``auto``, ``minority`` / ``majority``, a ratio, or explicit counts."""
+    n = F.col("_n")
+    smallest, largest = counts.agg(F.min("_n"), F.max("_n")).first()
     if isinstance(strategy, dict):
-        return {k: strategy.get(k, n) for k, n in counts.items()}
-    if over:
-        if strategy == "auto":
-            return {k: largest for k in counts}
-        if strategy == "minority":
-            return {k: largest if n == smallest else n for k, n in counts.items()}
-        return {k: max(n, int(strategy * largest)) for k, n in counts.items()}
-    if strategy == "auto":
-        return {k: smallest for k in counts}
-    if strategy == "majority":
-        return {k: smallest if n == largest else n for k, n in counts.items()}
-    return {k: min(n, int(smallest / strategy)) for k, n in counts.items()}
+        target = F.coalesce(lookup("_label", strategy), n) if strategy else n
+    elif over:
+        target = {"auto": F.lit(largest), "minority": F.when(n == smallest, largest).otherwise(n)}.get(strategy)
+        target = F.greatest(n, F.lit(int(strategy * (largest or 0)))) if target is None else target
+    else:
+        target = {"auto": F.lit(smallest), "majority": F.when(n == largest, smallest).otherwise(n)}.get(strategy)
+        target = F.least(n, F.lit(int((smallest or 0) / strategy))) if target is None else target
+    return counts.withColumn("_target", target.cast("long"))
+
+
+#: Copies of one row that are made in a row; more are spread over tasks.
+COPY_CHUNK = 10_000
+
+
+def copied(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, numbered from 0 in ``name``; a row with very many copies is dealt out first."""
+    few = df.where(F.col(times) <= COPY_CHUNK).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPY_CHUNK)))
+    dealt = df.where(F.col(times) > COPY_CHUNK).withColumn("_chunk", chunk).repartition(
+        int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_chunk")
+    many = dealt.withColumn(name, F.explode(F.sequence(F.col("_chunk") * COPY_CHUNK, F.least((F.col("_chunk") + 1) * COPY_CHUNK, F.col(times)) - 1)))
+    return few.unionByName(many.drop("_chunk")).drop(times)
 
 
 def random_oversample(df: DataFrame, label: str, id_col: str, strategy="auto", seed: int = 42) -> DataFrame:
     """Repeat rows until every class has its target size; ``_copy`` 0 is the original row."""
-    counts = class_counts(df, label)
-    targets = class_targets(counts, strategy)
-    ranked = rank_in_class(df, label, id_col, seed)
-    whole = lookup(label, {k: max(targets[k] // n, 1) for k, n in counts.items()})
-    extra = lookup(label, {k: max(targets[k] - max(targets[k] // n, 1) * n, 0) for k, n in counts.items()})
-    times = whole + (F.col("_rank") <= extra).cast("int")
-    return ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0), times.cast("int") - 1))).drop("_rank")
+    classes = class_targets(cut(class_counts(df, label)), strategy)
+    whole = F.greatest(F.floor(F.col("_target") / F.col("_n")), F.lit(1))
+    classes = classes.select("_label", whole.alias("_whole"), F.greatest(F.col("_target") - whole * F.col("_n"), F.lit(0)).alias("_extra"))
+    ranked = per_class(rank_in_class(df, label, id_col, seed), label, classes)
+    timed = ranked.withColumn("_times", F.col("_whole") + (F.col("_rank") <= F.col("_extra")).cast("long"))
+    return copied(timed.drop("_whole", "_extra", "_rank"), "_times", "_copy")
 
 
 def random_undersample(df: DataFrame, label: str, id_col: str, strategy="auto", seed: int = 42) -> DataFrame:
-    counts = class_counts(df, label)
-    targets = class_targets(counts, strategy, over=False)
-    ranked = rank_in_class(df, label, id_col, seed)
-    return ranked.where(F.col("_rank") <= lookup(label, targets)).drop("_rank")
-
-
-#: Synthetic rows of one point that are made in a row; more are spread over tasks.
-SMOTE_CHUNK = 10_000
+    """A random part of every class, as many rows as its target size."""
+    classes = class_targets(cut(class_counts(df, label)), strategy, over=False).select("_label", "_target")
+    ranked = per_class(rank_in_class(df, label, id_col, seed), label, classes)
+    return ranked.where(F.col("_rank") <= F.col("_target")).drop("_rank", "_target")
 
 
 def smote(df: DataFrame, label: str, id_col: str, columns: list[str], k: int = 5, strategy="auto",
@@ -372,15 +410,16 @@ def smote(df: DataFrame, label: str, id_col: str, columns: list[str], k: int = 5
     """
     base = df.select(id_col, label, *columns).withColumn("_synthetic", F.lit(False))
     whole = without_nan(df.select(id_col, label, *columns), columns).dropna(subset=[label, *columns])
-    counts = class_counts(df, label)
-    targets = class_targets(counts, strategy)
-    made_by = class_counts(whole, label)
-    need = {c: divmod(targets[c] - n, made_by[c]) for c, n in counts.items() if targets[c] > n and made_by.get(c)}
-    if not need:
+    made_by = class_counts(whole, label).select(F.col("_label").alias("_l"), F.col("_n").alias("_whole"))
+    classes = class_targets(cut(class_counts(df, label)), strategy).join(made_by, F.col("_label") == F.col("_l")).where("_target > _n").select(
+        "_label", F.floor((F.col("_target") - F.col("_n")) / F.col("_whole")).alias("_each"), F.pmod(F.col("_target") - F.col("_n"), F.col("_whole")).alias("_rest"))
+    classes = cut(classes)
+    if classes.isEmpty():
         return base
     stats = whole.agg(*[F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    seeds = rank_in_class(whole.where(F.col(label).isin(*need)), label, id_col, seed)
-    make = lookup(label, {c: q for c, (q, _) in need.items()}) + (F.col("_rank") <= lookup(label, {c: r for c, (_, r) in need.items()})).cast("int")
+    growing = whole.join(classes.select("_label"), F.col(f"`{label}`") == F.col("_label"), "left_semi")
+    seeds = per_class(rank_in_class(growing, label, id_col, seed), label, classes)
+    make = F.col("_each") + (F.col("_rank") <= F.col("_rest")).cast("long")
     sites = cut(seeds.withColumn("_make", make).groupBy(label, *columns).agg(
         F.min("_rank").alias("_first"), F.count("*").alias("_weight"), F.sum("_make").cast("long").alias("_make")))
     found = nearest_sites(sites, label, columns, {c: stats[i] or 0.0 for i, c in enumerate(columns)}, k)
@@ -388,9 +427,7 @@ def smote(df: DataFrame, label: str, id_col: str, columns: list[str], k: int = 5
     own = F.filter("near", lambda s: s["first"] == F.col("_first"))[0]["x"]
     others = F.slice(F.flatten(F.transform("near", lambda s: F.array_repeat(s["x"], F.least(
         s["weight"] - (s["first"] == F.col("_first")).cast("long"), F.lit(k)).cast("int")))), 1, k)
-    chunks = found.select(label, "_first", "_make", own.alias("_own"), others.alias("_near"), F.explode(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.col("_make") - 1) / SMOTE_CHUNK))).alias("_chunk")).repartition(F.col(label), "_first", "_chunk")
-    copies = chunks.withColumn("_copy", F.explode(F.sequence(F.col("_chunk") * SMOTE_CHUNK, F.least((F.col("_chunk") + 1) * SMOTE_CHUNK, "_make") - 1)))
+    copies = copied(found.select(label, "_first", "_make", own.alias("_own"), others.alias("_near")), "_make", "_copy")
     drawn = lambda n: F.xxhash64(F.lit(seed), F.lit(n), label, "_first", "_copy")
     other = F.when(F.size("_near") == 0, F.col("_own")).otherwise(F.try_element_at("_near", (F.pmod(drawn(0), F.greatest(F.size("_near"), F.lit(1))) + 1).cast("int")))
     part = F.shiftrightunsigned(drawn(1), 11) * F.lit(2.0 ** -53)

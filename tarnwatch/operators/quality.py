@@ -12,8 +12,8 @@ from tarnwatch import constants as K
 from tarnwatch.functions import net
 from tarnwatch.functions.columns import count_if, lookup, ratio
 from tarnwatch.operators.quantiles import exact_quantiles
-from tarnwatch.operators.scan import running
-from tarnwatch.session import config_rows
+from tarnwatch.operators.scan import range_ranks, running
+from tarnwatch.session import cut
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -283,8 +283,14 @@ def rank_in_class(df: DataFrame, label: str, id_col: str, seed: int, name: str =
     return ranked.drop("_h")
 
 
-def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[0]: r["n"] for r in config_rows(df.groupBy(label).agg(F.count("*").alias("n")), f"the class table of {label}")}
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """(_label, _n): rows of every class; a table, as there may be any number of classes."""
+    return df.groupBy(F.col(f"`{label}`").alias("_label")).agg(F.count("*").alias("_n"))
+
+
+def per_class(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:
+    """``df`` with the columns of its row in ``classes``; AQE sends small class tables to all tasks and splits hot classes of large ones."""
+    return df.join(classes, F.col(f"`{label}`").eqNullSafe(F.col("_label"))).drop("_label")
 
 
 def sample_rows(df: DataFrame, n: int, id_col: str, stratify: str | None = None, seed: int = 42) -> DataFrame:
@@ -295,14 +301,14 @@ def sample_rows(df: DataFrame, n: int, id_col: str, stratify: str | None = None,
             return df
         ranked = rank_in_class(df.withColumn("_all", F.lit(0)), "_all", id_col, seed)
         return ranked.where(F.col("_rank") <= n).drop("_rank", "_all")
-    counts = class_counts(df, stratify)
-    total = sum(counts.values())
+    counts = cut(class_counts(df, stratify))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
     if n >= total:
         return df
-    exact = {k: n * c / total for k, c in counts.items()}
-    quota = {k: int(v) for k, v in exact.items()}
-    spare = n - sum(quota.values())
-    for k in sorted(exact, key=lambda k: (quota[k] - exact[k], str(k)))[:spare]:
-        quota[k] += 1
+    exact = F.lit(n) * F.col("_n") / F.lit(float(total))
+    quotas = counts.withColumns({"_quota": F.floor(exact), "_behind": F.floor(exact) - exact, "_name": F.col("_label").cast("string")})
+    spare = n - quotas.agg(F.sum("_quota")).first()[0]
+    place = range_ranks(quotas.withColumn("_all", F.lit(0)), ["_all"], ["_behind", "_name", "_label"], "_place")
+    quotas = place.select("_label", (F.col("_quota") + (F.col("_place") <= spare).cast("long")).alias("_quota"))
     ranked = rank_in_class(df, stratify, id_col, seed)
-    return ranked.where(F.col("_rank") <= lookup(stratify, quota, 0)).drop("_rank")
+    return per_class(ranked, stratify, quotas).where(F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")

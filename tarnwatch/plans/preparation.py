@@ -228,7 +228,7 @@ add("high_missing_features", _names(lambda s, d: P.high_missing_features(_wide(s
 add("constant_features", _names(lambda s, d: P.constant_features(_wide(s, d))),
     f"WITH {_WIDE} " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature FROM (SELECT count(*) AS n FROM w WHERE {c} IS NOT NULL GROUP BY {c}) HAVING max(n) >= 0.95 * (SELECT count(*) FROM w)" for c in _WALL))
-add("top_value_shares", lambda s, d: rounded(P.top_value_shares(_wide(s, d).select("l_quantity", "l_returnflag", "mark"), 0.1)),
+add("top_value_shares", lambda s, d: rounded(P.top_value_shares(_wide(s, d).select("l_quantity", "l_returnflag", "mark"))),
     f"WITH {_WIDE} " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", round(max(n) / (SELECT count(*) FROM w)::DOUBLE, 6) AS share FROM (SELECT count(*) AS n FROM w GROUP BY {c})"""
         for c in ("l_quantity", "l_returnflag", "mark")))

@@ -6,12 +6,12 @@ import atexit
 import pathlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-# Rows a rule, lookup or parameter table may have before an operator refuses to
-# treat it as driver-side configuration and switches to its distributed form.
+# Rules become predicates of the plan; a table with more of them than this is passed in parts.
 MAX_CONFIG_ROWS = 10_000
 
 
@@ -81,6 +81,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` below the checkpoint folder and return the path: a table that later jobs and saved state can read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def config_rows(df: DataFrame, what: str, limit: int = MAX_CONFIG_ROWS) -> list[Row]:
     """Collect a configuration-sized table, refusing anything that is not one."""
     rows = df.limit(limit + 1).collect()

@@ -46,6 +46,55 @@ def test_encoder(spark, tmp_path):
     assert dropped.inverse(dropped.transform(df)).select("protocol").collect() == df.select("protocol").collect()
 
 
+def test_encoder_dictionary(spark, tmp_path, monkeypatch):
+    """Any number of categories: dense codes in order, unknown and NULL values, joined or sent around, saved with its table."""
+    n = 100_000
+    df = spark.range(n).select(F.concat(F.lit("10."), (F.col("id") * 7919 % n).cast("string")).alias("source_ip"),
+                               F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("h"), F.col("id") % 80)).alias("host"), F.col("id").alias("n"))
+    enc = P.fit_encoder(df)
+    assert set(enc.sizes) == {"source_ip", "host"} and enc.categories == {}
+    out = enc.transform(df)
+    assert out.columns == df.columns and out.agg(F.min("source_ip"), F.max("source_ip"), F.countDistinct("source_ip")).first()[:] == (0, n - 1, n)
+    order = {v: i for i, v in enumerate(sorted({f"10.{i}" for i in range(n)}))}
+    rows = out.join(df.select("n", F.col("source_ip").alias("ip"), F.col("host").alias("h")), "n").where("n % 100 = 0").collect()
+    hosts = sorted({f"h{i}" for i in range(80)})
+    assert all(r.source_ip == order[r.ip] and r.host == (-1 if r.h is None else hosts.index(r.h)) for r in rows)
+    assert enc.inverse(out).exceptAll(df).isEmpty()
+    enc.save(str(tmp_path / "e"))
+    again = P.Encoder.load(str(tmp_path / "e"))
+    assert again.dictionary != enc.dictionary
+    monkeypatch.setattr(P, "MAX_BROADCAST", 0)
+    assert again.transform(df).exceptAll(out).isEmpty()
+    new = spark.createDataFrame([("elsewhere", None, 1), ("10.5", "h7", 2)], df.schema)
+    assert {r.n: (r.source_ip, r.host) for r in again.transform(new).collect()} == {1: (-1, -1), 2: (order["10.5"], hosts.index("h7"))}
+    strict = P.fit_encoder(df.select("source_ip"), handle_unknown="error")
+    with pytest.raises(Exception, match="unknown category"):
+        strict.transform(new.select("source_ip")).collect()
+    with pytest.raises(ValueError, match="one-hot"):
+        P.fit_encoder(df.select("source_ip"), "onehot")
+    assert again.transform(df.limit(0)).count() == 0
+
+
+def test_any_number_of_classes(spark):
+    df = spark.range(30_000).select("id", (F.col("id") % 12_000).cast("string").alias("y"), F.col("id").cast("double").alias("x"))
+    before = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
+    over = {r["y"]: r["count"] for r in P.random_oversample(df, "y", "id").groupBy("y").count().collect()}
+    assert set(before.values()) == {2, 3} and set(over.values()) == {3} and len(over) == 12_000
+    under = P.random_undersample(df, "y", "id")
+    assert under.count() == 24_000 and under.select("id").distinct().count() == 24_000
+    assert Q.sample_rows(df, 15_000, "id", "y").count() == 15_000
+    assert P.smote(df, "y", "id", ["x"]).count() == 36_000
+
+
+def test_copies_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(P, "COPY_CHUNK", 50)
+    df = spark.createDataFrame([(i, "many") for i in range(1234)] + [(9999, "rare")], "id long, y string")
+    made = P.random_oversample(df, "y", "id")
+    rare = made.where("y = 'rare'")
+    assert [r._copy for r in rare.orderBy("_copy").collect()] == list(range(1234)) and made.columns == ["id", "y", "_copy"]
+    assert rare.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_scaler(spark, tmp_path):
     df = spark.createDataFrame([(float(i), 5.0) for i in range(5)], "x double, fixed double")
     s = P.fit_scaler(df)
