@@ -7,8 +7,9 @@ exact: one row for each document with its component of links.
    cannot all miss; tokens of a count-sketch bucket that is much fuller than others come last in the order, so
    prefixes hold rare tokens and passages shared by many documents form no long lists.
 2. Partition into groups: each class is checked against one leader, the smallest class that shares most of its
-   prefix tokens; verified links make the groups (connected components). A cluster of near copies becomes one
-   group by a number of checks that is linear in its size.
+   prefix tokens; verified links make the groups (connected components). Then classes that share a token with
+   many others ask the most central of these and seven drawn ones, in up to three turns. A cluster of near copies becomes one
+   group by a number of checks that is linear in its size, also where its members link to few of the others.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
    what a link needs are opened, their members bounded alike. Pairs that are left are bounded by parity bitmaps
@@ -16,8 +17,9 @@ exact: one row for each document with its component of links.
 4. Components of all verified links are the result.
 
 Inside a group no pairs are formed, and across groups only those that pass the bounds. Whole sets travel for
-classes with something to verify only. What the driver holds and sends has a fixed size: the sketch
-(``BUCKETS`` counters) and a bitmap (``BITS`` bits); both only save work and lose nothing when they fill up.
+classes with something to verify only. What the driver holds and sends has a bounded size: a bit for each counter
+of the sketch (one for eight shingles, 2**MOST_BUCKETS at most, 16 MB) and a bitmap (``BITS`` bits); both only save
+work and lose nothing when they fill up.
 
 Words are what white space (space, tab to carriage return) separates, A-Z lower-cased. A text with fewer words
 than ``width`` has its whole sequence as its one shingle. Null and empty texts have no set and link with
@@ -41,10 +43,13 @@ from tarnwatch.llm.common import Remembered, slices, table
 from tarnwatch.operators.graph import connected_components
 
 WIDTH, PERCENT = 4, 85
-BUCKETS, CHUNK = 1 << 22, 1 << 16
+#: Powers of two of the sketch's counters, which count to FULL in a task, and counters in a block of them.
+LEAST_BUCKETS, MOST_BUCKETS, FULL, CHUNK = 20, 27, 255, 1 << 16
 BITS = 1 << 25
 #: Share of its prefix that a class must share with a leader to be checked against it in step 2.
 LEADER_SHARE = 0.4
+#: Further turns of leaders for tokens in the prefixes of this many classes, and how many leaders a turn has.
+TURNS, HOT, LEADERS = 3, 24, 8
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
 
@@ -86,54 +91,65 @@ def most_overlap(nx: int, x: bytes, ny: int, y: bytes) -> int:
     return (nx + ny - int(np.unpackbits(x ^ y).sum())) // 2
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Counters of the sketch: about one for eight shingles (six characters make one), between two bounds."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, (chars // 48).bit_length() - 1))
+
+
 def common_buckets(docs: DataFrame, width: int) -> np.ndarray:
-    """Which sketch buckets are much fuller than the others; counted over all texts."""
+    """One bit for each sketch bucket: whether it is much fuller than the others; counted over all texts."""
+    buckets = buckets_for(docs)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.uint8)
         for batch in slices(batches):
             found = [shingles(t, width) for t in batch.column(0).to_pylist()]
-            np.add.at(total, (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        yield chunks(total)
+            at, times = np.unique((np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64), return_counts=True)
+            total[at] = np.minimum(total[at] + times, FULL)
+        for lo in range(0, buckets, CHUNK):
+            part = total[lo:lo + CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[chunk] = total.get(chunk, 0) + unpacked(data)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(t) for t in total.values()], pa.binary())],
-                                         names=["chunk", "counts"])
-
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(16, "chunk")
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for row in parts.mapInArrow(add, "chunk int, counts binary").collect():  # BUCKETS counters, whatever the input
-        total[row.chunk * CHUNK:(row.chunk + 1) * CHUNK] = unpacked(row.counts)
-    mean = total.mean()
-    return total > mean + 3 * np.sqrt(mean) + 4
-
-
-def packed(counts: np.ndarray) -> bytes:
-    """Counters of one chunk; most are small, so they compress to a few bits each."""
-    return zlib.compress(counts.astype(np.int64).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype=np.int64)
-
+                part = np.frombuffer(zlib.decompress(data), np.uint8)
+                if chunk in total:
+                    total[chunk] += part
+                else:
+                    total[chunk] = part.astype(np.uint32)
+        for chunk, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())],
+                                             names=["chunk", "n", "counts"])
+
+    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition(buckets // CHUNK, "chunk")
+    merged = table(parts.mapInArrow(add, "chunk int, n long, counts binary"), "jac_sketch")
+    mean = (merged.agg(F.sum("n")).first()[0] or 0) / buckets
+    most = mean + 3 * mean ** 0.5 + 4
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(zlib.decompress(d), np.uint32) > most, bitorder="little").tobytes() for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
-def chunks(total: np.ndarray) -> pa.RecordBatch:
-    used = [i for i in range(BUCKETS // CHUNK) if total[i * CHUNK:(i + 1) * CHUNK].any()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed(total[i * CHUNK:(i + 1) * CHUNK]) for i in used], pa.binary())],
-                                      names=["chunk", "counts"])
+    out = np.zeros(buckets // 8, dtype=np.uint8)
+    for row in merged.select("chunk", "counts").mapInArrow(judge, "chunk int, bits binary").collect():  # a bit for each bucket
+        out[row.chunk * CHUNK // 8:(row.chunk + 1) * CHUNK // 8] = np.frombuffer(row.bits, np.uint8)
+    return out
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, cls, prefix and bits (null where the task has met the class before): one row for each document."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(common_buckets(docs, width), bitorder="little"))
+    """doc_id, n, cls, prefix, bits and the share of common tokens (null where the task has met the class before), for each document."""
+    bits = docs.sparkSession.sparkContext.broadcast(common_buckets(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, met = bits.value, set()
+        last = np.uint64(8 * len(common) - 1)
         for batch in slices(batches):
-            ns, classes, lists, maps = [], [], [], []
+            ns, classes, lists, maps, shares = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, width)
                 ns.append(len(h))
@@ -141,22 +157,27 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     classes.append(None)
                     lists.append(None)
                     maps.append(None)
+                    shares.append(None)
                     continue
                 cls = xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
                 classes.append(cls)
                 if cls in met:
                     lists.append(None)
                     maps.append(None)
+                    shares.append(None)
                     continue
                 met.add(cls)
-                late = is_set(common, (h & np.uint64(BUCKETS - 1)).astype(np.int64))
+                late = is_set(common, (h & last).astype(np.int64))
                 keys = np.concatenate([h[~late] >> np.uint64(2), (h[late] >> np.uint64(2)) | np.uint64(1 << 62)]).astype(np.int64)
                 lists.append(keys[:len(h) - needed(len(h), percent) + 1])
                 maps.append(parities(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
-                                             names=["doc_id", "n", "cls", "prefix", "bits"])
+                shares.append(float(late.mean()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary()), pa.array(shares, pa.float64())],
+                                             names=["doc_id", "n", "cls", "prefix", "bits", "share"])
 
-    return table(docs.mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>, bits binary"), "jac_prefixes")
+    found = table(docs.mapInArrow(run, "doc_id long, n long, cls long, prefix array<long>, bits binary, share double"), "jac_prefixes")
+    bits.destroy()
+    return found
 
 
 def bitmap(df: DataFrame, key: str) -> np.ndarray:
@@ -175,17 +196,17 @@ def is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def token_rows(held: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """key, cls, n, pos (from 1), last (the prefix's last key), without keys that ``only`` rules out."""
-    rows = held.where("prefix is not null").select("cls", "n", F.col("prefix")[F.size("prefix") - 1].alias("last"), F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.select("key", "cls", "n", (F.col("pos") + 1).alias("pos"), "last")
+    """key, cls, n, pos (from 1), last (the prefix's last key), share, without keys that ``only`` rules out."""
+    rows = held.where("prefix is not null").select("cls", "n", "share", F.col("prefix")[F.size("prefix") - 1].alias("last"), F.posexplode("prefix").alias("pos", "key"))
+    rows = rows.select("key", "cls", "n", (F.col("pos") + 1).alias("pos"), "last", "share")
     if only is None:
         return rows
     bits = held.sparkSession.sparkContext.broadcast(only)  # BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = is_set(bits.value, batch.column(5).to_numpy())
-            yield batch.filter(pa.array(keep)).select(range(5))
+            keep = is_set(bits.value, batch.column(6).to_numpy())
+            yield batch.filter(pa.array(keep)).select(range(6))
 
     hashed = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(BITS)))
     return hashed.mapInArrow(run, rows.schema)
@@ -213,7 +234,9 @@ def whole_sets(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int) -
 
     at = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("at")
     found = docs.select(at, "text").mapInArrow(run, "cls long, tokens binary")
-    return table(found.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "jac_sets")
+    sets = table(found.join(asked, "cls", "left_semi").dropDuplicates(["cls"]), "jac_sets")
+    bits.destroy()
+    return sets
 
 
 def verified(docs: DataFrame, held: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -253,6 +276,25 @@ def leader_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     return best.where(F.col("best.hits") >= LEADER_SHARE * size).select(F.col("cls").alias("a"), (-F.col("best.col2")).alias("b"))
 
 
+def further_pairs(tokens: DataFrame, turn: int) -> DataFrame:
+    """(a, b): classes that share a prefix token with many others, and ``LEADERS`` of these that are in other groups.
+
+    One is the most central: the largest share of all its tokens is common, as in the text that variants were made
+    from. The others are drawn by hashes, so that a whole family meets the same ones: members that link to a tenth of the
+    others only soon form one group. The next turn asks only those that are not in it.
+    """
+    held = tokens.groupBy("key").agg(F.count("*").alias("held"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    rows = table(tokens.join(held.where((F.col("held") >= HOT) & (F.col("g0") != F.col("g1"))), "key").select("key", "cls", "share", "group", "held"), "jac_hot")
+    if rows.isEmpty():
+        return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    leader = F.struct("cls", "group")
+    drawn = [F.min_by(leader, F.xxhash64("cls", F.lit(turn * LEADERS + i))) for i in range(1, LEADERS)]
+    named = rows.groupBy("key").agg(F.array(F.max_by(leader, F.struct("share", "cls")), *drawn).alias("leaders"))
+    best = rows.join(named, "key").groupBy("cls", "group").agg(F.max_by("leaders", F.struct("held", "key")).alias("leaders"))
+    pairs = best.select("cls", "group", F.explode(F.array_distinct("leaders")).alias("leader")).where("leader.group <> group")
+    return pairs.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
+
+
 def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     """(a, b) of classes in different groups that the bounds leave; ``tokens`` has a column group.
 
@@ -274,7 +316,9 @@ def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
             .where(F.col("n") - (F.col("far") - F.col("hits")) >= need))
     q = rows.join(asks.select("cls", "g"), "cls").select("key", "g", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     d = rows.select("key", F.col("group").alias("g"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = q.join(d, ["key", "g"]).where((F.col("na") >= t * F.col("nb") - 1e-9) & (F.col("nb") >= t * F.col("na") - 1e-9))
+    at_most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shared up to this token, and after it
+    met = q.join(d, ["key", "g"]).where((F.col("na") >= t * F.col("nb") - 1e-9) & (F.col("nb") >= t * F.col("na") - 1e-9)
+                                        & (at_most >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)))
     pairs = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("hits"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = F.least(F.col("na") - (F.col("pa") - F.col("hits")), F.col("nb") - (F.col("pb") - F.col("hits")),
                    F.col("hits") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
@@ -288,13 +332,22 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     shared = token_rows(held).groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("key", "leader")
     shared = table(shared, "jac_shared")
     rows = token_rows(held, bitmap(shared, "key")).dropDuplicates(["key", "cls"])
-    tokens = table(rows.join(shared, "key"), "jac_tokens")
-    star = verified(docs, held, leader_pairs(tokens, percent), width, percent)
-    group = table(connected_components(star, "a", "b"), "jac_groups")
-    named = tokens.drop("leader").join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "group", F.coalesce("component", "cls")).drop("component")
+    tokens = table(rows.join(shared, "key"), "jac_tokens")  # so the bitmap's broadcast is read once
+    links = verified(docs, held, leader_pairs(tokens, percent), width, percent)
+
+    def grouped() -> DataFrame:
+        group = table(connected_components(links, "a", "b"), "jac_groups").withColumnRenamed("node", "cls")
+        return table(tokens.drop("leader").join(group, "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component"), "jac_grouped")
+
+    named = grouped()
+    for turn in range(TURNS):
+        pairs = table(further_pairs(named, turn), "jac_further")
+        if pairs.isEmpty():
+            break
+        links = table(links.unionByName(verified(docs, held, pairs, width, percent)), "jac_links")
+        named = grouped()
     more = verified(docs, held, cross_pairs(named, percent), width, percent)
-    final = connected_components(star.unionByName(more), "a", "b").withColumnsRenamed({"node": "cls", "component": "root"})
+    final = connected_components(links.unionByName(more), "a", "b").withColumnsRenamed({"node": "cls", "component": "root"})
     rooted = table(held.select("doc_id", "n", "cls").join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jac_rooted")
     least = rooted.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("least"))
     return rooted.join(least, F.col("root") == F.col("r"), "left").select(

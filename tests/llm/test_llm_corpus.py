@@ -110,6 +110,25 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert got == {(7, 3, 5), (None, 3, 5), (5, 3, 5), (5, 1, 5), (None, 0, None)}
 
 
+@pytest.mark.parametrize("changed, with_base", [(3, True), (1, False)])
+def test_families_are_joined_by_few_checks(spark, monkeypatch, changed, with_base):
+    """Variants of one text, near it but not near one another, or near all others: checks grow with their number."""
+    chance = random.Random(changed)
+    base = [f"w{k}" for k in range(160)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for i in range(1, 400):
+        words = list(base)
+        for k, at in enumerate(chance.sample(range(len(words)), changed)):
+            words[at] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    asked = []
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda docs, held, pairs, width, percent: (asked.append(pairs.count()), real(docs, held, pairs, width, percent))[1])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows)).collect())
+    assert got == sorted(plain_components(rows, 4, 85)) and len({c for *_, c in got}) == 1
+    assert sum(asked) < 4000, asked
+
+
 @needs_data
 def test_op9_equals_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in queries.read(spark, SF, "documents").collect()]
