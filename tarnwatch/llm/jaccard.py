@@ -8,7 +8,7 @@ exact: one row for each document with its component of links.
    prefixes hold rare tokens and passages shared by many documents form no long lists.
 2. Partition into groups: each class is checked against one leader, the smallest class that shares most of its
    prefix tokens; verified links make the groups (connected components). Then classes that share a token with
-   many others ask the most central of these and seven drawn ones, in up to three turns. A cluster of near copies becomes one
+   many others ask the most central of these and seven drawn ones. A cluster of near copies becomes one
    group by a number of checks that is linear in its size, also where its members link to few of the others.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
@@ -48,8 +48,8 @@ LEAST_BUCKETS, MOST_BUCKETS, FULL, CHUNK = 20, 27, 255, 1 << 16
 BITS = 1 << 25
 #: Share of its prefix that a class must share with a leader to be checked against it in step 2.
 LEADER_SHARE = 0.4
-#: Further turns of leaders for tokens in the prefixes of this many classes, and how many leaders a turn has.
-TURNS, HOT, LEADERS = 3, 24, 8
+#: The second turn of leaders is for tokens in the prefixes of HOT classes or more; LEADERS are asked.
+HOT, LEADERS = 24, 8
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
 
@@ -276,19 +276,19 @@ def leader_pairs(tokens: DataFrame, percent: int) -> DataFrame:
     return best.where(F.col("best.hits") >= LEADER_SHARE * size).select(F.col("cls").alias("a"), (-F.col("best.col2")).alias("b"))
 
 
-def further_pairs(tokens: DataFrame, turn: int) -> DataFrame:
+def further_pairs(tokens: DataFrame) -> DataFrame:
     """(a, b): classes that share a prefix token with many others, and ``LEADERS`` of these that are in other groups.
 
     One is the most central: the largest share of all its tokens is common, as in the text that variants were made
     from. The others are drawn by hashes, so that a whole family meets the same ones: members that link to a tenth of the
-    others only soon form one group. The next turn asks only those that are not in it.
+    others only soon form one group.
     """
     held = tokens.groupBy("key").agg(F.count("*").alias("held"), F.min("group").alias("g0"), F.max("group").alias("g1"))
     rows = table(tokens.join(held.where((F.col("held") >= HOT) & (F.col("g0") != F.col("g1"))), "key").select("key", "cls", "share", "group", "held"), "jac_hot")
     if rows.isEmpty():
         return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     leader = F.struct("cls", "group")
-    drawn = [F.min_by(leader, F.xxhash64("cls", F.lit(turn * LEADERS + i))) for i in range(1, LEADERS)]
+    drawn = [F.min_by(leader, F.xxhash64("cls", F.lit(i))) for i in range(1, LEADERS)]
     named = rows.groupBy("key").agg(F.array(F.max_by(leader, F.struct("share", "cls")), *drawn).alias("leaders"))
     best = rows.join(named, "key").groupBy("cls", "group").agg(F.max_by("leaders", F.struct("held", "key")).alias("leaders"))
     pairs = best.select("cls", "group", F.explode(F.array_distinct("leaders")).alias("leader")).where("leader.group <> group")
@@ -335,17 +335,11 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     tokens = table(rows.join(shared, "key"), "jac_tokens")  # so the bitmap's broadcast is read once
     links = verified(docs, held, leader_pairs(tokens, percent), width, percent)
 
-    def grouped() -> DataFrame:
-        group = table(connected_components(links, "a", "b"), "jac_groups").withColumnRenamed("node", "cls")
-        return table(tokens.drop("leader").join(group, "cls", "left").withColumn("group", F.coalesce("component", "cls")).drop("component"), "jac_grouped")
-
-    named = grouped()
-    for turn in range(TURNS):
-        pairs = table(further_pairs(named, turn), "jac_further")
-        if pairs.isEmpty():
-            break
-        links = table(links.unionByName(verified(docs, held, pairs, width, percent)), "jac_links")
-        named = grouped()
+    star = links.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("group"))  # a part of each group, without a search for all of it
+    stars = tokens.join(star, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
+    links = table(links.unionByName(verified(docs, held, further_pairs(stars), width, percent)), "jac_links")
+    group = table(connected_components(links, "a", "b"), "jac_groups").withColumnsRenamed({"node": "cls", "component": "group"})
+    named = tokens.drop("leader").join(group, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
     more = verified(docs, held, cross_pairs(named, percent), width, percent)
     final = connected_components(links.unionByName(more), "a", "b").withColumnsRenamed({"node": "cls", "component": "root"})
     rooted = table(held.select("doc_id", "n", "cls").join(final, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "jac_rooted")
