@@ -101,7 +101,7 @@ def merged(runs: list[DataFrame]) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS,
                    batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """(_ld_id, _ld_text, drops): the line positions that each document loses, for documents that lose any."""
+    """(_ld_id, _ld_text, _ld_drops): the line positions that each document loses, for documents that lose any."""
     spark = docs.sparkSession
     path = new_folder(spark, "ld_lines")
     line_rows(docs, doc_id, text, batches).write.partitionBy("batch").parquet(path)
@@ -111,20 +111,20 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         runs.add(lines.where(F.col("batch") == batch).select("hash", "_ld_id"))
     often = table(runs.totals().where(F.col("docs") >= min_docs).select("hash", "last"), "ld_often")
     lost = lines.drop("batch").join(often, "hash").where(F.col("_ld_id") != F.col("last"))
-    return lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("pos").alias("drops"))
+    return lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("pos").alias("_ld_drops"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with ``kept`` (the text without its dropped lines), ``n_lines`` before and ``n_dropped``."""
+    """``docs`` with _ld_kept (the text without its dropped lines), _ld_n_lines before and _ld_n_dropped."""
     drops = table(repeated_lines(docs, doc_id, text, **options), "ld_drops").withColumnsRenamed(
         {"_ld_id": "_ld_i", "_ld_text": "_ld_t"})
     joined = with_keys(docs, doc_id, text).join(
         drops, (F.col("_ld_id") == F.col("_ld_i")) & (F.col("_ld_text") == F.col("_ld_t")), "left")
     lines = lines_of(F.col(f"`{text}`"))
-    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "drops"), lambda i: F.col("_ld_lines")[i])
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), "_ld_drops"), lambda i: F.col("_ld_lines")[i])
     return (joined.withColumn("_ld_lines", lines)
-            .withColumns({"kept": F.when(F.col("drops").isNull(), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+            .withColumns({"_ld_kept": F.when(F.col("_ld_drops").isNull(), F.coalesce(F.col(f"`{text}`"), F.lit("")))
                           .otherwise(F.array_join(stay, "\n")),
-                          "n_lines": F.size("_ld_lines").cast("long"),
-                          "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long")})
-            .drop("_ld_id", "_ld_text", "_ld_i", "_ld_t", "drops", "_ld_lines"))
+                          "_ld_n_lines": F.size("_ld_lines").cast("long"),
+                          "_ld_n_dropped": F.coalesce(F.size("_ld_drops"), F.lit(0)).cast("long")})
+            .drop("_ld_id", "_ld_text", "_ld_i", "_ld_t", "_ld_drops", "_ld_lines"))

@@ -174,7 +174,8 @@ def op7_sql() -> str:
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.drop_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+    return found.select("doc_id", F.col("_ld_n_lines").alias("n_lines"), F.col("_ld_n_dropped").alias("n_dropped"),
+                        F.sha2(F.encode("_ld_kept", "utf-8"), 256).alias("kept_sha256"))
 
 
 OP8_SQL = f"""

@@ -50,7 +50,11 @@ def test_line_dedup(spark):
     for batches, fanout in ((1, 2), (5, 2), (4, 3)):
         got = linededup.drop_lines(docs, batches=batches, fanout=fanout)
         assert set(docs.columns) <= set(got.columns)
-        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got.collect()), key=str) == plain_lines(rows)
+        assert sorted(((r.doc_id, r._ld_n_lines, r._ld_n_dropped, r._ld_kept) for r in got.collect()), key=str) == plain_lines(rows)
+    named = docs.withColumns({c: F.concat(F.lit(c), F.lit("!")) for c in ("drops", "kept", "n_lines", "n_dropped", "last", "batch", "line", "key")})
+    again = linededup.drop_lines(named)
+    assert all(r[c] == c + "!" for r in again.collect() for c in named.columns[-8:])
+    assert sorted(((r.doc_id, r._ld_n_lines, r._ld_n_dropped, r._ld_kept) for r in again.collect()), key=str) == plain_lines(rows)
     assert linededup.drop_lines(docs.limit(0)).count() == 0
 
 
@@ -81,7 +85,7 @@ def plain_components(rows, width, percent):
     least = defaultdict(list)
     for x, (i, _) in enumerate(sets):
         least[find(x)].append(i)
-    return sorted((i, len(s), min((j for j in least[find(x)] if j is not None), default=None)) for x, (i, s) in enumerate(sets))
+    return sorted(((i, len(s), min((j for j in least[find(x)] if j is not None), default=None)) for x, (i, s) in enumerate(sets)), key=lambda r: (r[0] is not None, r[0] or 0, str(r)))
 
 
 def test_jaccard_on_chains_and_borders(spark):
