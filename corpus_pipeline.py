@@ -37,7 +37,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Lines that at least three documents hold stay in the one with the largest id only."""
     prepare(spark)
     found = linededup.drop_lines(docs)
-    return found.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
+    return found.withColumns({"text": F.col("_ld_kept"), "n_chars": F.length("_ld_kept").cast("long")}).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
