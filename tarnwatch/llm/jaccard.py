@@ -6,10 +6,11 @@ exact: one row for each document with its component of links.
 1. Equal sets are one class. A class's prefix are its first tokens (shingle hashes), as many as a partner
    cannot all miss; tokens of a count-sketch bucket that is much fuller than others come last in the order, so
    prefixes hold rare tokens and passages shared by many documents form no long lists.
-2. Partition into groups: each class is checked against one leader, the smallest class that shares most of its
-   prefix tokens; verified links make the groups (connected components). Then classes that share a token with
-   many others ask the most central of these and seven drawn ones. A cluster of near copies becomes one
-   group by a number of checks that is linear in its size, also where its members link to few of the others.
+2. Partition into groups: each class is checked against one leader, of the classes that share most of its prefix
+   tokens the most central one (with the largest share of common tokens). Then classes that share a token with many
+   others of other leaders ask sixteen drawn ones. Verified links make the groups (connected components). A cluster
+   of near copies becomes one group by a number of checks that is linear in its size, also where its members link
+   to few of the others.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
    what a link needs are opened, their members bounded alike. Pairs that are left are bounded by parity bitmaps
@@ -49,7 +50,7 @@ BITS = 1 << 25
 #: Share of its prefix that a class must share with a leader to be checked against it in step 2.
 LEADER_SHARE = 0.4
 #: The second turn of leaders is for tokens in the prefixes of HOT classes or more; LEADERS are asked.
-HOT, LEADERS = 24, 8
+HOT, LEADERS = 24, 16
 
 _words = Remembered(xxhash.xxh3_64_intdigest)
 
@@ -279,17 +280,16 @@ def leader_pairs(tokens: DataFrame, percent: int) -> DataFrame:
 def further_pairs(tokens: DataFrame) -> DataFrame:
     """(a, b): classes that share a prefix token with many others, and ``LEADERS`` of these that are in other groups.
 
-    One is the most central: the largest share of all its tokens is common, as in the text that variants were made
-    from. The others are drawn by hashes, so that a whole family meets the same ones: members that link to a tenth of the
+    Leaders are drawn by hashes, so that a whole family meets the same ones: members that link to a tenth of the
     others only soon form one group.
     """
     held = tokens.groupBy("key").agg(F.count("*").alias("held"), F.min("group").alias("g0"), F.max("group").alias("g1"))
-    rows = table(tokens.join(held.where((F.col("held") >= HOT) & (F.col("g0") != F.col("g1"))), "key").select("key", "cls", "share", "group", "held"), "jac_hot")
+    rows = table(tokens.join(held.where((F.col("held") >= HOT) & (F.col("g0") != F.col("g1"))), "key").select("key", "cls", "group", "held"), "jac_hot")
     if rows.isEmpty():
         return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     leader = F.struct("cls", "group")
-    drawn = [F.min_by(leader, F.xxhash64("cls", F.lit(i))) for i in range(1, LEADERS)]
-    named = rows.groupBy("key").agg(F.array(F.max_by(leader, F.struct("share", "cls")), *drawn).alias("leaders"))
+    drawn = [F.min_by(leader, F.xxhash64("cls", F.lit(i))) for i in range(LEADERS)]
+    named = rows.groupBy("key").agg(F.array(*drawn).alias("leaders"))
     best = rows.join(named, "key").groupBy("cls", "group").agg(F.max_by("leaders", F.struct("held", "key")).alias("leaders"))
     pairs = best.select("cls", "group", F.explode(F.array_distinct("leaders")).alias("leader")).where("leader.group <> group")
     return pairs.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
@@ -329,7 +329,10 @@ def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     held = prefixes(docs, width, percent)
-    shared = token_rows(held).groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).where("leader <> other").select("key", "leader")
+    # the class with the largest share of common tokens, as one number: variants of a text meet the text they were made from
+    central = F.shiftleft((F.col("share") * 1000).cast("long"), 53).bitwiseOR(F.shiftright("cls", 10))
+    shared = token_rows(held).groupBy("key").agg(F.max_by("cls", central).alias("leader"), F.min("cls").alias("c0"), F.max("cls").alias("c1"))
+    shared = shared.where("c0 <> c1").select("key", "leader")
     shared = table(shared, "jac_shared")
     rows = token_rows(held, bitmap(shared, "key")).dropDuplicates(["key", "cls"])
     tokens = table(rows.join(shared, "key"), "jac_tokens")  # so the bitmap's broadcast is read once
