@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwatch.llm.common import Remembered, slices, table
+from tarnwatch.llm.common import slices, table
 from tarnwatch.operators.graph import connected_components
 
 WIDTH, PERCENT = 4, 85
@@ -52,15 +52,13 @@ LEADER_SHARE = 0.4
 #: The second turn of leaders is for tokens in the prefixes of HOT classes or more; LEADERS are asked.
 HOT, LEADERS = 24, 16
 
-_words = Remembered(xxhash.xxh3_64_intdigest)
-
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = min(width, len(w))
     rolled = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for i in range(n):
