@@ -14,7 +14,7 @@ from tarnwatch import constants as K
 from tarnwatch.functions.columns import cases, count_if, safe_corr
 from tarnwatch.functions.text import md5_id
 from tarnwatch.operators.features import behavior_vector, built_in_features
-from tarnwatch.operators.scan import map_sorted_groups
+from tarnwatch.operators.scan import map_sorted_groups, running, time_bucket
 from tarnwatch.session import ensure_checkpoint_dir
 
 # fixed values: analysis settings
@@ -103,6 +103,33 @@ def recommendation(severity: Column, kind: str) -> Column:
     return cases(rows, F.lit(K.DEFAULT_ANOMALY_RECOMMENDATION))
 
 
+def record_alerts(obs: DataFrame, stored: DataFrame | None = None, min_obs: int = MIN_OBSERVATIONS,
+                  bucket_seconds: int = 60) -> DataFrame:
+    """Values more than two deviations away from the profile of everything before them.
+
+    The profile of a value is the stored one plus the values before it in ``obs``, by (ts, record_id). Running sums are
+    two-level, so a busy entity is spread over as many tasks as it has buckets. Values that are NULL raise nothing and
+    change nothing; a profile of fewer than ``min_obs`` values or without spread raises nothing.
+    """
+    v = F.col("value")
+    sums = {"count": ("count", v), "sum": ("sum", v), "sum_squares": ("sum", v * v)}
+    seen = running(obs, ["entity_id", "feature"], ["ts", "record_id"], time_bucket("ts", bucket_seconds), sums,
+                   exclusive=True, group=1440)
+    if stored is not None:
+        known = stored.select("entity_id", "feature", *[F.col(c).alias(f"_s_{c}") for c in sums])
+        seen = seen.join(known, ["entity_id", "feature"], "left").withColumns(
+            {c: F.coalesce(c, F.lit(0)) + F.coalesce(f"_s_{c}", F.lit(0)) for c in sums})
+    n, s, q = F.col("count"), F.col("sum"), F.col("sum_squares")
+    # what is left of equal values by rounding is no spread
+    variance = F.when(q - s * s / n > q * 1e-12, (q - s * s / n) / (n - 1))
+    return (seen.where((n >= max(min_obs, 2)) & v.isNotNull())
+            .withColumn("baseline_value", s / n).withColumn("z_score", F.abs(v - F.col("baseline_value")) / F.sqrt(variance))
+            .where(F.col("z_score") > Z_LIMIT)
+            .select("record_id", "ts", "entity_id", "feature", F.lit("statistical_deviation").alias("anomaly_type"),
+                    z_severity(F.col("z_score")).alias("severity"), F.least(F.col("z_score") / 5.0, F.lit(1.0)).alias("anomaly_score"),
+                    "baseline_value", v.alias("observed_value"), "z_score", n.alias("profile_count")))
+
+
 def zscore_anomalies(traffic: DataFrame, now: datetime, hours: float = 24, min_obs: int = MIN_OBSERVATIONS,
                      entity: str = "source_ip", exclude_recent: bool = False, extra: str | None = None) -> DataFrame:
     """Features whose recent mean left the baseline by more than two deviations.

@@ -156,9 +156,12 @@ def recent_flow_stats(df: DataFrame, n: int = 100, timeout: int = FLOW_TIMEOUT,
     return _recent_stats(sessionize(with_flow_key(df, flow_cols), timeout), n)
 
 
-def global_frequency_features(df: DataFrame, n: int = 100, bucket_seconds: int = 600) -> DataFrame:
+def global_frequency_features(df: DataFrame, n: int = 100, bucket_seconds: int = 10) -> DataFrame:
     """``record_id`` with protocol and port frequencies against all earlier packets.
 
+    Counts are carried over seconds, then over hours of an item, so the packets of one
+    protocol meet by ``bucket_seconds`` only, and its summaries by hour.
+
     Source and destination ports share one counter, the current packet included.
     The denominator only depends on the position for the first ``n`` packets.
     """
@@ -169,7 +172,7 @@ def global_frequency_features(df: DataFrame, n: int = 100, bucket_seconds: int =
     long = df.select("record_id", "ts", F.explode(slots).alias("s")).select(
         "record_id", "ts", "s.slot", "s.item")
     counted = running(long, ["item"], ORDER, time_bucket("ts", bucket_seconds),
-                      {"seen": ("count", F.lit(1))}, peers=True)
+                      {"seen": ("count", F.lit(1))}, peers=True, group=max(3600 // bucket_seconds, 2))
     first = (df.select("record_id", "ts").orderBy(*ORDER).limit(n)
              .select("record_id", F.row_number().over(Window.orderBy(*ORDER)).alias("rn")))
     pick = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("seen")))

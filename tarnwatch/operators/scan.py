@@ -64,13 +64,14 @@ def _window_agg(kind: str, expr: Column) -> Column:
 
 def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
             specs: dict[str, tuple[str, Column]], peers: bool = False,
-            exclusive: bool = False) -> DataFrame:
+            exclusive: bool = False, group: int | None = None) -> DataFrame:
     """Running aggregates per key in ``order``, two-level.
 
     ``specs`` maps an output name to ``(kind, expr)``; kinds are count, sum, max,
     min, first and last. ``bucket`` must not decrease along ``order``. ``peers``
     includes rows tied with the current one; ``exclusive`` leaves the current
-    row out.
+    row out. ``group`` is for keys with very many buckets: the summaries of so many
+    neighbouring buckets form a group, and only one row per (key, group) meets its key.
     """
     base = df.withColumn(BUCKET, bucket)
     frame = Window.partitionBy(*keys, BUCKET).orderBy(*order)
@@ -84,11 +85,16 @@ def running(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
     ordered_by = F.struct(*[F.col(c) for c in order])
     totals = base.groupBy(*keys, BUCKET).agg(
         *[_agg(kind, expr, ordered_by).alias(f"_t_{name}") for name, (kind, expr) in specs.items()])
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_k_bucket"),
-        *[_window_agg("sum" if kind == "count" else kind, F.col(f"_t_{name}")).over(earlier).alias(f"_c_{name}")
-          for name, (kind, _) in specs.items()])
+    summed = {f"_c_{name}": ("sum" if kind == "count" else kind, F.col(f"_t_{name}"))
+              for name, (kind, _) in specs.items()}
+    if group:
+        carry = running(totals.withColumnRenamed(BUCKET, "_at"), keys, ["_at"], F.floor(F.col("_at") / F.lit(group)),
+                        summed, exclusive=True).withColumnRenamed("_at", BUCKET)
+    else:
+        earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(*keys, BUCKET, *[_window_agg(kind, expr).over(earlier).alias(name)
+                                               for name, (kind, expr) in summed.items()])
+    carry = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BUCKET).alias("_k_bucket"), *summed)
 
     on = F.col(BUCKET) == F.col("_k_bucket")
     for k in keys:

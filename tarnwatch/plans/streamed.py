@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tarnwatch.operators import alerts as A
@@ -73,6 +75,16 @@ def _profiles(s, d):
     return rounded(B.finish(read_generation(s, f"{folder}/table")[0].drop("_checkpoint", "_batch")).drop("sum_squares"))
 
 
+def _record_alerts(s, d):
+    """Two feeds into one profile table: the packets of the first ten days, then the others."""
+    folder, border = S.work_folder(s, "record_alerts"), F.lit(datetime(2024, 1, 11))
+    for name, part in (("old", F.col("ts") < border), ("new", F.col("ts") >= border)):
+        S.profile_stream(traffic_stream(s, d, slow=True).where(part), f"{folder}/table", f"{folder}/{name}",
+                         alerts=f"{folder}/alerts", min_obs=5).awaitTermination()
+    # means of few decimals lie on rounding borders: both engines round a little above them
+    return rounded(S.stored_alerts(s, f"{folder}/alerts").withColumn("baseline_value", F.col("baseline_value") + 1e-9))
+
+
 def _stats(s, d):
     folder = S.work_folder(s, "stats")
     S.record_stats(traffic_stream(s, d), f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
@@ -82,6 +94,14 @@ def _stats(s, d):
 def _register_profiles():
     from tarnwatch.plans import behaviour
     add("profile_stream", _profiles, behaviour.ORACLE["behavior_profiles"])
+    add("record_alert_stream", _record_alerts, duck("traffic_slow", f"""WITH {behaviour._OBS},
+      su AS (SELECT *, count(value) OVER w AS n, sum(value::DOUBLE) OVER w AS s, sum(value::DOUBLE * value) OVER w AS q FROM ob
+        WINDOW w AS (PARTITION BY entity_id, feature ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      va AS (SELECT *, s / n AS m, (q - s * s / n) / (n - 1) AS var FROM su WHERE n >= 5 AND q - s * s / n > q * 1e-12),
+      zs AS (SELECT *, abs(value - m) / sqrt(var) AS z FROM va)
+      SELECT record_id, ts, entity_id, feature, 'statistical_deviation' AS anomaly_type,
+        CASE WHEN z > 4 THEN 'critical' WHEN z > 3 THEN 'high' ELSE 'medium' END AS severity, round(least(z / 5, 1.0), 6) AS anomaly_score,
+        round(m + 1e-9, 6) AS baseline_value, round(value, 6) AS observed_value, round(z, 6) AS z_score, n AS profile_count FROM zs WHERE z > 2"""))
 
 
 _register_profiles()

@@ -142,6 +142,37 @@ add("flows",
       round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration
     FROM sess s JOIN fl f ON s.fk = f.fk AND s.sid = f.sid GROUP BY s.fk, s.sid"""))
 
+# the same over all five fields, both directions of a conversation together
+_FIVE = _SESSIONS.replace("concat_ws('|', source_ip, destination_ip) AS fk", """least(source_ip, destination_ip) || ':' || least(source_port, destination_port)
+  || '-' || greatest(source_ip, destination_ip) || ':' || greatest(source_port, destination_port) || '-' || protocol AS fk""")
+
+
+def _bidirectional(s, d):
+    """Traffic of few ports, whose every third packet is an answer."""
+    t = traffic(s, d).withColumns({"source_port": F.lit(1024) + (F.col("record_id") % 2).cast("int"), "destination_port": F.lit(443)})
+    back = F.col("record_id") % 3 == 0
+    turn = lambda a, b: F.when(back, F.col(b)).otherwise(F.col(a))
+    return t.withColumns({"source_ip": turn("source_ip", "destination_ip"), "destination_ip": turn("destination_ip", "source_ip"),
+                          "source_port": turn("source_port", "destination_port"), "destination_port": turn("destination_port", "source_port")})
+
+
+_BIDIRECTIONAL = """few AS (SELECT * REPLACE (CAST(1024 + record_id % 2 AS INT) AS source_port, 443 AS destination_port) FROM traffic),
+turned AS (SELECT * REPLACE (CASE WHEN record_id % 3 = 0 THEN destination_ip ELSE source_ip END AS source_ip,
+  CASE WHEN record_id % 3 = 0 THEN source_ip ELSE destination_ip END AS destination_ip,
+  CASE WHEN record_id % 3 = 0 THEN destination_port ELSE source_port END AS source_port,
+  CASE WHEN record_id % 3 = 0 THEN source_port ELSE destination_port END AS destination_port) FROM few), """
+_FIVE_BOTH = _BIDIRECTIONAL + _FIVE.replace("FROM traffic", "FROM turned")
+
+add("flows_five_fields",
+    lambda s, d: rounded(W.flows(_bidirectional(s, d), timeout=3600)).withColumn("flags", F.array_join("flags", ",")),
+    duck("traffic", f"""WITH {_FIVE_BOTH.replace('300000000', '3600000000')},
+    fl AS (SELECT fk, sid, array_to_string(list_sort(list_distinct(flatten(list(string_split(flags_csv, ','))))), ',') AS flags
+           FROM sess GROUP BY 1, 2)
+    SELECT s.fk AS flow_key, count(*) AS packet_count, CAST(sum(packet_size) AS BIGINT) AS total_bytes, min(ts) AS start_time,
+      max(ts) AS last_time, any_value(f.flags) AS flags,
+      round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration
+    FROM sess s JOIN fl f ON s.fk = f.fk AND s.sid = f.sid GROUP BY s.fk, s.sid"""))
+
 _RUN = """, run AS (SELECT *,
    (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6 AS flow_duration,
    CAST(count(*) OVER w AS DOUBLE) AS flow_packet_count, CAST(sum(packet_size) OVER w AS DOUBLE) AS flow_bytes_total
@@ -155,6 +186,11 @@ add("running_flow_features",
     lambda s, d: rounded(W.running_flow_features(traffic(s, d), flow_cols=PAIR).select(
         "record_id", *K.FEATURE_NAMES[3:8])),
     duck("traffic", f"WITH {_SESSIONS}{_RUN} SELECT record_id, {_RUN_COLS} FROM run"))
+add("running_flow_features_five_fields",
+    # rates of whole seconds lie on rounding borders: both engines round a little above them
+    lambda s, d: rounded(W.running_flow_features(_bidirectional(s, d), timeout=3600).select("record_id", *K.FEATURE_NAMES[3:8]).withColumns(
+        {c: F.col(c) + 1e-9 for c in ("flow_bytes_per_second", "flow_packets_per_second")})),
+    duck("traffic", f"WITH {_FIVE_BOTH.replace('300000000', '3600000000')}{_RUN} SELECT record_id, {_RUN_COLS.replace('0.001), 6)', '0.001) + 1e-9, 6)')} FROM run"))
 
 _STAT_COLS = ", ".join(
     f"round(CAST(coalesce({fn}({src}) OVER r, 0) AS DOUBLE), 6) AS {name}_{label}"
@@ -165,6 +201,10 @@ add("recent_flow_stats",
         "record_id", *K.FEATURE_NAMES[8:16])),
     duck("traffic", f"""WITH {_SESSIONS}{_RUN} SELECT record_id, {_STAT_COLS} FROM stat
       WINDOW r AS (PARTITION BY fk, sid ORDER BY ts, record_id ROWS 2 PRECEDING)"""))
+add("recent_flow_stats_five_fields",
+    lambda s, d: rounded(W.recent_flow_stats(_bidirectional(s, d), n=3, timeout=3600).select("record_id", *K.FEATURE_NAMES[8:16])),
+    duck("traffic", f"""WITH {_FIVE_BOTH.replace('300000000', '3600000000')}{_RUN} SELECT record_id, {_STAT_COLS} FROM stat
+      WINDOW r AS (PARTITION BY fk, sid ORDER BY ts, record_id ROWS 2 PRECEDING)"""))
 
 _FREQ = """, ports AS (SELECT record_id, ts, source_port AS port FROM traffic
       UNION ALL SELECT record_id, ts, destination_port FROM traffic),

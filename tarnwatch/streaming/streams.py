@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -199,13 +200,18 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
 
 # --- foreachBatch tables ------------------------------------------------------------------------
 
-def profile_stream(stream: DataFrame, path: str, checkpoint: str, entity: str = "source_ip", interval: str | None = None):
+def profile_stream(stream: DataFrame, path: str, checkpoint: str, entity: str = "source_ip", interval: str | None = None,
+                   alerts: str | None = None, min_obs: int = B.MIN_OBSERVATIONS):
     """Maintain mergeable behaviour profiles: one table generation per micro-batch.
 
     A generation holds the checkpoint and batch number that it was made from. A
     repeated batch of that checkpoint finds them there and does nothing, so a lost
     executor or a restart never counts a batch twice; batches of another checkpoint
     are merged whatever their numbers. Only the newest generations are kept.
+
+    With a folder for ``alerts`` every record is held against the profile of its entity before the record joins it:
+    stored batches first, then the records before it in its own batch. The alerts of a batch are written before its
+    generation, under the name of checkpoint and batch, so a batch that is repeated replaces its own alerts.
     """
     from tarnwatch.sources.tables import prune_generations, read_generation
 
@@ -217,8 +223,12 @@ def profile_stream(stream: DataFrame, path: str, checkpoint: str, entity: str =
         done = stored.select(*mark).where(F.col("_checkpoint") == checkpoint).agg(F.max("_batch")).first()[0] if stored is not None else None
         if done is not None and done >= batch_id:
             return
-        parts = B.profile_parts(B.observations(batch, entity))
-        merged = parts if stored is None else B.merge_parts([stored.drop(*mark), parts])
+        known, seen = (None if stored is None else stored.drop(*mark)), B.observations(batch, entity)
+        if alerts:
+            feed = hashlib.md5(checkpoint.encode()).hexdigest()
+            B.record_alerts(seen, known, min_obs).write.mode("overwrite").parquet(f"{alerts}/feed={feed}/batch={batch_id}")
+        parts = B.profile_parts(seen)
+        merged = parts if known is None else B.merge_parts([known, parts])
         merged.withColumns({"_checkpoint": F.lit(checkpoint), "_batch": F.lit(batch_id).cast("long")}).write.mode(
             "overwrite").parquet(f"{path}/gen={number + 1:06d}")
         prune_generations(spark, path)
@@ -226,6 +236,11 @@ def profile_stream(stream: DataFrame, path: str, checkpoint: str, entity: str =
     return alert_actions(stream, merge, checkpoint, interval)
 
 
+def stored_alerts(spark: SparkSession, alerts: str) -> DataFrame:
+    """All alerts that profile streams wrote to a folder."""
+    return spark.read.parquet(alerts).drop("feed", "batch")
+
+
 def record_stats(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None):
     """Append one statistics row per micro-batch: processed, malicious, invalid and duration."""
     import time

@@ -41,6 +41,17 @@ def test_running_matches_plain_prefix(spark):
         assert (got[i]["n"], got[i]["s"], got[i]["m"], got[i]["f"]) == (len(past), sum(past), max(past), past[0])
 
 
+def test_running_in_groups_of_buckets_is_the_same(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(0, 5000), rng.choice(["hot", "hot", None])) for _ in range(300)]
+    df = events(spark, rows)
+    specs = {"n": ("count", F.lit(1)), "s": ("sum", F.when(F.col("record_id") % 3 > 0, F.col("record_id"))), "m": ("min", F.col("record_id")),
+             "f": ("first", F.col("record_id")), "l": ("last", F.col("record_id"))}
+    for options in ({}, {"exclusive": True}):
+        one, two = (running(df, ["source_ip"], ["ts", "record_id"], time_bucket("ts", 13), specs, group=g, **options) for g in (None, 7))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_map_sorted_groups_sees_whole_groups(spark):
     old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")

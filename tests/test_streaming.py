@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,38 @@ def test_coordinated_hours_are_exact(spark, tmp_path):
     source = spark.readStream.schema("record_id long, ts timestamp, source_ip string").json(f"{tmp_path}/in")
     got = S.drain(S.coordinated_stream(source)).collect()
     assert {(r["sources"], r["events"]) for r in got} == {(7, 60)} and len(got) >= 3
+
+
+def plain_alerts(rows, min_obs):
+    """(record, feature) -> z of every value against all values before it."""
+    past, out = {}, {}
+    for record, entity, feature, value in rows:
+        seen = past.setdefault((entity, feature), [])
+        if len(seen) >= min_obs and max(seen) > min(seen):
+            z = abs(value - statistics.mean(seen)) / statistics.stdev(seen)
+            if z > 2:
+                out[record, feature] = round(z, 6)
+        seen.append(value)
+    return out
+
+
+def test_record_alerts_see_stored_batches_and_earlier_records(spark, chunks, tmp_path):
+    path, batch = chunks
+    S.profile_stream(stream(spark, path), f"{tmp_path}/p", f"{tmp_path}/c", alerts=f"{tmp_path}/a", min_obs=8).awaitTermination()
+    rows = [(r["record_id"], r["entity_id"], r["feature"], r["value"])
+            for r in B.observations(batch).orderBy("ts", "record_id", "feature").collect()]
+    want = plain_alerts(rows, 8)
+    got = {(r["record_id"], r["feature"]): round(r["z_score"], 6) for r in S.stored_alerts(spark, f"{tmp_path}/a").collect()}
+    assert got == want and len(want) > 3
+
+
+def test_record_alerts_of_one_busy_entity_with_gaps(spark):
+    rng = random.Random(3)
+    rows = [(i, BASE + dt.timedelta(seconds=i // 3), "hot", "size", None if i % 11 == 0 else rng.gauss(5, 1)) for i in range(600)]
+    obs = spark.createDataFrame(rows, "record_id long, ts timestamp, entity_id string, feature string, value double")
+    got = {(r["record_id"], r["feature"]): round(r["z_score"], 6) for r in B.record_alerts(obs, min_obs=10, bucket_seconds=7).collect()}
+    want = plain_alerts([(i, e, f, v) for i, _, e, f, v in rows if v is not None], 10)
+    assert got == want and len(want) > 10
+    assert B.record_alerts(obs.limit(0)).count() == 0
+    level = obs.withColumn("value", F.lit(0.1))  # equal values have no spread, whatever rounding leaves
+    assert B.record_alerts(level, min_obs=10).count() == 0
