@@ -94,17 +94,43 @@ def _codes(group: np.ndarray, ts: np.ndarray, span: int) -> np.ndarray:
     return group.astype(np.int64) * span + ts
 
 
+NONE_YET = np.iinfo(np.int64).min  # nothing was kept before
+ANY_TIME = np.iinfo(np.int64).max  # upper limit of a step that takes all later times
+
+
+def _starts(*parts: np.ndarray) -> np.ndarray:
+    """Whether each row is the first one with its values."""
+    first = np.zeros(len(parts[0]), dtype=bool)
+    first[:1] = True
+    for part in parts:
+        first[1:] |= part[1:] != part[:-1]
+    return first
+
+
+def _ends(*parts: np.ndarray) -> np.ndarray:
+    """Whether each row is the last one with its values."""
+    return np.r_[_starts(*parts)[1:], len(parts[0]) > 0]
+
+
+def _follow(limits: np.ndarray, exits: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """Last kept times after a bucket, for last kept times before it."""
+    at = np.searchsorted(limits, np.where(last == NONE_YET, NONE_YET, last + window))
+    return np.where(at < len(limits), exits[np.minimum(at, len(limits) - 1)], last)
+
+
 def keep_spaced(df: DataFrame, keys: list[str], window_seconds: float, ts: str = "ts",
-                id_col: str = "record_id", bucket_windows: int = 24) -> DataFrame:
+                id_col: str = "record_id", bucket_windows: int = 24, group_buckets: int = 64) -> DataFrame:
     """Keep a row iff it lies at least ``window`` after the last *kept* row of its key.
 
-    The greedy chain is sequential per key, so a hot key is cut into time buckets
-    of ``bucket_windows`` windows. Every bucket is reduced to a table
-    "first kept time -> last kept time"; only instants inside the first window of
-    a bucket (or its very first instant) can be the first kept one. The buckets
-    of a key are chained over these small tables, then each bucket replays its
-    own part from the known starting point. Rows sharing an instant are reduced
-    to the smallest id beforehand, which is exact.
+    The greedy chain is sequential per key, so a hot key is cut into time buckets of
+    ``bucket_windows`` windows. What a bucket does to the chain is a step function "last
+    kept before -> last kept after". Only instants inside the first window of a bucket (or
+    its very first instant) can be the first kept one, and chains from neighbouring
+    instants soon meet, so the function has few steps. ``group_buckets`` neighbouring
+    functions are composed to that of their group, whose chains have met even more, and
+    only the groups of a key are followed one after the other. The last kept time then goes
+    down again, from groups to buckets, and each bucket replays its own part. Rows sharing
+    an instant are reduced to the smallest id beforehand, which is exact.
     """
     window = int(round(window_seconds * 1_000_000))
     width = window * bucket_windows
@@ -125,53 +151,86 @@ def keep_spaced(df: DataFrame, keys: list[str], window_seconds: float, ts: str =
         return np.where(group[nxt] == group, nxt, here)
 
     def summarise(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """Steps of every bucket: all first kept times up to ``_limit`` lead to ``_exit``."""
         t = rows["_t"].to_numpy()
         base = rows["_b"].to_numpy() * width
         end = chain(t, group, base)
         for _ in range(int(np.ceil(np.log2(bucket_windows))) + 2):
             end = end[end]
-        first = np.r_[True, group[1:] != group[:-1]]
-        entry = first | (t - base < window)
+        entry = _starts(group) | (t - base < window)
         # the instant that follows the first window can also start the bucket
         entry[1:] |= (entry[:-1] & ~entry[1:] & (group[1:] == group[:-1]))
-        out = rows.loc[entry, [*keys, "_b", "_t"]].copy()
-        out["_exit"] = t[end[entry]]
-        return out
+        at = np.flatnonzero(entry)
+        at = at[_ends(group[at], end[at])]
+        out = rows.iloc[at][[*keys, "_b"]].copy()
+        out["_g"] = out["_b"] // group_buckets
+        out["_limit"], out["_exit"] = t[at], t[end[at]]
+        return out[[*keys, "_g", "_b", "_limit", "_exit"]]
 
     steps = map_sorted_groups(instants.select(*keys, "_b", "_t"), [*keys, "_b"], ["_t"], summarise,
-                              f"{key_schema}, _b long, _t long, _exit long")
-
-    def link(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        entry_t, leave, bucket = (rows[c].to_numpy() for c in ("_t", "_exit", "_b"))
-        starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (bucket[1:] != bucket[:-1])])
-        stops = np.r_[starts[1:], len(rows)]
-        begin = np.empty(len(starts), dtype=np.int64)
-        last, current = None, -1
-        for i, (lo, hi) in enumerate(zip(starts, stops)):
-            if group[lo] != current:
-                current, last = group[lo], None
-            at = lo if last is None else lo + int(np.searchsorted(entry_t[lo:hi], last + window))
-            if at < hi:
-                begin[i] = entry_t[at]
-                last = leave[at]
-            else:
-                begin[i] = np.iinfo(np.int64).max
-        out = rows.iloc[starts][[*keys, "_b"]].copy()
-        out["_begin"] = begin
+                              f"{key_schema}, _g long, _b long, _limit long, _exit long")
+
+    def compose(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        """The steps of a group: those of its first bucket, led through all others."""
+        limit, leave, bucket = (rows[c].to_numpy() for c in ("_limit", "_exit", "_b"))
+        begin = np.flatnonzero(_starts(group, bucket))
+        stop = np.r_[begin[1:], len(rows)]
+        firsts, pieces = np.flatnonzero(_starts(group[begin])), []
+        for first, end in zip(firsts, np.r_[firsts[1:], len(begin)]):
+            limits, last = limit[begin[first]:stop[first]], leave[begin[first]:stop[first]]
+            if first + 1 < end:  # a time behind all instants of the first bucket opens the second one
+                limits, last = np.r_[limits, ANY_TIME], np.r_[last, NONE_YET]
+            for i in range(first + 1, end):
+                last = _follow(limit[begin[i]:stop[i]], leave[begin[i]:stop[i]], last, window)
+            kept = _ends(last)
+            pieces.append((np.full(int(kept.sum()), begin[first]), limits[kept], last[kept]))
+        at, limits, last = (np.concatenate(p) for p in zip(*pieces))
+        out = rows.iloc[at][[*keys, "_g"]].copy()
+        out["_limit"], out["_exit"] = limits, last
         return out
 
-    starts = map_sorted_groups(steps, keys, ["_b", "_t"], link,
-                               f"{key_schema}, _b long, _begin long")
-    begun = starts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_bucket"), "_begin")
-    same = F.col("_b") == F.col("_k_bucket")
-    for k in keys:  # rows with a missing key form a group of their own, as in any grouping
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    placed = instants.join(begun, same).select(*instants.columns, "_begin")
+    groups = map_sorted_groups(steps, [*keys, "_g"], ["_b", "_limit"], compose,
+                               f"{key_schema}, _g long, _limit long, _exit long")
+
+    def lead(part: str):
+        """Follow the parts of each group of rows in turn, from ``_last`` if there; gives the last kept time before each."""
+        def run(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            limit, leave, number = (rows[c].to_numpy() for c in ("_limit", "_exit", part))
+            known = rows["_last"].to_numpy() if "_last" in rows else np.full(len(rows), NONE_YET)
+            begin = np.flatnonzero(_starts(group, number))
+            stop = np.r_[begin[1:], len(rows)]
+            opens = _starts(group[begin])
+            before = np.empty(len(begin), dtype=np.int64)
+            last = NONE_YET
+            for i, (lo, hi) in enumerate(zip(begin, stop)):
+                if opens[i]:
+                    last = known[lo]
+                before[i] = last
+                at = lo if last == NONE_YET else lo + int(np.searchsorted(limit[lo:hi], last + window))
+                if at < hi:
+                    last = leave[at]
+            out = rows.iloc[begin][[*keys, part]].copy()
+            out["_last"] = before
+            return out
+        return run
+
+    def attach(left: DataFrame, part: str, right: DataFrame) -> DataFrame:
+        known = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(part).alias("_k_part"), "_last")
+        same = F.col(part) == F.col("_k_part")
+        for k in keys:  # rows with a missing key form a group of their own, as in any grouping
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return left.join(known, same).select(*left.columns, "_last")
+
+    of_groups = map_sorted_groups(groups, keys, ["_g", "_limit"], lead("_g"), f"{key_schema}, _g long, _last long")
+    of_buckets = map_sorted_groups(attach(steps, "_g", of_groups), [*keys, "_g"], ["_b", "_limit"], lead("_b"),
+                                   f"{key_schema}, _b long, _last long")
+    placed = attach(instants, "_b", of_buckets)
 
     def replay(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        t = rows["_t"].to_numpy()
+        t, last = rows["_t"].to_numpy(), rows["_last"].to_numpy()
         nxt = chain(t, group, rows["_b"].to_numpy() * width)
-        kept = t == rows["_begin"].to_numpy()
+        free = t >= np.where(last == NONE_YET, NONE_YET, last + window)
+        kept = free & (_starts(group) | ~np.r_[False, free[:-1]])
         front = np.flatnonzero(kept)
         while len(front):
             step = nxt[front]

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -89,8 +90,30 @@ def test_suppression_matches_greedy_loop(spark, seed, buckets):
     # a dense hot key without any gap, and sparse ones
     rows = [(rng.randrange(0, 4000), "hot") for _ in range(300)]
     rows += [(rng.randrange(0, 40000), rng.choice("bcd")) for _ in range(80)]
-    out = A.keep_spaced(events(spark, rows), A.DEDUP_KEY, 60, bucket_windows=buckets)
-    assert sorted(r["record_id"] for r in out.collect()) == greedy(rows, 60)
+    for group in (2, 3, 64):
+        out = A.keep_spaced(events(spark, rows), A.DEDUP_KEY, 60, bucket_windows=buckets, group_buckets=group)
+        assert sorted(r["record_id"] for r in out.collect()) == greedy(rows, 60)
+
+
+def test_suppression_of_one_dense_key_follows_few_steps():
+    """A bucket of 20 000 instants is a function of few steps, and composing buckets leaves fewer."""
+    rng = np.random.default_rng(5)
+    window, width = 1_000, 24_000
+    steps = []
+    for bucket in range(8):
+        t = np.unique(rng.integers(bucket * width, (bucket + 1) * width, 4_000))
+        entry = t[t - bucket * width < window]
+        leave = entry.copy()
+        for _ in range(24):
+            at = np.searchsorted(t, leave + window)
+            leave = np.where(at < len(t), t[np.minimum(at, len(t) - 1)], leave)
+        ends = A._ends(leave)
+        steps.append((entry[ends], leave[ends]))
+    assert len(steps[0][0]) < 60
+    last = steps[0][1]
+    for limits, leave in steps[1:]:
+        last = A._follow(limits, leave, last, window)
+    assert len(np.unique(last)) <= 12
 
 
 def test_trailing_counts_match_loop(spark):
