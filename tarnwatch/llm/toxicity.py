@@ -215,11 +215,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """Fit on a sample of the labels 0 and 1.
 
     The sample is drawn before its texts are looked up, so that it, of known size, is what is sent around;
-    executors return the hashed terms only, and of toxic texts their sketches.
+    executors return the hashed terms only, and of toxic texts their sketches. A key counts once for each of its
+    labels, with its smallest text, however often it is repeated in either table.
     """
     known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    known = F.broadcast(sample_by_label(known, "label", ["key"], PER_CLASS))  # about the sum of PER_CLASS in rows
+    known = F.broadcast(sample_by_label(known, "label", ["key"], PER_CLASS).distinct())  # about the sum of PER_CLASS in rows
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known, "key")
+    rows = rows.groupBy("key", "label").agg(F.min("text").alias("text"))
     fields = [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
     held = per_text(rows, "text", fields, lambda texts: [[terms_of(t) for t in texts], [sketch_of(t) for t in texts]], ["key", "label"])
     held = held.withColumn("sketch", F.when(F.col("label") == 1, F.col("sketch"))).toArrow().sort_by([("key", "ascending")])

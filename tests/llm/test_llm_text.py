@@ -219,3 +219,15 @@ def test_pages_keep_their_article(spark):
         inner = re.search("<article>(.*)</article>", truth[r.page_id], re.S)[1]
         parts = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?(?:p|br|h1)>", inner)]
         assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_toxicity_counts_repeated_ids_once(spark):
+    """Ids that are repeated in both tables change nothing of the model; a repeated id counts with its smallest text."""
+    prepare(spark)
+    rows = [(i, f"insult group w{i} z{i % 7}" if i % 3 == 0 else f"plain words w{i} y{i % 5}") for i in range(90)]
+    marks = [(i, int(i % 3 == 0)) for i in range(90)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    many = docs.unionByName(docs.where("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).select("doc_id", F.concat(F.lit("zz "), "text").alias("text")))
+    once = toxicity.train(docs, labels)
+    again = toxicity.train(many, labels.unionByName(labels.where("doc_id < 30")))
+    assert np.array_equal(once.terms, again.terms) and np.allclose(once.w, again.w) and np.allclose(once.v, again.v)
