@@ -20,6 +20,8 @@ from tarnwatch.operators.scan import map_sorted_groups, running, time_bucket, wi
 from tarnwatch.session import cut
 
 DAY = 86_400
+#: Seconds of a slice of a rule key's time line, and slices of a group, for running values over it.
+MARK_SLICE, MARK_GROUP = 600, 144
 
 
 @dataclass(frozen=True)
@@ -199,37 +201,64 @@ def _similar(kinds: np.ndarray) -> np.ndarray:
     return np.array([groups.get(k, k) for k in kinds], dtype=object)
 
 
+def _rule_marks(events: DataFrame, rule: CorrelationRule, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Two marks per event on its rule key's time line (``_at``, microseconds): the event and, before it, its window's start.
+
+    A window's start sorts before all events of its instant. With ``kinds`` only events of these types stay, and all starts.
+    """
+    key = F.concat_ws("|", *([F.col("source_ip")] if rule.same_source else []),
+                      *([F.col("destination_ip")] if rule.same_target else []))
+    at = F.unix_micros("ts")
+    start = F.struct((at - rule.window_seconds * 1_000_000).alias("_at"), F.lit(0).alias("_own"))
+    own = F.struct(at.alias("_at"), F.lit(1).alias("_own"))
+    both = F.array(start, own) if not kinds else F.when(F.col("attack_type").isin(*kinds), F.array(start, own)).otherwise(F.array(start))
+    return events.select(key.alias("_key"), at.alias("_t"), "event_id", "attack_type", "source_ip", F.explode(both).alias("_m")).select(
+        "_key", "_t", "event_id", "attack_type", "source_ip", "_m.*")
+
+
 def rule_candidates(events: DataFrame, rule: CorrelationRule) -> DataFrame:
     """(event_id, rule_id, candidates, multiple_sources): size of the candidate set of every event.
 
     Candidates are counted, not listed: a busy source would pair every event with
     thousands of others. A multi-source rule without a second source has none.
+    The count is the difference of two running counts, at the event and at its window's start; a second source
+    is in the window iff the newest earlier event of another source is. Both are running values over slices of
+    ``MARK_SLICE`` seconds, so a key may hold any share of the events. Rows that repeat an event are reported once.
     """
-    def count(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        w = _Window(rows, group, rule)
-        several = w.several(rows["source_ip"].to_numpy())
-        n = w.at - w.start
-        if rule.multiple_sources:
-            n = np.where(several, n, 0)
-        out = pd.DataFrame({"event_id": rows["event_id"], "rule_id": rule.rule_id, "candidates": n,
-                            "multiple_sources": several})
-        return out[rows["_own"].to_numpy()]
-
-    return map_sorted_groups(_rule_groups(events, rule), ["_key", "_bucket"], ["_t", "event_id"], count,
-                             "event_id long, rule_id string, candidates long, multiple_sources boolean")
+    own = F.col("_own") == 1
+    slice_ = F.floor(F.col("_at") / F.lit(MARK_SLICE * 1_000_000)).cast("long")
+    order = ["_at", "_own", "event_id"]
+    marks = cut(running(_rule_marks(events, rule), ["_key"], order, slice_, {
+        "_seen": ("count", F.when(own, F.lit(1))),
+        "_before": ("last", F.when(own, F.struct("source_ip", "_at")))}, exclusive=True, group=MARK_GROUP))
+    other = F.when(own & F.col("_before").isNotNull() & ~F.col("_before.source_ip").eqNullSafe(F.col("source_ip")), F.col("_before._at"))
+    known = running(marks, ["_key"], order, slice_, {"_other": ("last", other)}, group=MARK_GROUP)
+    counted = known.groupBy("_key", "_t", "event_id").agg(
+        (F.max(F.when(own, F.col("_seen"))) - F.max(F.when(~own, F.col("_seen")))).alias("n"), F.max(F.when(own, F.col("_other"))).alias("_other"))
+    several = F.coalesce(F.col("_other") >= F.col("_t") - rule.window_seconds * 1_000_000, F.lit(False))
+    n = F.when(several, F.col("n")).otherwise(0) if rule.multiple_sources else F.col("n")
+    return counted.select("event_id", F.lit(rule.rule_id).alias("rule_id"), n.cast("long").alias("candidates"), several.alias("multiple_sources"))
 
 
 def match_sequence(events: DataFrame, rule: CorrelationRule) -> DataFrame:
-    """(event_id, matched): the ordered pattern in the window ending at each event, where complete."""
-    def match(rows: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        w = _Window(rows, group, rule)
-        found = w.ordered(rows["attack_type"].to_numpy(), rule.sequence)
-        take = rows["_own"].to_numpy() & (found[:, 0] >= 0)
-        ids = rows["event_id"].to_numpy()
-        return pd.DataFrame({"event_id": ids[take], "matched": list(ids[found[take]])})
-
-    return map_sorted_groups(_rule_groups(events, rule), ["_key", "_bucket"], ["_t", "event_id"], match,
-                             "event_id long, matched array<long>")
+    """(event_id, matched): the ordered pattern in the window ending at each event, where complete.
+
+    What follows an event of the pattern does not depend on the window: from the last type to the first, each event
+    takes up the next one's chain by a running value in reverse order over slices of ``MARK_SLICE`` seconds. A window
+    matches iff the first chain after its start ends no later than its event.
+    """
+    rows = _rule_marks(events, rule, rule.sequence).select(
+        "_key", "_t", "event_id", "attack_type", (-F.col("_at")).alias("_back"), (-F.col("_own")).alias("_late"), (-F.col("event_id")).alias("_id"))
+    slice_ = F.floor(F.col("_back") / F.lit(MARK_SLICE * 1_000_000)).cast("long")
+    tail = F.struct(F.array("event_id").alias("ids"), (-F.col("_back")).alias("at"), F.col("event_id").alias("id"))
+    for i, kind in enumerate(reversed(rule.sequence)):
+        if i:
+            rows = cut(rows.withColumnRenamed("_next", "_then"))
+            tail = F.when(F.col("_then").isNotNull(), F.struct(F.concat(F.array("event_id"), "_then.ids").alias("ids"), "_then.at", "_then.id"))
+        chain = F.when((F.col("_late") == -1) & (F.col("attack_type") == kind), tail)
+        rows = running(rows, ["_key"], ["_back", "_late", "_id"], slice_, {"_next": ("last", chain)}, exclusive=True, group=MARK_GROUP).drop("_then")
+    ended = F.struct(F.col("_next.at").alias("at"), F.col("_next.id").alias("id")) <= F.struct(F.col("_t").alias("at"), F.col("event_id").alias("id"))
+    return rows.where((F.col("_late") == 0) & F.col("_next").isNotNull() & ended).select("event_id", F.col("_next.ids").alias("matched"))
 
 
 CHUNK_ROWS = 20_000

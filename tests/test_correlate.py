@@ -80,6 +80,35 @@ def test_rules_match_literal_loops(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed,hosts", [(0, "hhbc"), (1, "h"), (2, "hb")])
+def test_candidates_and_sequences_match_literal_loops(spark, seed, hosts):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(0, 300) * 60, rng.choice(hosts), rng.choice("xy"), rng.choice(TYPES[:4]), "LOW") for _ in range(300)]
+    df = make(spark, rows)
+    ordered = sorted(((i, *r) for i, r in enumerate(rows)), key=lambda e: (e[1], e[0]))
+    for rule in (*C.DEFAULT_RULES[:3], C.CorrelationRule("twice", 1_800, 1, 9, ("Probe", "Probe", "Malware"), same_target=True)):
+        counts, matches = {}, {}
+        for n, e in enumerate(ordered):
+            window = [o for o in ordered[:n + 1] if o[1] >= e[1] - rule.window_seconds
+                      and (not rule.same_source or o[2] == e[2]) and (not rule.same_target or o[3] == e[3])]
+            several = len({o[2] for o in window}) > 1
+            counts[e[0]] = (len(window) - 1 if several or not rule.multiple_sources else 0, several)
+            hits = []
+            for o in window:
+                if len(hits) < len(rule.sequence) and o[4] == rule.sequence[len(hits)]:
+                    hits.append(o[0])
+            if hits and len(hits) == len(rule.sequence):
+                matches[e[0]] = hits
+        assert {r["event_id"]: (r["candidates"], r["multiple_sources"]) for r in C.rule_candidates(df, rule).collect()} == counts
+        if rule.sequence:
+            assert {r["event_id"]: list(r["matched"]) for r in C.match_sequence(df, rule).collect()} == matches
+
+
+def test_candidates_of_no_events(spark):
+    df = make(spark, [(0, "a", "x", "DoS", "LOW")]).where("event_id < 0")
+    assert C.rule_candidates(df, C.DEFAULT_RULES[0]).count() == 0 and C.match_sequence(df, C.DEFAULT_RULES[0]).count() == 0
+
+
 def test_rule_without_conditions_yields_nothing(spark):
     df = make(spark, [(i, "a", "x", "DoS", "LOW") for i in range(5)])
     assert C.apply_rules(df).where("rule_id = 'lateral_movement'").count() == 0
