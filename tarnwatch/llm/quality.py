@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs (operator 7), DataFrame functions only.
 
 A rule rejects a text whose metric lies above a cutoff. Labelled texts that pass the base rules are the
-holdout. In each stratum and for each rule the cutoffs are tried from the mildest on: with k of n good
-holdout texts rejected, a cutoff passes while the exact binomial tail P(X <= k | n, risk) is at most
-``delta`` divided by the number of (stratum, rule) pairs, which is the Clopper-Pearson upper bound on the
-false rejection rate being at most ``risk``. The first failure ends a sequence, so the tests of one sequence
-need no further correction. Among the passing cutoffs the one that rejects most bad holdout texts is taken,
-the mildest of equals; a rule that rejects none is off. With probability 1 - delta no rule rejects more than
-``RISK`` of the good texts of any stratum.
+holdout. In each stratum every set of rules is one sequence of tests, from the mildest cutoffs of its rules on
+(a rule whose ladder has ended stays at its last cutoff): with k of n good holdout texts rejected by any rule of
+the set, cutoffs pass while the exact binomial tail P(X <= k | n, risk) is at most ``delta`` divided by the number
+of (stratum, set) pairs, which is the Clopper-Pearson upper bound on the false rejection rate being at most
+``risk``. The rejected texts of a sequence are nested, so its first failure ends it and its tests need no further
+correction. Of what passes, the set and cutoffs that reject most bad holdout texts are taken, of equals the mildest
+cutoffs, then the fewest rules, then the first in order. With probability 1 - delta no stratum loses more than
+``RISK`` of its good texts to all its rules together.
 
 Null texts have no words and fail the base rules. A null stratum is a stratum of its own; strata without
 enough labelled texts have no cutoffs, so only the base rules hold there. Rows with a null id are judged but
@@ -88,31 +89,39 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(tail)
 
 
+def first_step(value: Column, ladder: list[float], longest: int) -> Column:
+    """The step of a sequence from which on a rule rejects a text; ``longest`` if at none."""
+    above = [F.coalesce((value > c).cast("int"), F.lit(0)) for c in ladder]
+    exceeded = sum(above[1:], above[0])
+    return F.when(exceeded == 0, longest).otherwise(len(ladder) - exceeded)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality",
             risk: float = RISK, delta: float = DELTA, ladders: dict[str, list[float]] = LADDERS) -> DataFrame:
     """stratum, rule, cutoff for the rules that are on in a stratum."""
     marked = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{quality}`").alias("good")).where("good in (0, 1)")
-    values = rule_values()
-    hits = [F.sum(F.when((F.col("good") == good) & (values[rule] > c), 1).otherwise(0)).alias(f"{rule}_{i}_{good}")
-            for rule, ladder in ladders.items() for i, c in enumerate(ladder) for good in (0, 1)]
-    counted = (measured.where("not base_failed").join(marked, "doc_id").groupBy("stratum")
-               .agg(F.sum("good").cast("long").alias("n"), *hits))
-    steps = F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"),
-                 F.col(f"{rule}_{i}_1").alias("k"), F.col(f"{rule}_{i}_0").alias("bad"))
-        for rule, ladder in ladders.items() for i, c in enumerate(ladder)]))
-    counted = table(counted, "quality_counts")  # one row for each stratum
-    tests = max(1, counted.count() * len(ladders))
-    tried = counted.select("stratum", "n", steps.alias("s")).select("stratum", "n", "s.*")
-    tried = tried.withColumn("passes", F.coalesce((F.col("n") > 0) & (
-        binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests), F.lit(False)))
-    chain = F.aggregate(F.sort_array(F.collect_list(F.struct("step", "passes", "bad", "cutoff"))),
-                        F.struct(F.lit(True).alias("open"), F.lit(0).cast("long").alias("bad"), F.lit(None).cast("double").alias("cutoff")),
-                        lambda acc, s: F.when(acc["open"] & s["passes"] & (s["bad"] > acc["bad"]), F.struct(
-                            F.lit(True).alias("open"), s["bad"].alias("bad"), s["cutoff"].alias("cutoff"))).otherwise(F.struct(
-                                (acc["open"] & s["passes"]).alias("open"), acc["bad"].alias("bad"), acc["cutoff"].alias("cutoff"))),
-                        lambda acc: acc["cutoff"])
-    return tried.groupBy("stratum", "rule").agg(chain.alias("cutoff")).where("cutoff is not null")
+    values, rules, longest = rule_values(), list(ladders), max(map(len, ladders.values()))
+    cells = (measured.where("not base_failed").join(marked, "doc_id")
+             .groupBy("stratum", *[first_step(values[r], ladders[r], longest).alias(r) for r in rules])
+             .agg(F.sum("good").cast("long").alias("good"), F.sum(1 - F.col("good")).cast("long").alias("bad")))
+    cells = table(cells, "quality_counts")  # as many rows as the ladders have steps together, for each stratum
+    sizes = cells.groupBy(F.col("stratum").alias("_stratum")).agg(F.sum("good").alias("n"))
+    sets = [[r for i, r in enumerate(rules) if at >> i & 1] for at in range(1, 1 << len(rules))]
+    each = F.explode(F.array(*[F.struct(F.lit(at + 1).alias("at"), F.lit(len(names)).alias("size"),
+                                        F.array_min(F.array(*names)).alias("first")) for at, names in enumerate(sets)]))
+    steps = cells.select("stratum", "good", "bad", each.alias("s")).where(F.col("s.first") < longest).select(
+        "stratum", "good", "bad", "s.at", "s.size", F.explode(F.sequence(F.col("s.first"), F.lit(longest - 1))).alias("step"))
+    tried = (steps.groupBy("stratum", "at", "size", "step").agg(F.sum("good").alias("k"), F.sum("bad").alias("hit")).where("hit > 0")
+             .join(sizes, F.col("stratum").eqNullSafe(F.col("_stratum"))))
+    tests = max(1, sizes.count() * len(sets))
+    passing = tried.where((F.col("n") > 0) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests))
+    best = passing.groupBy("stratum").agg(F.max(F.struct("hit", -F.col("step"), -F.col("size"), -F.col("at"))).alias("best"))
+    best = best.select("stratum", (-F.col("best.col2")).alias("step"), (-F.col("best.col4")).alias("at"))
+    taken = F.explode(F.array(*[
+        F.struct(F.lit(r).alias("rule"), F.when(F.shiftright("at", i) % 2 == 1, F.get(
+            F.array(*map(F.lit, ladders[r])), F.least("step", F.lit(len(ladders[r]) - 1)))).alias("cutoff"))
+        for i, r in enumerate(rules)])).alias("t")
+    return best.select("stratum", taken).select("stratum", "t.*").where("cutoff is not null")
 
 
 def judge(measured: DataFrame, limits: DataFrame, rules: tuple[str, ...] = tuple(LADDERS)) -> DataFrame:

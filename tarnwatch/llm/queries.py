@@ -144,8 +144,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sql() -> str:
     values = {"symbols": "n_symbols / n_words", "repeats": "n_repeat_words / n_words", "duplicate_lines": "n_dup_lines / n_lines",
               "long_words": "word_chars / n_words", "short_words": "-word_chars / n_words"}
-    ladder = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cs in quality.LADDERS.items() for i, c in enumerate(cs))
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in values.items()) + " END"
+    longest, n_sets = max(map(len, quality.LADDERS.values())), 2 ** len(quality.LADDERS) - 1
+    taken = {r: f"len(list_filter({cs}::DOUBLE[], lambda c: {values[r]} > c))" for r, cs in quality.LADDERS.items()}
+    first = ", ".join(f"CASE {taken[r]} WHEN 0 THEN {longest} ELSE {len(cs)} - {taken[r]} END" for r, cs in quality.LADDERS.items())
+    over = " OR ".join(f"(c.st >> {i} & 1 = 1 AND coalesce({v} > {quality.LADDERS[r]}[least(c.step, {len(quality.LADDERS[r]) - 1}) + 1], false))"
+                       for i, (r, v) in enumerate(values.items()))
     p = quality.RISK
     return f"""
     WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -159,15 +162,16 @@ def op7_sql() -> str:
                  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
           FROM w LEFT JOIN (SELECT doc_id, sum(n) AS n FROM v GROUP BY doc_id) r ON r.doc_id = w.doc_id),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-    ladder(rule, step, cutoff) AS (VALUES {ladder}),
-    h AS (SELECT lang, rule, step, cutoff, sum(quality)::BIGINT AS n, count(*) FILTER (quality = 1 AND {value} > cutoff) AS k,
-                 count(*) FILTER (quality = 0 AND {value} > cutoff) AS bad
-          FROM b JOIN labels USING (doc_id), ladder WHERE NOT base_failed AND quality IN (0, 1) GROUP BY ALL),
+    h AS (SELECT lang, [{first}] AS first, quality FROM b JOIN labels USING (doc_id) WHERE NOT base_failed AND quality IN (0, 1)),
+    n AS (SELECT lang, sum(quality)::BIGINT AS n FROM h GROUP BY lang),
+    e AS (SELECT *, unnest(range(1, {n_sets + 1})) AS st FROM h),
+    f AS (SELECT lang, st, quality, unnest(range(list_min(list_transform(first, lambda m, i: CASE WHEN st >> (i - 1)::INT & 1 = 1 THEN m ELSE {longest} END)), {longest})) AS step FROM e),
+    k AS (SELECT f.lang, st, step, n, count(*) FILTER (quality = 1) AS k, count(*) FILTER (quality = 0) AS hit
+          FROM f JOIN n ON f.lang IS NOT DISTINCT FROM n.lang GROUP BY ALL),
     s AS (SELECT *, n > 0 AND k <= n * {p} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-                 + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {quality.DELTA} / (count(DISTINCT coalesce(lang, '')) OVER () * {len(quality.LADDERS)}) AS passes FROM h),
-    o AS (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY step) AS open FROM s),
-    c AS (SELECT lang, rule, arg_max(cutoff, bad * 1000 - step) AS cutoff FROM o WHERE open AND bad > 0 GROUP BY lang, rule),
-    x AS (SELECT doc_id, bool_or({value} > cutoff) AS rejected FROM b JOIN c ON b.lang IS NOT DISTINCT FROM c.lang WHERE NOT base_failed GROUP BY doc_id)
+                 + j * ln({p}) + (n - j) * ln(1 - {p})))) <= {quality.DELTA} / ((SELECT count(*) FROM n) * {n_sets}) AS passes FROM k),
+    c AS (SELECT lang, st, step FROM s WHERE passes AND hit > 0 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY hit DESC, step, bit_count(st), st) = 1),
+    x AS (SELECT doc_id, bool_or({over}) AS rejected FROM b JOIN c ON b.lang IS NOT DISTINCT FROM c.lang WHERE NOT base_failed GROUP BY doc_id)
     SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce(rejected, false) AS kept FROM b LEFT JOIN x ON b.doc_id = x.doc_id"""
 

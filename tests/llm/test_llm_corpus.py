@@ -201,6 +201,22 @@ def test_quality_metrics_and_cutoffs(spark):
     assert quality.filter_rules(docs.limit(0), labels).count() == 0 and quality.filter_rules(docs, labels.limit(0)).where("kept").count() > 900
 
 
+def test_rules_of_a_stratum_share_one_risk(spark):
+    """Each rule rejects 0.6 % of the good texts, others than the other rule: one may be on, not both."""
+    cols = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    odd = lambda i: (300, 0) if i % 2 else (0, 90)  # symbols in 100 words, duplicates of 100 lines
+    rows = [(i, None if i % 3 else "en", 100, 500, *((odd(i // 250)[0], 100, odd(i // 250)[1]) if i % 250 < 3 else (0, 100, 0)), 0, False) for i in range(60_000)]
+    rows += [(60_000 + i, None if i % 3 else "en", 100, 500, odd(i)[0], 100, odd(i)[1], 0, False) for i in range(600)]
+    measured = spark.createDataFrame(rows, cols)
+    labels = spark.createDataFrame([(i, int(i < 60_000)) for i in range(60_600)], "doc_id long, quality int")
+    limits = quality.cutoffs(measured, labels)
+    assert {r.stratum for r in limits.collect()} == {None, "en"} and limits.groupBy("stratum").count().where("count <> 1").isEmpty()
+    judged = quality.judge(measured, limits)
+    lost = judged.where("doc_id < 60000").groupBy("stratum").agg(F.avg(F.expr("cast(not kept as int)")).alias("lost")).collect()
+    assert all(0 < r.lost <= quality.RISK for r in lost)
+    assert judged.where("doc_id >= 60000 and not kept").count() > 250
+
+
 def test_revisits(spark):
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
     schema = "record_id long, url string, captured_at timestamp, type string, status int, headers map<string,string>, payload string, s string"
