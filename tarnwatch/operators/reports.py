@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwatch import constants as K
 from tarnwatch.functions.columns import count_if, ratio, seconds
-from tarnwatch.operators.features import confidence_counts
+from tarnwatch.operators.features import confidence_bin
 from tarnwatch.operators.intel import geolocate
 
 
@@ -67,27 +68,30 @@ def threat_timeline(alerts: DataFrame, start: datetime, end: datetime) -> DataFr
 def threat_report(alerts: DataFrame, start: datetime, end: datetime, limit: int = 10) -> DataFrame:
     """(section, item, n) rows of all threat sections.
 
-    Every section is an aggregate of its own over the period, which reads only the
-    section's column; counts are combined before they are shuffled.
+    Types, severities, confidence bins, hours and the total come from one aggregate over grouping sets; only the two
+    address sections, which hold many values, are aggregates of their own. Counts are combined before they are
+    shuffled. Hours and bins without alerts are present with 0.
     """
     period = in_period(alerts, start, end)
-
-    def section(name, df, item, n="n"):
-        return df.select(F.lit(name).alias("section"), F.col(item).cast("string").alias("item"), F.col(n).alias("n"))
-
-    parts = [
-        section("type", threats_by_type(period), "attack_type"),
-        section("severity", threats_by_severity(period), "severity"),
-        section("source", top_addresses(period, "source_ip", limit), "source_ip"),
-        section("target", top_addresses(period, "destination_ip", limit), "destination_ip"),
-        section("confidence", confidence_counts(period), "bin"),
-        section("hour", threat_timeline(period, start, end).withColumn(
-            "h", F.date_format("hour", "yyyy-MM-dd HH")), "h", "total_threats"),
-        period.agg(F.lit("total").alias("section"), F.lit("threats").alias("item"), F.count("*").alias("n")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH")
+    rows = period.select(F.col("attack_type").cast("string").alias("type"), F.col("severity").cast("string").alias("severity"),
+                         confidence_bin("confidence_score").alias("confidence"), hour.alias("hour"))
+    names = rows.columns
+    sets = rows.groupingSets([[F.col(c)] for c in names] + [[]], *[F.col(c) for c in names])
+    counted = sets.agg(*[(F.grouping(c) == 0).alias(f"_{c}") for c in names], F.count("*").alias("n"))
+    section, item = F.lit("total"), F.lit("threats")
+    for c in names:
+        section, item = F.when(F.col(f"_{c}"), F.lit(c)).otherwise(section), F.when(F.col(f"_{c}"), F.col(c)).otherwise(item)
+    counted = counted.select(section.alias("section"), item.alias("item"), "n")
+
+    zero = F.lit(0).cast("long").alias("n")
+    fixed = [("total", "threats"), *[("confidence", name) for _, name in K.CONFIDENCE_BINS], ("confidence", K.LOWEST_CONFIDENCE_BIN)]
+    empty = alerts.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("item")) for a, b in fixed])).alias("f"))
+    hours = hours_between(alerts.sparkSession, start, end).select(F.lit("hour").alias("section"), F.date_format("hour", "yyyy-MM-dd HH").alias("item"), zero)
+    out = counted.unionByName(empty.select("f.*", zero)).unionByName(hours).groupBy("section", "item").agg(F.sum("n").alias("n"))
+    for name, column in (("source", "source_ip"), ("target", "destination_ip")):
+        top = top_addresses(period, column, limit)
+        out = out.unionByName(top.select(F.lit(name).alias("section"), F.col(column).cast("string").alias("item"), "n"))
     return out
 
 
