@@ -5,6 +5,7 @@ from collections import Counter
 
 from tarnwatch import constants as K
 from tarnwatch.operators import reports as R
+from tarnwatch.plans import reporting
 
 START, END = dt.datetime(2024, 1, 1, 0, 30), dt.datetime(2024, 1, 1, 4, 30)
 SCHEMA = "ts timestamp, attack_type string, severity string, confidence_score double, source_ip string, destination_ip string"
@@ -31,3 +32,11 @@ def test_threat_report_of_no_alerts(spark):
     got = {(r.section, r["item"]): r.n for r in R.threat_report(spark.createDataFrame([], SCHEMA), START, END).collect()}
     assert got[("total", "threats")] == 0 and set(got.values()) == {0}
     assert {s for s, _ in got} == {"total", "hour", "confidence"}
+
+
+def test_confidence_distribution(spark, tmp_path):
+    events = [(i, dt.datetime(2024, 1, 1), i, "click", 1.0, '{"k": %d}' % k) for i, k in enumerate([50, 40, 39, 20, 0, 1])]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    got = {r["bin"]: r["n"] for r in reporting.QUERIES["confidence_distribution"](spark, str(tmp_path)).collect()}
+    assert got == {"0.9-1.0": 2, "0.8-0.9": 1, "0.7-0.8": 1, "0.6-0.7": 0, "0.5-0.6": 2, "0.0-0.5": 0}
