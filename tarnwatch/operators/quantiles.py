@@ -52,51 +52,68 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 
 
 def _order_statistics(df: DataFrame, targets: set[tuple[str, int]], direct_rows: int) -> dict:
+    """Values at the wanted ranks. A bracket is open: its ends are cut points whose own rows were counted and ruled out.
+
+    Every pass cuts a bracket at two of its values and counts what lies at, between and outside them. The rank is
+    then at a cut point or in one of three brackets without it, so a pass never leaves a bracket as it was, however
+    often a value repeats and wherever the approximate cut points fall.
+    """
     found: dict[tuple[str, int], float] = {}
-    brackets = {t: (-math.inf, math.inf) for t in targets}
     limit = min(direct_rows, 100_000) or 100
+
+    def within(c, lo, hi):
+        v = F.col(f"`{c}`").cast("double")
+        inside = v.isNotNull()
+        inside = inside if lo is None else inside & (v > lo)
+        return v, inside if hi is None else inside & (v < hi)
+
+    # (column, low end, high end, rows inside) -> (rank of the column, rank inside) pairs
+    brackets: dict[tuple, list[tuple[int, int]]] = {}
+    for c in sorted({c for c, _ in targets}):
+        brackets[c, None, None, None] = [(r, r) for t, r in sorted(targets) if t == c]
     while brackets:
-        work = list(brackets)
+        for key in [k for k in brackets if k[3] is not None and k[3] <= limit]:
+            v, inside = within(*key[:3])
+            rows = df.where(inside).groupBy(v.alias("v")).agg(F.count("*").alias("n")).orderBy("v").collect()
+            for rank, position in brackets.pop(key):
+                for row in rows:
+                    if position < row["n"]:
+                        found[key[0], rank] = row["v"]
+                        break
+                    position -= row["n"]
+        if not brackets:
+            break
+        # a cut around each rank; the size of a whole column is counted with its first cuts
+        work = [(key, rank, position) for key, ranks in brackets.items() for rank, position in ranks]
+        sizes = {key: key[3] for key in brackets}
+        fresh = [key for key in brackets if key[3] is None]
+        if fresh:
+            counts = df.agg(*[F.count(within(*key[:3])[0]).alias(f"c{i}") for i, key in enumerate(fresh)]).first()
+            sizes.update(zip(fresh, counts))
+        margin = 3.0 / ACCURACY
         aggs = []
-        for i, (c, _) in enumerate(work):
-            lo, hi = brackets[work[i]]
-            v = F.col(f"`{c}`").cast("double")
-            inside = v.isNotNull() & (v >= lo) & (v <= hi)
-            aggs += [F.count(F.when(v < lo, 1)).alias(f"below{i}"), F.count(F.when(inside, 1)).alias(f"inside{i}")]
-        sizes = df.agg(*aggs).first().asDict()
-        narrow, small = [], []
-        for i, t in enumerate(work):
-            (small if sizes[f"inside{i}"] <= limit else narrow).append((i, t))
-        for i, t in small:
-            lo, hi = brackets.pop(t)
-            v = F.col(f"`{t[0]}`").cast("double")
-            rows = (df.where((v >= lo) & (v <= hi)).groupBy(v.alias("v")).agg(F.count("*").alias("n"))
-                    .orderBy("v").collect())
-            position = t[1] - sizes[f"below{i}"]
-            for row in rows:
-                if position < row["n"]:
-                    found[t] = row["v"]
-                    break
-                position -= row["n"]
-        if not narrow:
-            continue
+        for i, (key, _, position) in enumerate(work):
+            v, inside = within(*key[:3])
+            share = position / sizes[key]
+            aggs.append(F.percentile_approx(F.when(inside, v), [max(share - margin, 0.0), min(share + margin, 1.0)], ACCURACY).alias(f"a{i}"))
+        cuts = df.agg(*aggs).first()
         aggs = []
-        for i, t in narrow:
-            lo, hi = brackets[t]
-            v = F.col(f"`{t[0]}`").cast("double")
-            share = (t[1] - sizes[f"below{i}"]) / sizes[f"inside{i}"]
-            margin = 3.0 / ACCURACY
-            aggs.append(F.percentile_approx(
-                F.when((v >= lo) & (v <= hi), v),
-                [max(share - margin, 0.0), min(share + margin, 1.0)], ACCURACY).alias(f"a{i}"))
-        row = df.agg(*aggs).first()
-        for i, t in narrow:
-            low, high = row[f"a{i}"]
-            if low == high:
-                found[t] = low
-                brackets.pop(t)
-            elif (low, high) == brackets[t]:
-                raise ArithmeticError(f"no progress locating rank {t[1]} of {t[0]}")
+        for i, (key, *_) in enumerate(work):
+            (v, inside), (low, high) = within(*key[:3]), cuts[f"a{i}"]
+            aggs += [F.count(F.when(inside & test, 1)).alias(f"{name}{i}") for name, test in (
+                ("under", v < low), ("low", v == low), ("between", (v > low) & (v < high)), ("high", (v == high) & (v > low)))]
+        counted = df.agg(*aggs).first().asDict()
+        brackets = {}
+        for i, (key, rank, position) in enumerate(work):
+            (c, lo, hi, _), (low, high) = key, cuts[f"a{i}"]
+            under, at_low, between, at_high = (counted[f"{name}{i}"] for name in ("under", "low", "between", "high"))
+            above = sizes[key] - under - at_low - between - at_high
+            for size, ends in ((under, (lo, low)), (at_low, low), (between, (low, high)), (at_high, high), (above, (high, hi))):
+                if position < size:
+                    break
+                position -= size
+            if isinstance(ends, tuple):
+                brackets.setdefault((c, *ends, size), []).append((rank, position))
             else:
-                brackets[t] = (low, high)
+                found[c, rank] = ends
     return found

@@ -241,3 +241,10 @@ def test_nan_is_a_gap_at_every_size(spark):
     assert sorted(r.x for r in P.impute(few, "drop").collect()) == [1.0, 3.0]
     assert P.fit_scaler(few).center["x"] == 2.0 and P.fit_scaler(few, "minmax").scale["x"] == 2.0
     assert P.remove_outliers(few, threshold=1.5).count() == 4
+
+
+def test_quantiles_between_two_values_that_repeat(spark):
+    # cuts around a rank fall on both sides of the border of two values that fill the bracket
+    x = np.sort(np.r_[np.full(50_000, 25.0), np.full(50_000, 26.0), np.repeat([-np.inf, np.inf], 40)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").coalesce(3)
+    assert exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], direct_rows=0)["x"] == [25.0, 25.5, 26.0]
