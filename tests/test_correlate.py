@@ -184,6 +184,27 @@ def test_similarity_blocking_loses_nothing(spark):
     assert camp.groupBy("campaign_id").count().where("count < 3").count() == 0
 
 
+def test_similarity_of_large_sets(spark, monkeypatch):
+    # the same pairs and scores whether sets travel with their sequence or stay in long form
+    rng = random.Random(8)
+    rows = [(rng.randrange(0, 2 * 86_400), rng.choice("abc"), rng.choice("wxyz"), rng.choice(TYPES[:4]), "LOW") for _ in range(160)]
+    members = make(spark, rows).withColumn("sequence_id", F.pmod(F.xxhash64("event_id"), F.lit(25)))
+    seqs = C.describe_sequences(members)
+    found = []
+    for size in (64, 3, 0):
+        monkeypatch.setattr(C, "SMALL_SET", size)
+        similar = C.sequence_similarity(seqs, members).collect()
+        found.append({(r["a"], r["b"]): round(r["similarity"], 9) for r in similar})
+        assert len(found[-1]) == len(similar)
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_similarity_moves_no_candidates(spark):
+    members = make(spark, [(i, "a", "x", "Probe", "LOW") for i in range(3)]).withColumn("sequence_id", F.col("event_id"))
+    plan = C.sequence_similarity(C.describe_sequences(members), members)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Relation" in plan
+
+
 def test_similar_types(spark):
     pairs = [("DoS", "DDoS", True), ("Probe", "Port Scan", True), ("R2L", "Brute Force", True), ("DoS", "Probe", False), ("Odd", "Odd", True)]
     df = spark.createDataFrame(pairs, "a string, b string, ok boolean")
