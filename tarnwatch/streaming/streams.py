@@ -17,6 +17,7 @@ from tarnwatch.operators import behavior as B
 from tarnwatch.operators import correlate as C
 from tarnwatch.operators.alerts import DEDUP_KEY
 from tarnwatch.operators.flows import FLOW_TIMEOUT, with_flow_key
+from tarnwatch.operators.scan import BUCKET, with_lookback
 from tarnwatch.session import ensure_checkpoint_dir
 
 TRAFFIC_SCHEMA = """record_id long, ts timestamp, source_ip string, destination_ip string, source_port int,
@@ -154,11 +155,16 @@ def dedup_alert_stream_approximate(stream: DataFrame, window: str = "5 minutes")
     return stream.withWatermark("ts", window).dropDuplicatesWithinWatermark(DEDUP_KEY)
 
 
+#: Rule slices (as the batch operator cuts a key's time line) that share one state of a correlation stream.
+STATE_SLICES = 8
+
+
 def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1 minute") -> DataFrame:
     """Matches of one correlation rule for every new event.
 
-    The state of a rule key holds the events of one rule window before the watermark
-    and later ones; the whole state goes once the watermark has passed it. An event
+    A state belongs to a rule key and a slice of time, with the rule window before the slice copied into it, so
+    neither a batch nor a state of a key grows with the time that the input spans. It holds the events of one rule
+    window before the watermark and later ones; the whole state goes once the watermark has passed it. An event
     that is late, but not later than ``delay``, is matched with its partners; events
     after it that were matched before are not matched anew.
     """
@@ -170,13 +176,13 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
         if state.hasTimedOut:
             state.remove()
             return
-        fresh = pd.concat(list(batches))[columns].assign(_own=True)
+        fresh = pd.concat(list(batches))[[*columns, "_own"]]
         if state.exists:
             kept = pd.DataFrame(dict(zip(columns, state.get))).assign(_own=False)
             fresh = pd.concat([kept, fresh])
         rows = fresh.sort_values(["_t", "event_id"]).reset_index(drop=True)
         newest = int(rows["_t"].iloc[-1])
-        # the rows of a key form one group, whatever time they span
+        # the rows of a state form one group
         out = matcher(rows.assign(_bucket=1), np.zeros(len(rows), dtype=np.int64), span=2 * newest + window)
         # an event as late as the watermark allows still needs its partners of one window before it
         late = min(newest, state.getCurrentWatermarkMs() * 1000)
@@ -192,7 +198,8 @@ def correlate_stream(stream: DataFrame, rule: C.CorrelationRule, delay: str = "1
                          "attack_type", "source_ip", F.coalesce("stage_idx", F.lit(-1)).alias("stage_idx"),
                          F.coalesce("sev_idx", F.lit(-1)).alias("sev_idx"))
     names = [c for c in slim.columns if c.startswith("_key")]
-    return slim.withWatermark("ts", delay).groupBy(*names).applyInPandasWithState(
+    sliced = with_lookback(slim.withWatermark("ts", delay), "ts", C.rule_slice(rule) * STATE_SLICES, rule.window_seconds + 1e-6)
+    return sliced.groupBy(*names, BUCKET).applyInPandasWithState(
         correlate, "event_id long, rule_id string, matched array<long>",
         "ids array<long>, times array<long>, types array<string>, sources array<string>, stages array<int>, sevs array<int>",
         "append", GroupStateTimeout.EventTimeTimeout)

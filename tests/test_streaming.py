@@ -57,6 +57,19 @@ def test_correlation(spark, chunks):
         assert got == want and want
 
 
+def test_correlation_state_is_cut_by_time(spark, chunks, monkeypatch):
+    path, batch = chunks
+    monkeypatch.setattr(S, "STATE_SLICES", 1)
+    to_events = lambda df: C.with_stage(df.withColumnRenamed("record_id", "event_id"))
+    for rule in (C.CorrelationRule("seq", 300, 2, 10, ("Probe", "Port Scan"), same_source=True),
+                 C.CorrelationRule("coord", 300, 3, 8, same_target=True, multiple_sources=True, similar_types=True)):
+        found = S.correlate_stream(to_events(stream(spark, path)), rule)
+        assert "_bucket" in found._jdf.queryExecution().analyzed().toString()
+        got = {r["event_id"]: list(r["matched"]) for r in S.drain(found).collect()}
+        want = {r["event_id"]: list(r["matched"]) for r in C.apply_rules(to_events(batch), [rule]).collect()}
+        assert got == want and want
+
+
 def test_flows_close_with_the_watermark(spark, chunks):
     path, batch = chunks
     got = S.drain(S.flow_stream(stream(spark, path), timeout=60, flow_cols=("source_ip",)))
