@@ -127,3 +127,11 @@ def test_geolocate_prefers_the_narrowest_range(spark):
     ranges = spark.createDataFrame([(0, 4294967295, "wide"), (167772160, 167772415, "narrow")], "range_start long, range_end long, country string")
     ips = spark.createDataFrame([("10.0.0.7",), ("10.0.1.7",), ("::1",)], "ip string")
     assert {r["ip"]: r["country"] for r in I.geolocate(ips, ranges, "ip").collect()} == {"10.0.0.7": "narrow", "10.0.1.7": "wide", "::1": None}
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    df = spark.range(90, numPartitions=1).withColumn("x", F.col("id") * 2)
+    assert M.spread_rows(df).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "PART_ROWS", 20)
+    wide = M.spread_rows(df)
+    assert wide.rdd.getNumPartitions() == 5 and sorted(wide.collect()) == sorted(df.collect())
