@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tarnwatch import constants as K
 from tarnwatch.operators import correlate as C
-from tarnwatch.operators.graph import connected_components
+from tarnwatch.operators import graph
+from tarnwatch.operators.graph import chained_components, connected_components
 
 BASE = dt.datetime(2024, 1, 1)
 TYPES = ["Probe", "Port Scan", "Brute Force", "Malware", "Command Control", "DoS", "DDoS", "Odd"]
@@ -139,6 +140,53 @@ def test_components_match_union_find(spark):
     assert got == {n: root(n) for n in list(parent)}
 
 
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_chained_components_match_union_find(spark, batch):
+    rng = random.Random(4)
+    lists = [[rng.randrange(300) for _ in range(rng.randrange(0, 4))] for _ in range(180)]
+    lists += [list(range(1000 + 3 * i, 1005 + 3 * i)) for i in range(60)] * 2
+    lists += [None, [], [2000, None, 2001], [None, None], [2**60, 2**60, -5], [-5, 2002]]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for ids in lists:
+        for a in ids or []:
+            if a is not None:
+                root(a)
+        for a, b in zip(ids or [], (ids or [])[1:], strict=False):
+            if a is not None and b is not None:
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = chained_components(spark.createDataFrame([(x,) for x in lists], "ids array<long>"), "ids").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(parent)
+    assert {r["node"]: r["component"] for r in rows} == {n: root(n) for n in list(parent)}
+
+
+def test_sequences_search_parts_not_events(spark, monkeypatch):
+    # overlapping matches of one long chain are one part for each batch, not a link for each event
+    df = make(spark, [(i * 60, "a", "x", "Probe", "LOW") for i in range(2_000)])
+    searched = []
+
+    def counted(edges, *columns):
+        searched.append(edges.count())
+        return connected_components(edges, *columns)
+
+    monkeypatch.setattr(graph, "connected_components", counted)
+    monkeypatch.setattr(C, "connected_components", counted)
+    members = C.sequence_members(C.apply_rules(df, C.DEFAULT_RULES[1:2]), df)
+    assert members.select("sequence_id").distinct().collect() == [(0,)] and members.count() == 2_000
+    assert sum(searched) < 200
+
+
 def test_sequences_share_events(spark):
     rows = [(0, "a", "x", "Probe", "LOW"), (60, "a", "x", "Port Scan", "LOW"), (120, "a", "x", "Brute Force", "HIGH"),
             (180, "a", "x", "Malware", "HIGH"), (90_000, "b", "x", "Probe", "LOW"), (90_060, "b", "x", "Port Scan", "LOW"),
