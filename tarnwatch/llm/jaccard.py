@@ -13,7 +13,8 @@ exact: one row for each document with its component of links.
    to few of the others.
 3. The matrix holds each group's union of prefix tokens, for tokens of two groups or more. A class's overlap
    with any member of a group is bounded from the tokens that the group lacks; only groups whose bound reaches
-   what a link needs are opened, their members bounded alike. Pairs that are left are bounded by parity bitmaps
+   what a link needs are opened, their members bounded alike. Two classes meet only at places early enough in both for
+   a link of their sizes, so near copies that link to none meet by few tokens. Pairs that are left are bounded by parity bitmaps
    (two bits for each token; where two bitmaps differ, the sets do), and the rest verified on whole sets.
 4. Components of all verified links are the result.
 
@@ -298,29 +299,35 @@ def cross_pairs(tokens: DataFrame, percent: int) -> DataFrame:
 
     A token of a's prefix that is no later than b's last prefix token and not in b's prefix is not in b. So
     with ``hits`` shared tokens and ``far`` the place in a of the last of them, b lacks far - hits tokens of a.
+
+    What comes before the first shared token is not shared, so in sets that link it has an early place in both: no later
+    than the set's size less what this pair of sizes needs, plus one. Other meetings of two classes are not joined, nor
+    those with a group of one class; what stays are the first meetings of a pair, so ``hits`` still counts all up to ``far``.
     """
     spans = tokens.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("key")
     rows = table(tokens.join(spans, "key"), "jac_open")
-    groups = rows.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.min("last").alias("g_last"))
-    matrix = rows.select("key", F.col("group").alias("g")).distinct()
+    groups = rows.groupBy(F.col("group").alias("g")).agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.min("last").alias("g_last"), (F.min("cls") == F.max("cls")).alias("g_one"))
+    matrix = rows.groupBy("key", F.col("group").alias("g")).agg(F.min("pos").alias("g_pos")).join(groups, "g")
     t = percent / 100
     short = F.greatest(F.col("g_least"), F.ceil(F.lit(percent) * F.col("n") / 100))
     need = F.ceil(F.lit(percent) * (F.col("n") + short) / (100 + percent) - 1e-9)
     known = F.col("key") <= F.col("g_last")
-    asks = (rows.join(matrix, "key").where("g < group").join(groups, "g")
-            .where((F.col("g_most") >= t * F.col("n") - 1e-9) & (t * F.col("g_least") <= F.col("n") + 1e-9))
+    early = ~F.col("g_one") | (F.col("pos") <= F.col("n") - need + 1) & (F.col("g_pos") <= F.col("g_most") - need + 1)
+    asks = (rows.join(matrix, "key")
+            .where((F.col("g") < F.col("group")) & early & (F.col("g_most") >= t * F.col("n") - 1e-9) & (t * F.col("g_least") <= F.col("n") + 1e-9))
             .groupBy("cls", "g").agg(F.max("n").alias("n"), F.max("g_least").alias("g_least"), F.count(F.when(known, 1)).alias("hits"),
                                      F.coalesce(F.max(F.when(known, F.col("pos"))), F.lit(0)).alias("far"))
             .where(F.col("n") - (F.col("far") - F.col("hits")) >= need))
     q = rows.join(asks.select("cls", "g"), "cls").select("key", "g", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     d = rows.select("key", F.col("group").alias("g"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     at_most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shared up to this token, and after it
-    met = q.join(d, ["key", "g"]).where((F.col("na") >= t * F.col("nb") - 1e-9) & (F.col("nb") >= t * F.col("na") - 1e-9)
-                                        & (at_most >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)
+    met = q.join(d, ["key", "g"]).where((F.col("na") >= t * F.col("nb") - 1e-9) & (F.col("nb") >= t * F.col("na") - 1e-9) & (at_most >= need)
+                                        & (F.col("pa") <= F.col("na") - need + 1) & (F.col("pb") <= F.col("nb") - need + 1))
     pairs = met.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.count("*").alias("hits"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     most = F.least(F.col("na") - (F.col("pa") - F.col("hits")), F.col("nb") - (F.col("pb") - F.col("hits")),
                    F.col("hits") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
-    return pairs.where(most >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent) - 1e-9)).select("a", "b")
+    return pairs.where(most >= need).select("a", "b")
 
 
 def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -133,6 +133,43 @@ def test_families_are_joined_by_few_checks(spark, monkeypatch, changed, with_bas
     assert sum(asked) < 4000, asked
 
 
+def made_by_joins(plan):
+    """The most rows that a join of an executed plan made."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return made_by_joins(plan.executedPlan())
+    if "QueryStage" in name:
+        return made_by_joins(plan.plan())
+    below = plan.children()
+    most = max([0, *(made_by_joins(below.apply(i)) for i in range(below.size()))])
+    return max(most, plan.metrics().apply("numOutputRows").value()) if "Join" in name else most
+
+
+def test_jaccard_near_misses_meet_by_few_tokens(spark, monkeypatch):
+    # variants of one text that link to none, as each one's own words take too many of its shingles, and some that do link
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = base.copy()
+        for k, at in enumerate(rng.sample(range(4, 116, 8), 4 if i % 16 else 1)):
+            words[at] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    real, made = jaccard.cross_pairs, []
+
+    def watched(tokens, percent):
+        pairs = real(tokens, percent)
+        found = pairs.collect()
+        made.append(made_by_joins(pairs._jdf.queryExecution().executedPlan()))
+        return spark.createDataFrame(found, pairs.schema)
+
+    monkeypatch.setattr(jaccard, "cross_pairs", watched)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(frame(spark, rows)).collect())
+    assert got == sorted(plain_components(rows, 4, 85))
+    assert 1 < len({c for *_, c in got}) < len(rows)
+    assert made[0] < 4000, made
+
+
 @needs_data
 def test_op9_equals_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in queries.read(spark, SF, "documents").collect()]
