@@ -253,6 +253,39 @@ def test_similarity_moves_no_candidates(spark):
     assert "Aggregate" not in plan and "Relation" in plan
 
 
+def test_similarity_looks_at_bounds_first(spark):
+    # sets are intersected above the join, for pairs within the bounds, not for every pair of a key
+    members = make(spark, [(i, "a", "x", "Probe", "LOW") for i in range(3)]).withColumn("sequence_id", F.col("event_id"))
+    plan = C.sequence_similarity(C.describe_sequences(members), members)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert len(joins) == 2 and all("bit_count" in line for line in joins)
+    assert "array_intersect" in plan and not any("array_intersect" in line or "arrays_overlap" in line for line in joins)
+
+
+def test_similarity_deals_frequent_keys(spark, monkeypatch):
+    key = ["k1", "k2", "slot"]
+    rows = spark.range(40).select(*[F.lit(1).cast("long").alias(k) for k in key], "id", F.struct(F.col("id").alias("sequence_id")).alias("own_b"))
+    monkeypatch.setattr(C, "SHARE", 10)
+    a, b = C._shares(rows, rows, key)
+    sizes = [r["count"] for r in b.groupBy("share").count().collect()]
+    assert len(sizes) == 4 and sum(sizes) == 40
+    pairs = a.select(*key, "share", "id").join(b.select(*key, "share", F.col("id").alias("other")), [*key, "share"])
+    assert pairs.count() == pairs.distinct().count() == 1600
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(0, 86_400), rng.choice("ab"), rng.choice("xy"), rng.choice(TYPES[:3]), "LOW") for _ in range(120)]
+    members = make(spark, rows).withColumn("sequence_id", F.pmod(F.xxhash64("event_id"), F.lit(40)))
+    seqs = C.describe_sequences(members)
+    found = []
+    for share, size in ((4096, 64), (3, 64), (3, 0)):
+        monkeypatch.setattr(C, "SHARE", share)
+        monkeypatch.setattr(C, "SMALL_SET", size)
+        similar = C.sequence_similarity(seqs, members).collect()
+        found.append({(r["a"], r["b"]): round(r["similarity"], 9) for r in similar})
+        assert len(found[-1]) == len(similar)
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_similar_types(spark):
     pairs = [("DoS", "DDoS", True), ("Probe", "Port Scan", True), ("R2L", "Brute Force", True), ("DoS", "Probe", False), ("Odd", "Odd", True)]
     df = spark.createDataFrame(pairs, "a string, b string, ok boolean")
